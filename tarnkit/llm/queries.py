@@ -32,6 +32,23 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    """Byte-level BPE of documents, there and back."""
+    import public_tokenizers
+
+    from tarnkit.llm.byte_bpe import encode_digest, load_ranks
+
+    ranks = load_ranks(ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return encode_digest(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op9_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents."""
+    from tarnkit.llm.near_join import near_components
+
+    return near_components(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality features and verdicts of documents."""
     from tarnkit.llm.quality import judge_quality
@@ -43,5 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op4_secrets": op4_secrets,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op9_near_join": op9_near_join,
     "op10_quality": op10_quality,
 }

@@ -42,6 +42,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
     return encode_digest(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 200-byte strings cut out of documents."""
+    from tarnkit.llm.suffix_dedup import removal_digest
+
+    return removal_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op9_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents."""
     from tarnkit.llm.near_join import near_components
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_secrets": op4_secrets,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_join": op9_near_join,
     "op10_quality": op10_quality,
 }

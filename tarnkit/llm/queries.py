@@ -25,6 +25,15 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that holds the template's own marks, formatted and read back."""
+    from tarnkit.llm.chat import format_digest
+
+    marks = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    return format_digest(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in documents, by the blob ledger."""
     from tarnkit.llm.secret_scan import find_secrets
@@ -32,6 +41,20 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of pages."""
+    from tarnkit.llm.url_filter import filter_urls
+
+    return filter_urls(read_table(spark, sf_dir, "pages"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of pages."""
+    from tarnkit.llm.html_extract import extract_text
+
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
     """Byte-level BPE of documents, there and back."""
     import public_tokenizers
@@ -66,7 +89,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
+    "op3_chat": op3_chat,
     "op4_secrets": op4_secrets,
+    "op5_urls": op5_urls,
+    "op6_html": op6_html,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_join": op9_near_join,

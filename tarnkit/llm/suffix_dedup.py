@@ -163,6 +163,31 @@ def _by_fingerprint(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "fp long, key long, at int, len int, state int")
 
 
+def larsson_sadakane(key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order and their ranks. key orders them by their first depth
+    items; groups of equal rank are refined by the rank depth items on, and depth
+    doubles, until every group is a single suffix."""
+    n = len(key)
+    order = np.argsort(key, kind="stable")
+    head = np.append(True, key[order][1:] != key[order][:-1])[:n]
+    rank = np.empty(n + 1, np.int64)
+    rank[n], rank[order] = -1, np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    while True:
+        size = np.diff(np.append(np.flatnonzero(head), n))
+        unsorted = np.flatnonzero(np.repeat(size > 1, size))
+        if not len(unsorted):
+            return order, rank[:n]
+        where = order[unsorted]
+        pair = rank[where] * (n + 1) + rank[np.minimum(where + depth, n)] + 1
+        turn = np.argsort(pair, kind="stable")
+        where, pair = where[turn], pair[turn]
+        order[unsorted] = where
+        fresh = np.append(True, pair[1:] != pair[:-1])
+        head[unsorted] = fresh
+        rank[where] = unsorted[np.maximum.accumulate(np.where(fresh, np.arange(len(unsorted)), 0))]
+        depth *= 2
+
+
 class Shard:
     """Fragments end to end, each closed by a zero byte (UTF-8 bytes are raised by one)."""
 
@@ -180,28 +205,7 @@ class Shard:
         self.starts = gather(np.arange(self.n), self.begin, count)
 
     def suffix_array(self) -> tuple[np.ndarray, np.ndarray]:
-        """Larsson-Sadakane: sort by 8 bytes, then double the depth of unsorted groups."""
-        order = np.argsort(self.word, kind="stable")
-        sorted_word = self.word[order]
-        head = np.append(True, sorted_word[1:] != sorted_word[:-1])
-        group = np.maximum.accumulate(np.where(head, np.arange(self.n), 0))
-        rank = np.empty(self.n + 1, np.int64)
-        rank[self.n], rank[order] = -1, group
-        depth = 8
-        while True:
-            size = np.diff(np.append(np.flatnonzero(head), self.n))
-            open_ = np.flatnonzero(np.repeat(size > 1, size))
-            if not len(open_):
-                return order, rank[: self.n]
-            where = order[open_]
-            key = rank[where] * (self.n + 1) + rank[np.minimum(where + depth, self.n)] + 1
-            turn = np.argsort(key, kind="stable")
-            where, key = where[turn], key[turn]
-            order[open_] = where
-            fresh = np.append(True, key[1:] != key[:-1])
-            head[open_] = fresh
-            rank[where] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(open_)), 0))]
-            depth *= 2
+        return larsson_sadakane(self.word, 8)
 
     def repeats(self) -> np.ndarray:
         """Which of self.starts have LENGTH bytes in common with another start."""

@@ -4,13 +4,16 @@ A document's set holds its distinct shingles of SHINGLE lower-cased words as 64-
 hashes; two documents link at Jaccard similarity 3/4 or more. Equal sets collapse
 first (by a 128-bit digest of the set), so copies never meet. Then, in two rounds:
 
-1. Candidates. Each set's KEEP smallest hashes are its bottom sketch; sets that share
-   one of their PROBE smallest meet in a group, and a signature tree over the sketches
-   keeps the pairs that may reach 3/4. A group of more than BLOCK sets is split in
-   blocks and every pair of blocks is worked on by itself, so that no task holds an
-   unbounded group. A pair at exactly 3/4 is missed with a chance below 1e-11 (all of
-   24 smallest hashes apart, or fewer than LEAST of 48 shared), the order of a hash
-   collision; small sets are compared exactly.
+1. Candidates. Each set's KEEP smallest hashes are its bottom sketch. Two sets that
+   reach 3/4 share LEAST or more of their union's KEEP smallest (a pair at exactly 3/4
+   shares fewer with a chance below 1e-11, the order of a hash collision; sets that fit
+   their sketches are compared exactly). So they also share one of the hashes that stay
+   when each sketch gives up its LEAST - 1 most frequent ones: a set is looked up by
+   its rarest hashes only, and not at all if no one shares these. Sets that share
+   such a hash meet in a group, where a signature tree over the sketches keeps the
+   pairs that may reach 3/4. A group of more than BLOCK sets is split in blocks and
+   every pair of blocks is worked on by itself, so that no task holds an unbounded
+   group.
 2. Verification. Candidate links form clusters (distributed components). Each set
    in one is read again whole and sent to its cluster once; a signature tree over the
    full sets finds the exact components. Clusters beyond BLOCK_TOKENS hashes are
@@ -36,7 +39,7 @@ from tarnkit.llm import common as C
 from tarnkit.llm.components import components
 from tarnkit.llm.signature_tree import SignatureTree, bottom_match
 
-SHINGLE, KEEP, PROBE, LEAST = 5, 48, 24, 13
+SHINGLE, KEEP, LEAST = 5, 48, 13
 BLOCK = 4096
 BLOCK_TOKENS = 4_000_000
 SMALL_GROUP = 8
@@ -67,22 +70,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, powers: C.Powers) -> Ite
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), set_id, probes and sketch of each document."""
+    """doc_id, n (set size), set_id and sketch of each document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = C.Powers()
         for batch in batches:
             data, offsets = C.column_bytes(batch.column(1))
             for i, j in C.runs(offsets):
-                n, ids, probes, sketches = [], [], [], []
+                n, ids, sketches = [], [], []
                 for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], powers):
                     n.append(len(s))
                     ids.append(np.array([C.mix(s + np.uint64(11)).sum(dtype=np.uint64), C.mix(s ^ np.uint64(C.BASE)).sum(dtype=np.uint64)]).tobytes())
-                    probes.append(s[:PROBE].view(np.int64))
-                    sketches.append(s[:KEEP].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(probes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n", "set_id", "probes", "sketch"])
+                    sketches.append(s[:KEEP].view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n long, set_id binary, probes array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n long, set_id binary, sketch array<long>")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -151,10 +153,14 @@ def _link_groups(keys: list[str], tokens: str, keep: int | None) -> Callable:
         links = Links()
         for table, at in whole_groups(batches, keys):
             ids, sizes, bodies = table.column("id").to_numpy(), table.column("n").to_numpy(), table.column(tokens)
+            bodies = bodies.combine_chunks() if isinstance(bodies, pa.ChunkedArray) else bodies
             for a, b in zip(at[:-1], at[1:], strict=True):
                 if b - a < 2:
                     continue
-                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in bodies[a:b]]
+                known = [links.find(int(x)) for x in ids[a:b]]
+                if len(set(known)) == 1:
+                    continue
+                sets = [_tokens(bodies[i]) for i in range(a, b)]
                 if b - a <= SMALL_GROUP:
                     for i in range(b - a):
                         for j in range(i + 1, b - a):
@@ -162,7 +168,7 @@ def _link_groups(keys: list[str], tokens: str, keep: int | None) -> Callable:
                             if 100 * min(sizes[a + i], sizes[a + j]) >= 75 * max(sizes[a + i], sizes[a + j]) and links.find(x) != links.find(y) and _pair(sets[i], sets[j], keep):
                                 links.join(x, y)
                     continue
-                root = SignatureTree(sets, sizes[a:b], keep, LEAST if keep else 0).link()
+                root = SignatureTree(sets, sizes[a:b], keep, LEAST if keep else 0).link(known)
                 for i in np.flatnonzero(root != np.arange(b - a)):
                     links.join(int(ids[a + i]), int(ids[a + root[i]]))
             if len(links.up) > 200_000:
@@ -172,6 +178,12 @@ def _link_groups(keys: list[str], tokens: str, keep: int | None) -> Callable:
     return work
 
 
+def _tokens(value: pa.Scalar) -> np.ndarray:
+    if pa.types.is_list(value.type):
+        return value.values.to_numpy().view(np.uint64)
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
 def _pair(a: np.ndarray, b: np.ndarray, keep: int | None) -> bool:
     if keep:
         return bottom_match(a, b, keep, LEAST)
@@ -195,16 +207,30 @@ def _full_sets(chosen: DataFrame) -> DataFrame:
     return chosen.select("text", *rest).mapInArrow(work, f"tokens binary, {schema}")
 
 
+def _probes(reps: DataFrame) -> DataFrame:
+    """id, probe and members: the hashes by which each set is looked up, and how many
+    sets look there.
+
+    By rising frequency a set's unshared hashes come first, and all but the last
+    LEAST - 1 of the sketch (or of a small set's own bound) are its probes."""
+    tokens = reps.select("id", F.col("n"), F.explode("sketch").alias("probe"))
+    shared = tokens.groupBy("probe").agg(F.count("*").alias("df")).where("df > 1")
+    mine = tokens.join(shared, "probe").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "probe"))).alias("shared"))
+    need = F.least(F.lit(LEAST), F.ceil(F.col("n") * 3 / 4))
+    drop = F.greatest(need - 1, F.lit(0))
+    rare = F.slice("shared", F.lit(1), F.greatest(F.size("shared") - drop, F.lit(0)).cast("int"))
+    probes = mine.select("id", F.explode(rare).alias("x")).select("id", "x.probe")
+    members = probes.groupBy("probe").agg(F.count("*").alias("members")).where("members > 1")
+    return probes.join(members, "probe")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     sets = C.staged(_sets(docs), "sets")
-    reps = sets.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("probes").alias("probes"), F.first("sketch").alias("sketch"))
+    reps = sets.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = C.staged(reps, "reps")
 
-    probes = reps.select("id", "n", F.explode("probes").alias("probe"))
-    shared = probes.groupBy("probe").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")).where("members > 1")
-    members = probes.drop("n").join(shared.select("probe", "members"), "probe")
-    grouped = members.join(reps.select("id", "n", "sketch"), "id").select("probe", "members", "id", "n", "sketch")
+    grouped = _probes(reps).join(reps.select("id", "n", "sketch"), "id").select("probe", "members", "id", "n", "sketch")
     blocks = F.ceil(F.col("members") / BLOCK)
     edges = _in_blocks(grouped, "probe", "id", blocks).select("probe", "lo", "hi", "id", "n", "sketch").mapInArrow(_link_groups(["probe", "lo", "hi"], "sketch", KEEP), "u long, v long")
     cluster = components(edges)

@@ -105,10 +105,14 @@ class SignatureTree:
             out[k] = bottom_match(mine, self.ids[self.bounds[i + k] : self.bounds[i + k + 1]], self.keep, self.least)
         return out
 
-    def link(self) -> np.ndarray:
-        """The component of each set, as the place of one of its members in the input."""
-        union = UnionFind(self.n)
-        self.union = union
+    def link(self, known: list | None = None) -> np.ndarray:
+        """The component of each set, as the place of one of its members in the input.
+
+        known: labels; sets with one label are in one component already."""
+        union = self.union = UnionFind(self.n)
+        first: dict = {}
+        for place, k in enumerate(self.order.tolist() if known else ()):
+            union.join(first.setdefault(known[k], place), place)
         i = j = np.zeros(1, np.int64)
         for level in range(len(self.levels) - 1, 0, -1):
             ok = self._possible(level, i, j) | (i == j)

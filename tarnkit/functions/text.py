@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # White space as trimming sees it, keyword separators, markup and entity tables.
 WHITE = r"\t\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -86,7 +87,7 @@ def decode_named(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_numeric(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Decimal, then hexadecimal character references of valid code points."""
     import re

@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EPOCH = F.lit("1970-01-01").cast("timestamp")
+EPOCH = "1970-01-01"
 
 
 def failures_since_success(attempts: DataFrame, key: str) -> DataFrame:
     """Failures strictly later than the key's last success."""
     last = attempts.where("success = 1").groupBy(key).agg(F.max("created_at").alias("last_success"))
-    return attempts.where("success = 0").join(last, key, "left").where(F.col("created_at") > F.coalesce("last_success", EPOCH))
+    return attempts.where("success = 0").join(last, key, "left").where(F.col("created_at") > F.coalesce("last_success", F.lit(EPOCH).cast("timestamp")))
 
 
 def streaks(attempts: DataFrame, key: str, least: int) -> DataFrame:

@@ -262,8 +262,8 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@R.add("""SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL
-  HAVING start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+@R.add("""SELECT start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type FROM events)
+  WHERE start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY start, event_type""")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = W.tumbling_counts(_event_stream(spark, sf_dir), "ts", "6 hours", "1 day", "event_type")
     return W.run_available(counts, W.scratch(spark), "counts").withColumn("start", _plain("start"))

@@ -161,7 +161,7 @@ def test_repeated_runs_equal_brute_force():
         assert (html_extract.repeated_runs(tokens, np.array(page), 4) == want).all()
 
 
-@pytest.mark.parametrize("name", ["op2_decontaminate"])
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op3_chat", "op4_secrets", "op9_near_join", "op10_quality"])
 def test_query_equals_sql(spark, sf_dir, duck, name):
     from conftest import as_set
 

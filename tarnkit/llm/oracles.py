@@ -75,7 +75,7 @@ f AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{SPACES}')) AS lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
 x AS (SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 2 * n_symbols <= 5 * n_words AND 100 * n_dup_lines <= 60 * greatest(len(lines), 5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 10 * n_symbols <= 3 * n_words AND 100 * n_dup_lines <= 60 * greatest(len(lines), 5)
   AND word_chars <= 25 * n_words AND 2 * word_chars >= 3 * n_words AS kept FROM x
 """
 

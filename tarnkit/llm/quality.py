@@ -107,7 +107,7 @@ class Rule:
 RULES = (
     Rule("too_short", lambda t: t.get("n_words") < 50, base=True),
     Rule("repetitive", lambda t: 100 * t.get("n_repeat_words") > 50 * t.get("n_words"), base=True),
-    Rule("symbols", lambda t: 2 * t.get("n_symbols") > 5 * t.get("n_words")),
+    Rule("symbols", lambda t: 10 * t.get("n_symbols") > 3 * t.get("n_words")),
     Rule("duplicate_lines", lambda t: 100 * t.get("n_dup_lines") > 60 * np.maximum(t.get("n_lines"), 5)),
     Rule("word_length", lambda t: (t.get("word_chars") > 25 * t.get("n_words")) | (2 * t.get("word_chars") < 3 * t.get("n_words"))),
 )

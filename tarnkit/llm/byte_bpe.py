@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import base64
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,11 @@ from pyspark.sql import functions as F
 
 from tarnkit.llm import common as C
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
+PIECE_BYTES = 1 << 17
 PACKET_ROWS = 400_000
+ONE, TWO = 192, 192 + 48 * 256  # the first values that take two, three and five bytes
+THREE = TWO + 15 * 65536
 OTHER, LETTER, NUMBER, SPACE = range(4)
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")  # fixed values: of the pattern's contractions
 
@@ -113,22 +116,51 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np
     return at[start]
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Compressed 32-bit values, byte plane by byte plane."""
-    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+def pack(*parts: np.ndarray) -> bytes:
+    return pack_all(parts)
+
+
+def pack_all(parts: Iterable[np.ndarray]) -> bytes:
+    """Compressed unsigned values below 2**32, small ones in fewer bytes: the first bytes
+    of all values, which tell the sizes, then all second bytes, and so on."""
+    streams: list[list[bytes]] = [[] for _ in range(5)]
+    for part in parts:
+        v = part.astype(np.int64)
+        size = 1 + (v >= ONE) + (v >= TWO) + (v >= THREE)
+        first = np.select([size == 1, size == 2, size == 3], [v, ONE + (v - ONE >> 8), 240 + (v - TWO >> 16)], 255)
+        two, three, raw = v[size == 2] - ONE, v[size == 3] - TWO, v[size == 4]
+        for stream, x in zip(streams, (first, two & 255, three >> 8 & 255, three & 255), strict=False):
+            stream.append(x.astype(np.uint8).tobytes())
+        streams[4].append(raw.astype("<u4").tobytes())
+    flat = b"".join(x for stream in streams for x in stream)
+    return len(flat).to_bytes(8, "little") + pa.compress(flat, codec="zstd", asbytes=True)
 
 
 def unpack(body: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(body, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    data = np.frombuffer(pa.decompress(body[8:], decompressed_size=int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    first = data[:n]
+    two, three, raw = np.flatnonzero((first >= ONE) & (first < 240)), np.flatnonzero((first >= 240) & (first < 255)), np.flatnonzero(first == 255)
+    cut = np.cumsum([n, len(two), len(three), len(three)])
+    out = first.astype(np.uint32)
+    out[two] = ONE + (out[two] - ONE << 8) + data[cut[0] : cut[1]]
+    out[three] = TWO + (out[three] - 240 << 16) + (data[cut[1] : cut[2]].astype(np.uint32) << 8) + data[cut[2] : cut[3]]
+    out[raw] = data[cut[3] : cut[3] + 4 * len(raw)].copy().view("<u4")
+    return out
 
 
 def gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[at[i]:at[i]+size[i]] for all i, end to end."""
-    total = np.cumsum(size)
-    shift = np.repeat(at - np.concatenate([[0], total[:-1]]), size) if len(size) else np.empty(0, np.int64)
-    return flat[shift + np.arange(len(shift))]
+    if not len(size):
+        return flat[:0]
+    cut = [0, *np.searchsorted(total := np.cumsum(size, dtype=np.int64), np.arange(PIECE_BYTES, total[-1], PIECE_BYTES)), len(size)]
+    return np.concatenate([_gather(flat, at[i:j], size[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True) if j > i])
+
+
+def _gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    total = np.cumsum(size, dtype=np.int64)
+    shift = np.repeat(at.astype(np.int64) - np.concatenate([[0], total[:-1]]), size)
+    shift += np.arange(len(shift))
+    return flat[shift]
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -141,25 +173,26 @@ def _blocks(docs: DataFrame) -> DataFrame:
             data, offsets = C.column_bytes(batch.column(1))
             for i, j in C.runs(offsets, BLOCK_BYTES):
                 body, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                keys, starts, ends = [], [], []
-                for a, b in C.runs(at):
+                seen = []  # of each piece: distinct keys, their first spans and counts; places; tokens a document
+                for a, b in C.runs(at, PIECE_BYTES):
                     part = body[at[a] : at[b]]
-                    s = pre_tokens(part, at[a : b + 1] - at[a], table)
-                    e = np.append(s[1:], len(part)) if len(s) else s
-                    keys.append(C.span_hash(C.prefix_hash(part, powers), s, e, powers))
-                    starts.append(s + at[a])
-                    ends.append(e + at[a])
-                key, start, end = map(np.concatenate, (keys, starts, ends))
-                _, first, place, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                order = np.argsort(-count, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
+                    start = pre_tokens(part, at[a : b + 1] - at[a], table)
+                    end = np.append(start[1:], len(part)) if len(start) else start
+                    key, first, place, count = np.unique(C.span_hash(C.prefix_hash(part, powers), start, end, powers), return_index=True, return_inverse=True, return_counts=True)
+                    seen.append((key, (start[first] + at[a]).astype(np.int32), (end[first] - start[first]).astype(np.int32), count.astype(np.int32), place.astype(np.int32), np.diff(np.searchsorted(start, at[a : b + 1] - at[a]))))
+                key, start, size, count = (np.concatenate([x[k] for x in seen]) for k in range(4))
+                tokens = np.concatenate([x[5] for x in seen])
+                _, first, same = np.unique(key, return_index=True, return_inverse=True)
+                order = np.argsort(-np.bincount(same, weights=count), kind="stable") if len(key) else same
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order), dtype=np.int32)
+                cut = np.cumsum([0, *(len(x[0]) for x in seen)])
+                body_of = pack_all(rank[same[c : c + len(x[0])]][x[4]] for c, x in zip(cut, seen, strict=False))
                 first = first[order]
-                size = end[first] - start[first]
-                words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(gather(body, start[first], size))])
-                tokens = np.diff(np.searchsorted(start, at))
+                start, size = start[first], size[first]
+                words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).astype(np.int32)), pa.py_buffer(gather(body, start, size))])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([tokens], pa.list_(pa.int64())), pa.array([pack(rank[place])], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
+                    [pa.array([number], pa.int64()), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([tokens], pa.list_(pa.int64())), pa.array([body_of], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
                     ["block", "doc_ids", "counts", "body", "words"],
                 )
                 number += 1
@@ -239,7 +272,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"byte_bpe_blocks_{uuid.uuid4().hex}"
-    _blocks(docs).write.bucketBy(parts, "block").option("path", f"{C.shared_dir(spark).rstrip('/')}/{name}").format("parquet").saveAsTable(name)
+    _blocks(docs).write.bucketBy(parts, "block").option("compression", "zstd").option("path", f"{C.shared_dir(spark).rstrip('/')}/{name}").format("parquet").saveAsTable(name)
     blocks = spark.table(name)
     words = blocks.select("block", F.posexplode("words").alias("place", "word")).select("block", F.col("place").cast("long").alias("place"), "word")
     packets = _encode_words(words.repartition("word").sortWithinPartitions("word"), ranks, pattern)

@@ -77,10 +77,16 @@ class Powers:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
+    @staticmethod
+    def _table(base: int, n: int) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, out=out)
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, RUN_BYTES + 1)
-            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (BASE, INVERSE))
+            n += n >> 3
+            self.up, self.down = (self._table(b, n) for b in (BASE, INVERSE))
         return self.up[:n], self.down[:n]
 
 

@@ -24,6 +24,16 @@ def delete_by(table: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return table.join(gone.select(*key).distinct(), key, "left_anti")
 
 
+def replace_for(table: DataFrame, rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """All rows of the given owners replaced by rows."""
+    return table.join(owners.select(key).distinct(), key, "left_anti").unionByName(rows)
+
+
+def is_free(table: DataFrame, column: str, value: str, but: str = "", id_: str = "id") -> bool:
+    """Whether no other row holds the value, so that it may be taken."""
+    return table.where((F.col(column) == value) & (F.col(id_) != but)).isEmpty()
+
+
 def all_of(conditions: list[Column | None]) -> Column:
     """The conditions that are given, together."""
     return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))

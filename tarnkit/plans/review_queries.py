@@ -134,3 +134,11 @@ def newest_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 50; the limit is the feature."""
     o = B.with_status(table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"), "P", ("P", "O", "F"))
     return o.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_orderdate", "o_totalprice")
+
+
+@R.add("""SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) * 100 // count(*) OVER (PARTITION BY source) AS BIGINT) AS percent FROM documents""")
+def import_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress that an import of each source reports after each document."""
+    w = Window.partitionBy("source")
+    done = F.row_number().over(w.orderBy("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.floor(done * 100 / F.count("*").over(w)).alias("percent"))

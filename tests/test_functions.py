@@ -172,3 +172,26 @@ def test_vector_bytes(spark):
 def test_embedding_is_a_unit_vector(spark):
     (v,), (zero,) = spark.createDataFrame([("abcabc",), ("a",)], "x string").select(V.embed("x")).collect()
     assert sum(x * x for x in v) == pytest.approx(1) and not any(zero)
+
+
+def test_embedding_service_is_called_in_batches_and_tried_again(spark, tmp_path):
+    mark, again = tmp_path / "failed", V.TryAgain
+
+    def service(texts):
+        from pathlib import Path
+
+        if not Path(mark).exists():
+            Path(mark).touch()
+            raise again
+        assert len(texts) <= 3
+        return [[float(len(t))] for t in texts]
+
+    embed = V.embed_with(service, batch=3, pause=0.01)
+    df = spark.createDataFrame([("x" * k,) for k in range(10)], "x string").coalesce(1)
+    assert [r[0] for r in df.select(embed("x")).collect()] == [[float(k)] for k in range(10)]
+
+    def busy(texts):
+        raise again("busy")
+
+    with pytest.raises(Exception, match="busy"):
+        df.select(V.embed_with(busy, tries=2, pause=0.01)("x")).collect()

@@ -75,6 +75,9 @@ def test_tables(spark):
     assert rows(B.page(t, [F.col("k")], 2, 1)) == [(2, "b", 0)]
     with pytest.raises(ValueError):
         B.with_status(t, "odd", ("open",))
+    owners = spark.createDataFrame([(1,)], "k long")
+    assert rows(B.replace_for(t, spark.createDataFrame([(1, "z", 5)], t.schema), owners, "k")) == [(1, "z", 5), (2, "b", 0)]
+    assert B.is_free(t, "v", "c", "0", "k") and not B.is_free(t, "v", "a", "2", "k") and B.is_free(t, "v", "a", "1", "k")
     frames = spark.createDataFrame([("g", i) for i in range(10)], "g string, i int")
     assert [r[1] for r in rows(B.evenly_sampled(frames, "g", "i", 4))] == [0, 3, 6, 9]
     assert [r[1] for r in rows(B.evenly_sampled(frames, "g", "i", 1))] == [5]

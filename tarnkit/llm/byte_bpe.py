@@ -139,12 +139,13 @@ def pack_all(parts: Iterable[np.ndarray]) -> bytes:
 def unpack(body: bytes, n: int) -> np.ndarray:
     data = np.frombuffer(pa.decompress(body[8:], decompressed_size=int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True), np.uint8)
     first = data[:n]
-    two, three, raw = np.flatnonzero((first >= ONE) & (first < 240)), np.flatnonzero((first >= 240) & (first < 255)), np.flatnonzero(first == 255)
-    cut = np.cumsum([n, len(two), len(three), len(three)])
+    two, three, raw = (first >= ONE) & (first < 240), (first >= 240) & (first < 255), first == 255
+    n_two, n_three, n_raw = (int(x.sum()) for x in (two, three, raw))
+    cut = np.cumsum([n, n_two, n_three, n_three])
     out = first.astype(np.uint32)
     out[two] = ONE + (out[two] - ONE << 8) + data[cut[0] : cut[1]]
     out[three] = TWO + (out[three] - 240 << 16) + (data[cut[1] : cut[2]].astype(np.uint32) << 8) + data[cut[2] : cut[3]]
-    out[raw] = data[cut[3] : cut[3] + 4 * len(raw)].copy().view("<u4")
+    out[raw] = data[cut[3] : cut[3] + 4 * n_raw].copy().view("<u4")
     return out
 
 
@@ -237,7 +238,9 @@ def _encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> Da
     return words.mapInArrow(work, "block long, n long, places binary, sizes binary, ids binary")
 
 
-def _assemble(joined: DataFrame) -> DataFrame:
+def _assemble(joined: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
+    """Documents from their blocks; with ranks, decoded again in the same worker."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
@@ -254,9 +257,10 @@ def _assemble(joined: DataFrame) -> DataFrame:
                     flats.append(unpack(p["ids"], int(sizes.sum())))
                     base += len(flats[-1])
                 flat = np.concatenate(flats) if flats else np.empty(0, "<u4")
-                word = unpack(body.as_py(), int(counts.sum())).astype(np.int64)
+                word = unpack(body.as_py(), int(counts.sum()))
+                packets = body = None
                 to = np.concatenate([[0], np.cumsum(counts)])
-                for a, b in C.runs(to, 500_000):
+                for a, b in C.runs(to, 200_000):
                     part = word[to[a] : to[b]]
                     ids = gather(flat, start[part], size[part]).astype("<u4")
                     total = np.concatenate([[0], np.cumsum(size[part])])
@@ -264,11 +268,15 @@ def _assemble(joined: DataFrame) -> DataFrame:
                     out = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(4 * cut), pa.py_buffer(ids)]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids.values[a:b]), pa.array(np.diff(cut), pa.int64()), out], ["doc_id", "n_tokens", "ids"])
 
-    return joined.mapInArrow(work, "doc_id long, n_tokens long, ids binary")
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _decoded(work(batches), ranks, 2)
+
+    schema = "doc_id long, n_tokens long, ids binary"
+    return joined.mapInArrow(work, schema) if ranks is None else joined.mapInArrow(both, f"{schema}, decoded binary")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each whole text."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, and_decode: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids of each whole text; also decoded, as decode gives it, if asked."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"byte_bpe_blocks_{uuid.uuid4().hex}"
@@ -278,7 +286,27 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     packets = _encode_words(words.repartition("word").sortWithinPartitions("word"), ranks, pattern)
     by_block = packets.groupBy("block").agg(F.collect_list(F.struct("n", "places", "sizes", "ids")).alias("packets"))
     joined = blocks.select("block", "doc_ids", "counts", "body").hint("merge").join(by_block, "block", "left")
-    return _assemble(joined.select("doc_ids", "counts", "body", "packets"))
+    return _assemble(joined.select("doc_ids", "counts", "body", "packets"), ranks if and_decode else None)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], place: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the bytes of the ids in column place, joined from the token-byte table."""
+    n = max(ranks.values()) + 1
+    size = np.zeros(n, np.int64)
+    for token, rank in ranks.items():
+        size[rank] = len(token)
+    start = np.cumsum(size) - size
+    flat = np.empty(int(size.sum()), np.uint8)
+    for token, rank in ranks.items():
+        flat[start[rank] : start[rank] + len(token)] = np.frombuffer(token, np.uint8)
+    for batch in batches:
+        data, offsets = C.column_bytes(batch.column(place).cast(pa.large_binary()))
+        for i, j in C.runs(offsets):
+            ids = data[offsets[i] : offsets[j]].view("<u4") if len(data) else np.empty(0, np.uint32)
+            total = np.concatenate([[0], np.cumsum(size[ids])])
+            cut = total[(offsets[i : j + 1] - offsets[i]) // 4]
+            out = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(cut), pa.py_buffer(gather(flat, start[ids], size[ids]))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, out], [*batch.schema.names, "decoded"])
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], column: str = "ids") -> DataFrame:
@@ -286,22 +314,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], column: str = "ids") ->
     place = encoded.columns.index(column)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = max(ranks.values()) + 1
-        size = np.zeros(n, np.int64)
-        for token, rank in ranks.items():
-            size[rank] = len(token)
-        start = np.cumsum(size) - size
-        flat = np.empty(int(size.sum()), np.uint8)
-        for token, rank in ranks.items():
-            flat[start[rank] : start[rank] + len(token)] = np.frombuffer(token, np.uint8)
-        for batch in batches:
-            data, offsets = C.column_bytes(batch.column(place).cast(pa.large_binary()))
-            for i, j in C.runs(offsets):
-                ids = data[offsets[i] : offsets[j]].view("<u4") if len(data) else np.empty(0, np.uint32)
-                total = np.concatenate([[0], np.cumsum(size[ids])])
-                cut = total[(offsets[i : j + 1] - offsets[i]) // 4]
-                out = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(cut), pa.py_buffer(gather(flat, start[ids], size[ids]))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, out], [*batch.schema.names, "decoded"])
+        yield from _decoded(batches, ranks, place)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(work, f"{schema}, decoded binary")
@@ -309,5 +322,5 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], column: str = "ids") ->
 
 def encode_digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of what they decode to."""
-    both = decode(encode(docs, ranks, pattern), ranks)
+    both = encode(docs, ranks, pattern, and_decode=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -306,6 +306,8 @@ def test_byte_bpe(docs, empty, tokenizer):
         want.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t or "")))
     assert result(byte_bpe.encode_digest(docs, ranks, pattern), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want)
     assert byte_bpe.encode_digest(empty, ranks, pattern).count() == 0
+    apart = byte_bpe.decode(byte_bpe.encode(docs, ranks, pattern), ranks)
+    assert sorted((r.doc_id, bytes(r.decoded).decode()) for r in apart.collect()) == sorted((i, t or "") for i, t in rows())
 
 
 def test_pre_tokens_tile_like_the_library(tokenizer):

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tarnkit.llm import common as C
 from tarnkit.llm.components import components
-from tarnkit.llm.signature_tree import SignatureTree, bottom_match
+from tarnkit.llm.signature_tree import SignatureTree, sketches_match
 
 SHINGLE, KEEP, LEAST = 5, 48, 13
 BLOCK = 4096
@@ -185,10 +185,9 @@ def _tokens(value: pa.Scalar) -> np.ndarray:
 
 
 def _pair(a: np.ndarray, b: np.ndarray, keep: int | None) -> bool:
-    if keep:
-        return bottom_match(a, b, keep, LEAST)
     shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= 75 * (len(a) + len(b) - shared)
+    total = len(a) + len(b) - shared
+    return bool(sketches_match(shared, total, keep, LEAST)) if keep else 100 * shared >= 75 * total
 
 
 def _full_sets(chosen: DataFrame) -> DataFrame:
@@ -238,8 +237,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     listed = cluster.unionByName(cluster.select(F.col("label").alias("id"), "label").distinct())
     listed = C.staged(listed.join(reps.select("id", "n"), "id"), "clusters")
     size = listed.groupBy("label").agg(F.sum("n").alias("tokens"))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(listed.hint("shuffle_hash"), "id").join(size, "label")
-    full = _full_sets(chosen.select("text", "label", "id", "n", "tokens").withColumnRenamed("tokens", "total"))
+    sized = listed.join(size.where(F.col("tokens") > BLOCK_TOKENS), "label", "left").select("id", "label", "n", F.coalesce("tokens", F.lit(1)).alias("total"))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(sized.hint("shuffle_hash"), "id")
+    full = _full_sets(chosen.select("text", "label", "id", "n", "total"))
     exact = _in_blocks(full, "label", "id", F.ceil(F.col("total") / BLOCK_TOKENS)).select("label", "lo", "hi", "id", "n", "tokens").mapInArrow(_link_groups(["label", "lo", "hi"], "tokens", None), "u long, v long")
     labels = components(exact)
 

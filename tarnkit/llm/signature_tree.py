@@ -95,15 +95,12 @@ class SignatureTree:
         return hits[at[1:]] - hits[at[:-1]]
 
     def _linked(self, a: int, i: int, j: int) -> np.ndarray:
+        """Which of the sets i to j set a links with, or may link with by sketches."""
         shared = self._overlap(a, i, j)
         if self.keep is None:
             return 100 * shared >= 75 * (self.sizes[a] + self.sizes[i:j] - shared)
-        maybe = np.flatnonzero(shared >= np.minimum(self.least, -(-3 * (self.sizes[a] + self.sizes[i:j]) // 7)))
-        out = np.zeros(j - i, bool)
-        mine = self.ids[self.bounds[a] : self.bounds[a + 1]]
-        for k in maybe:
-            out[k] = bottom_match(mine, self.ids[self.bounds[i + k] : self.bounds[i + k + 1]], self.keep, self.least)
-        return out
+        length = np.diff(self.bounds[i : j + 1])
+        return sketches_match(shared, self.bounds[a + 1] - self.bounds[a] + length - shared, self.keep, self.least)
 
     def link(self, known: list | None = None) -> np.ndarray:
         """The component of each set, as the place of one of its members in the input.
@@ -126,8 +123,7 @@ class SignatureTree:
         i, j = i[order], j[order]
         ok = (i == j) | self._possible(0, i, j)
         i, j = i[ok], j[ok]
-        step = 4096
-        at = 0
+        step, at = max(256, self.n // 8), 0  # pairs between looks at what has joined meanwhile
         while at < len(i):
             part = slice(at, at + step)
             roots = union.roots()
@@ -155,14 +151,7 @@ class SignatureTree:
                 theirs = np.array([union.find(b) for b in range(b0, b1)])
 
 
-def bottom_match(a: np.ndarray, b: np.ndarray, keep: int, least: int) -> bool:
-    """Whether two bottom sketches leave J >= 3/4 possible: exact while the union
-    fits the sketch, else by at least `least` shared among its keep smallest."""
-    both = np.sort(np.concatenate([a, b]))
-    again = both[1:] == both[:-1]
-    total = len(both) - int(again.sum())
-    if total < keep:
-        return 100 * int(again.sum()) >= 75 * total
-    distinct = np.concatenate([[True], ~again])
-    end = np.flatnonzero(np.cumsum(distinct) <= keep)[-1]
-    return int(again[:end].sum()) >= least
+def sketches_match(shared: np.ndarray, total: np.ndarray, keep: int, least: int) -> np.ndarray:
+    """Whether bottom sketches leave J >= 3/4 possible, by what they share and hold together:
+    exact while both sets fit their sketches, else by at least `least` shared hashes."""
+    return np.where(total < keep, 100 * shared >= 75 * total, shared >= least)

@@ -2,18 +2,19 @@
 
 A page is cut into blocks of text, each in a zone: the article, boilerplate by its
 markup (menus, headers, footers, sidebars, notices, adverts, forms, comments), or
-loose. Where a page marks its article, the article's blocks are the result; text that
-recurs on other pages stays then, as an article may have copies. For pages without
-an article, the loose blocks are decided by repetition: the tokens of all blocks
-outside articles are put together by host, a suffix array finds the strings of
-MIN_TOKENS tokens or more that occur on two pages or more, and the tokens that such
-strings cover are removed; what is left are the page's unique runs. A host with more
-than SHARD_TOKENS tokens is split by page.
+loose. The blocks of a marked article are main text; what recurs on other pages stays
+there, as an article may have copies. The loose blocks of every page, with an article
+or without, are decided by repetition: the tokens of all blocks outside articles are
+put together by host, a suffix array finds the strings of MIN_TOKENS tokens or more
+that occur on two pages or more, and the tokens that such strings cover are removed;
+what is left are the page's unique runs, in the page's order with its article. Beside
+an article a run shorter than MIN_TOKENS, which the search can't judge, is removed
+too. A host with more than SHARD_TOKENS tokens is split by page.
 
 Edge cases: null and empty pages have an empty text; unclosed tags, comments and
-truncated ends are taken as a browser would; pages are read whole; repeated rows are
-one page when strings are counted, and each give a result; a null url is a host of its
-own; an empty table gives an empty result; further columns are ignored, whatever their
+truncated ends are taken as a browser would; pages are read whole; repeated rows and
+pages of a host with the same blocks are one page when strings are counted, and each
+give a result; a null url is a host of its own; an empty table gives an empty result; further columns are ignored, whatever their
 names.
 """
 
@@ -62,9 +63,9 @@ def hinted(name: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> tuple[list[str], list[str], list[str], bool]:
-    """Blocks of the article, loose blocks, boilerplate blocks, and whether there is an article."""
-    out: dict[str, list[str]] = {"article": [], "loose": [], "boiler": []}
+def zoned(page: str) -> tuple[list[tuple[str, str]], bool]:
+    """(zone, text) of each block in order, and whether there is an article."""
+    out: list[tuple[str, str]] = []
     pieces: list[str] = []
     zone, articles, mains, found = "loose", 0, 0, False
     skip, depth = "", 0  # the boilerplate element that is open, and how often
@@ -74,7 +75,7 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str], bool]:
         text = " ".join(html.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            out["boiler" if skip else zone].append(text)
+            out.append(("boiler" if skip else zone, text))
 
     while at < n:
         m = TAG.search(page, at)
@@ -127,7 +128,14 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str], bool]:
                 close()
             skip, depth = name, 1
     close()
-    return out["article"], out["loose"], out["boiler"], found
+    return out, found
+
+
+def blocks(page: str) -> tuple[list[str], list[str], list[str], bool]:
+    """Blocks of the article, loose blocks, boilerplate blocks, and whether there is an article."""
+    out, found = zoned(page)
+    article, loose, boiler = ([text for zone, text in out if zone == z] for z in ("article", "loose", "boiler"))
+    return article, loose, boiler, found
 
 
 def repeated_runs(tokens: list[str], page: np.ndarray, least: int = MIN_TOKENS) -> np.ndarray:
@@ -162,20 +170,36 @@ def repeated_runs(tokens: list[str], page: np.ndarray, least: int = MIN_TOKENS)
     return np.cumsum(edge)[:n] > 0
 
 
+def unique_runs(tokens: list[str], covered: np.ndarray, least: int) -> Iterator[str]:
+    """The tokens that aren't covered, in runs of least tokens or more."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]])))
+    for a, b in zip(edge[::2], edge[1::2], strict=True):
+        if b - a >= least:
+            yield " ".join(tokens[a:b])
+
+
 def _parsed(pages: DataFrame) -> DataFrame:
+    """text, or null where loose blocks are to be decided: then open has them with the article's."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, loose, evidence = [], [], []
+            marked, texts, open_, evidence = [], [], [], []
             for value in batch.column(2):
-                article, free, boiler, found = blocks(value.as_py() or "")
-                texts.append(" ".join(article) if found or not free else None)
-                loose.append([] if found else free)
-                evidence.append([*boiler, *(free if found else [])])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 3)), pa.array(texts, pa.string()), pa.array(loose, pa.list_(pa.string())), pa.array(evidence, pa.list_(pa.string()))], ["page_id", "url", "row", "text", "loose", "evidence"])
+                every, found = zoned(value.as_py() or "")
+                loose = any(zone == "loose" for zone, _ in every)
+                kept = [(zone, text) for zone, text in every if zone != "boiler"]
+                marked.append(found)
+                texts.append(None if loose else " ".join(text for _, text in kept))
+                open_.append([{"loose": zone == "loose", "text": text} for zone, text in kept] if loose else [])
+                evidence.append([text for zone, text in every if zone == "boiler"])
+            kind = pa.list_(pa.struct([("loose", pa.bool_()), ("text", pa.string())]))
+            columns = [batch.column(0), batch.column(1), pa.array(marked, pa.bool_()), pa.array(texts, pa.string()), pa.array(open_, kind), pa.array(evidence, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "marked", "text", "open", "evidence"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("row"))
-    return keyed.mapInArrow(work, f"page_id {kind}, url string, row long, text string, loose array<string>, evidence array<string>")
+    out = pages.select("page_id", "url", "html").mapInArrow(work, f"page_id {kind}, url string, marked boolean, text string, open array<struct<loose:boolean,text:string>>, evidence array<string>")
+    host = F.lower(F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("")))
+    return out.withColumn("host", host).withColumn("row", F.xxhash64("host", "marked", "text", "open", "evidence"))
 
 
 def _unique_runs(streams: DataFrame) -> DataFrame:
@@ -183,23 +207,32 @@ def _unique_runs(streams: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, ["host", "shard"], 1024):
-            rows, loose, evidence = table.column("row").to_numpy(), table.column("loose").to_pylist(), table.column("evidence").to_pylist()
+            rows, marked, open_, evidence = table.column("row").to_numpy(), table.column("marked").to_pylist(), table.column("open").to_pylist(), table.column("evidence").to_pylist()
             got, texts = [], []
             for a, b in zip(at[:-1], at[1:], strict=True):
-                if not any(loose[a:b]):
+                if not any(open_[a:b]):
                     continue
                 tokens, page, mine = [], [], {}
                 for i in range(a, b):
-                    for k, block in enumerate([*loose[i], *evidence[i]]):
+                    for block in [*(x["text"] for x in open_[i] if x["loose"]), *evidence[i]]:
                         words = block.split(" ")
-                        if k < len(loose[i]):
-                            mine.setdefault(i, []).append((len(tokens), len(words)))
+                        mine.setdefault(i, len(tokens))
                         tokens += [*words, None]
                         page += [rows[i]] * (len(words) + 1)
                 covered = repeated_runs(tokens, np.array(page, np.int64))
-                for i, spans in mine.items():
+                for i in range(a, b):
+                    if not open_[i]:
+                        continue
+                    parts, k = [], mine[i]
+                    for x in open_[i]:
+                        if not x["loose"]:
+                            parts.append(x["text"])
+                            continue
+                        end = tokens.index(None, k)
+                        parts += unique_runs(tokens[k:end], covered[k:end], MIN_TOKENS if marked[i] else 1)
+                        k = end + 1
                     got.append(rows[i])
-                    texts.append(" ".join(tokens[k] for s, size in spans for k in range(s, s + size) if not covered[k]))
+                    texts.append(" ".join(parts))
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(texts, pa.string())], ["row", "unique"])
 
     return streams.mapInArrow(work, "row long, unique string")
@@ -208,12 +241,12 @@ def _unique_runs(streams: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     parsed = C.staged(_parsed(pages), "pages")
-    host = F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit(""))
-    size = F.aggregate(F.concat("loose", "evidence"), F.lit(0).cast("long"), lambda a, x: a + F.floor(F.length(x) / 5) + 1)
-    streams = parsed.where(F.size("loose") + F.size("evidence") > 0).select(F.lower(host).alias("host"), "row", "loose", "evidence").dropDuplicates(["row"])
-    heavy = streams.groupBy("host").agg(F.ceil(F.sum(size) / SHARD_TOKENS).alias("shards"), F.max(F.size("loose")).alias("loosest")).where("loosest > 0")
+    loose = F.transform(F.filter("open", lambda x: x["loose"]), lambda x: x["text"])
+    size = F.aggregate(F.concat(loose, "evidence"), F.lit(0).cast("long"), lambda a, x: a + F.floor(F.length(x) / 5) + 1)
+    streams = parsed.where(F.size("open") + F.size("evidence") > 0).select("host", "row", "marked", "open", "evidence").dropDuplicates(["row"])
+    heavy = streams.groupBy("host").agg(F.ceil(F.sum(size) / SHARD_TOKENS).alias("shards"), F.max(F.size("open")).alias("loosest")).where("loosest > 0")
     shard = F.pmod("row", F.col("shards")).alias("shard")
-    spread = streams.join(heavy, "host").select("host", shard, "row", "loose", "evidence").repartition("host", "shard").sortWithinPartitions("host", "shard", "row")
+    spread = streams.join(heavy, "host").select("host", shard, "row", "marked", "open", "evidence").repartition("host", "shard").sortWithinPartitions("host", "shard", "row")
     found = _unique_runs(spread).groupBy("row").agg(F.first("unique").alias("unique"))
     done = parsed.where("text is not null").select("page_id", "url", "text")
     open_ = parsed.where("text is null").select("page_id", "url", "row").join(found, "row", "left").select("page_id", "url", F.coalesce("unique", F.lit("")).alias("text"))

@@ -138,6 +138,16 @@ def test_repeated_strings_leave_pages_without_an_article(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_repeated_strings_decide_loose_blocks_beside_an_article(spark):
+    boiler = "accept all our cookies to go on with this site now"
+    pages = [(k, f"http://a.org/{k}", f"<p>lead of page {k} stands outside of its article</p><article><p>text {k}</p></article><p>{boiler}</p><p>by {k}</p>") for k in range(3)]
+    pages += [(k, f"http://b.org/{k}", "<p>one and the same page under two of the addresses</p>") for k in (10, 11)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
+    want = {k: f"lead of page {k} stands outside of its article text {k}" for k in range(3)}
+    assert got == want | {k: "one and the same page under two of the addresses" for k in (10, 11)}
+
+
 def test_repeated_runs_equal_brute_force():
     import numpy as np
 

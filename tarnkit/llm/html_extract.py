@@ -9,7 +9,9 @@ put together by host, a suffix array finds the strings of MIN_TOKENS tokens or m
 that occur on two pages or more, and the tokens that such strings cover are removed;
 what is left are the page's unique runs, in the page's order with its article. Beside
 an article a run shorter than MIN_TOKENS, which the search can't judge, is removed
-too. A host with more than SHARD_TOKENS tokens is split by page.
+too. A host with more than SHARD_TOKENS tokens is split by page; the hashes of its
+windows of MIN_TOKENS tokens are then counted over all its shards, and those that two
+pages hold go back to the shards, so the whole host is the evidence at every size.
 
 Edge cases: null and empty pages have an empty text; unclosed tags, comments and
 truncated ends are taken as a browser would; pages are read whole; repeated rows and
@@ -20,6 +22,7 @@ names.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -170,6 +173,19 @@ def repeated_runs(tokens: list[str], page: np.ndarray, least: int = MIN_TOKENS)
     return np.cumsum(edge)[:n] > 0
 
 
+def window_hashes(tokens: list[str], least: int = MIN_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows of least tokens that lie inside one block, and their hashes."""
+    names = {t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") for t in set(tokens) if t is not None}
+    ids = np.array([names.get(t, 0) for t in tokens], np.uint64)
+    ends = np.cumsum([0, *(t is None for t in tokens)])
+    n = max(0, len(tokens) - least + 1)
+    at = np.flatnonzero(ends[least : least + n] == ends[:n])
+    key = np.zeros(len(at), np.uint64)
+    for k in range(least):
+        key = C.mix(key * np.uint64(C.BASE) + ids[at + k])
+    return at, key.view(np.int64)
+
+
 def unique_runs(tokens: list[str], covered: np.ndarray, least: int) -> Iterator[str]:
     """The tokens that aren't covered, in runs of least tokens or more."""
     edge = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]])))
@@ -202,8 +218,46 @@ def _parsed(pages: DataFrame) -> DataFrame:
     return out.withColumn("host", host).withColumn("row", F.xxhash64("host", "marked", "text", "open", "evidence"))
 
 
+def _stream(rows: np.ndarray, open_: list, evidence: list) -> tuple[list[str], np.ndarray, np.ndarray, list[int]]:
+    """Tokens outside articles with None after each block, their pages, whether they are loose, and where each page starts."""
+    tokens, page, loose, starts = [], [], [], []
+    for row, mine, others in zip(rows, open_, evidence, strict=True):
+        starts.append(len(tokens))
+        for free, block in [*((True, x["text"]) for x in mine if x["loose"]), *((False, x) for x in others)]:
+            words = block.split(" ")
+            tokens += [*words, None]
+            page += [row] * (len(words) + 1)
+            loose += [free] * (len(words) + 1)
+    return tokens, np.array(page, np.int64), np.array(loose, bool), starts
+
+
+def _shared_windows(streams: DataFrame) -> DataFrame:
+    """host, shard, known: of the shards' loose windows those that occur on two pages of the host."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(batches, ["host", "shard"], 1024):
+            rows, open_, evidence = table.column("row").to_numpy(), table.column("open").to_pylist(), table.column("evidence").to_pylist()
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                tokens, page, loose, _ = _stream(rows[a:b], open_[a:b], evidence[a:b])
+                places, keys = window_hashes(tokens)
+                if not len(places):
+                    continue
+                order = np.argsort(keys, kind="stable")
+                keys, pages, free = keys[order], page[places[order]], loose[places[order]]
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                columns = [table.column("host").slice(a, 1).take([0] * len(first)).combine_chunks(), table.column("shard").slice(a, 1).take([0] * len(first)).combine_chunks()]
+                columns += [pa.array(keys[first]), pa.array(np.minimum.reduceat(pages, first)), pa.array(np.maximum.reduceat(pages, first)), pa.array(np.logical_or.reduceat(free, first))]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "shard", "key", "low", "high", "loose"])
+
+    windows = streams.mapInArrow(work, "host string, shard long, key long, low long, high long, loose boolean")
+    by_key = windows.groupBy("host", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.when(F.col("loose"), F.col("shard"))).alias("shards"))
+    return by_key.where("low != high").select("host", F.explode("shards").alias("shard"), "key").groupBy("host", "shard").agg(F.collect_list("key").alias("known"))
+
+
 def _unique_runs(streams: DataFrame) -> DataFrame:
-    """Streams by host and shard, to row and text of the pages that have loose blocks."""
+    """Streams by host and shard, to row and text of the pages that have loose blocks.
+
+    known: windows that other shards tell to be repeated."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, ["host", "shard"], 1024):
@@ -212,18 +266,18 @@ def _unique_runs(streams: DataFrame) -> DataFrame:
             for a, b in zip(at[:-1], at[1:], strict=True):
                 if not any(open_[a:b]):
                     continue
-                tokens, page, mine = [], [], {}
-                for i in range(a, b):
-                    for block in [*(x["text"] for x in open_[i] if x["loose"]), *evidence[i]]:
-                        words = block.split(" ")
-                        mine.setdefault(i, len(tokens))
-                        tokens += [*words, None]
-                        page += [rows[i]] * (len(words) + 1)
-                covered = repeated_runs(tokens, np.array(page, np.int64))
-                for i in range(a, b):
+                tokens, page, _, starts = _stream(rows[a:b], open_[a:b], evidence[a:b])
+                covered = repeated_runs(tokens, page)
+                known = pa.concat_arrays([pa.array([], pa.int64()), *(x.flatten() for x in table.column("known").slice(a, b - a).chunks)]).to_numpy()
+                if len(known):
+                    places, keys = window_hashes(tokens)
+                    places = places[np.isin(keys, known)]
+                    for k in range(MIN_TOKENS):
+                        covered[places + k] = True
+                for i, k in zip(range(a, b), starts, strict=True):
                     if not open_[i]:
                         continue
-                    parts, k = [], mine[i]
+                    parts = []
                     for x in open_[i]:
                         if not x["loose"]:
                             parts.append(x["text"])
@@ -238,6 +292,10 @@ def _unique_runs(streams: DataFrame) -> DataFrame:
     return streams.mapInArrow(work, "row long, unique string")
 
 
+def _by_shard(streams: DataFrame) -> DataFrame:
+    return streams.repartition("host", "shard").sortWithinPartitions("host", "shard", "row")
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     parsed = C.staged(_parsed(pages), "pages")
@@ -246,8 +304,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     streams = parsed.where(F.size("open") + F.size("evidence") > 0).select("host", "row", "marked", "open", "evidence").dropDuplicates(["row"])
     heavy = streams.groupBy("host").agg(F.ceil(F.sum(size) / SHARD_TOKENS).alias("shards"), F.max(F.size("open")).alias("loosest")).where("loosest > 0")
     shard = F.pmod("row", F.col("shards")).alias("shard")
-    spread = streams.join(heavy, "host").select("host", shard, "row", "marked", "open", "evidence").repartition("host", "shard").sortWithinPartitions("host", "shard", "row")
-    found = _unique_runs(spread).groupBy("row").agg(F.first("unique").alias("unique"))
+    spread = streams.join(heavy, "host").select("host", "shards", shard, "row", "marked", "open", "evidence")
+    known = _shared_windows(_by_shard(spread.where("shards > 1")))
+    none = {"row": F.lit(0).cast("long"), "marked": F.lit(False), "open": F.array().cast(spread.schema["open"].dataType), "evidence": F.array().cast("array<string>")}
+    both = spread.drop("shards").withColumn("known", F.array().cast("array<long>")).unionByName(known.withColumns(none))
+    found = _unique_runs(_by_shard(both)).groupBy("row").agg(F.first("unique").alias("unique"))
     done = parsed.where("text is not null").select("page_id", "url", "text")
     open_ = parsed.where("text is null").select("page_id", "url", "row").join(found, "row", "left").select("page_id", "url", F.coalesce("unique", F.lit("")).alias("text"))
     return done.unionByName(open_).withColumn("n_chars", F.length("text").cast("long"))

@@ -148,6 +148,18 @@ def test_repeated_strings_decide_loose_blocks_beside_an_article(spark):
     assert got == want | {k: "one and the same page under two of the addresses" for k in (10, 11)}
 
 
+def test_shards_of_a_host_share_their_evidence(spark, monkeypatch):
+    pages = [(k, "http://hot.org/", f"<p>a unique text that stands on page {k} alone {k * k}</p><p>notice {k // 2} of this site for two of all its pages</p>") for k in range(40)]
+    pages += [(k, "http://hot.org/", f"<nav>menu {k} with as many words as it takes</nav><article>{k}</article>") for k in range(40, 60)]
+    pages += [(60 + k, "http://hot.org/", f"<p>what page {k} says is said once and never again</p><p>menu {40 + k} with as many words as it takes</p>") for k in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    whole = sorted(html_extract.extract_text(df).collect())
+    monkeypatch.setattr(html_extract, "SHARD_TOKENS", 60)
+    assert sorted(html_extract.extract_text(df).collect()) == whole
+    texts = {r.page_id: r.text for r in whole}
+    assert not any("notice" in t or "menu" in t for t in texts.values()) and texts[61] == "what page 1"
+
+
 def test_repeated_runs_equal_brute_force():
     import numpy as np
 

@@ -102,6 +102,39 @@ def test_url_models_tell_held_out_urls_apart(spark):
     assert (accepted >= threshold).mean() > 0.95 and (rejected < threshold).mean() > 0.95
 
 
+def test_url_scores_equal_exact_counts(spark):
+    import math
+    from collections import Counter
+
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789é") for _ in range(24)) for _ in range(5000)]
+    labelled = spark.createDataFrame([(f"{w}.{'good' if k % 2 else 'bad'}", "allow" if k % 2 else "block") for k, w in enumerate(words)], "rest string, action string").repartition(3)
+    model, _ = url_filter.train(labelled)
+    pairs, alone = Counter(), Counter()
+    for rest, action in labelled.where("pmod(xxhash64(rest), 10) != 0").collect():
+        b = rest.encode()
+        for i in range(len(b)):
+            for k in range(5):
+                context = (action, k, (b"^" * 4 + b)[i + 4 - k : i + 4])
+                pairs[context, b[i]] += 1
+                alone[context] += 1
+
+    def brute(b):
+        total = 0.0
+        for i in range(len(b)):
+            for action, sign in (("allow", 1), ("block", -1)):
+                p = 1 / 256
+                for k in range(5):
+                    context = (action, k, (b"^" * 4 + b)[i + 4 - k : i + 4])
+                    p = (pairs[context, b[i]] + 2 * p) / (alone[context] + 2)
+                total += sign * math.log(p)
+        return total / len(b)
+
+    asked = [*words[:20], "a", "never.seen/é?", words[3]]
+    got = model.scored(spark.createDataFrame([(k, x) for k, x in enumerate([*asked, ""])], "at long, rest string").repartition(2)).orderBy("at").collect()
+    assert [x.score for x in got[:-1]] == pytest.approx([brute(x.encode()) for x in asked], abs=1e-9) and got[-1].score == 0
+
+
 @pytest.mark.parametrize(
     "page,text",
     [

@@ -15,8 +15,11 @@ Votes of the whole corpus are counted by vote vector and feature, a table whose
 size is bounded by the numbers of vectors (4 * 3**4) and feature buckets. On it
 expectation-maximisation estimates each labeler's reliability by kind, and its
 posteriors train the final span classifier, naive Bayes on hashed features.
-Base spans always stay; the classifier decides which of the other candidates join
-them. A candidate that overlaps a base span is dropped.
+Base spans always stay; the classifier's posterior alone decides which of the other
+candidates join them, against a threshold by kind that is calibrated on all of these:
+the best expected number of right decisions, where a candidate that fails its check
+counts as wrong and the labelers' posterior tells the chance of any other. A candidate
+that overlaps a base span is dropped.
 
 Edge cases: null and empty texts have no spans; texts are scanned whole; repeated
 rows are scanned row by row; an empty table gives an empty result and a model
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 BUCKETS = 64
+BINS, BIN = 320, 0.25
 
 # Cue words, gazetteers.
 CUES = {
@@ -59,6 +63,7 @@ DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SPELLED = re.compile(r"\b([A-Za-z0-9._%+-]{1,64}) ?[\[({] ?at ?[\])}] ?([A-Za-z0-9-]{1,64}(?: ?(?:[\[({] ?dot ?[\])}]|\.) ?[A-Za-z0-9-]{1,64}){1,4})", re.I)
+SPELLED_AT = re.compile(r"[\[({] ?at ?[\])}]", re.I)
 PLAIN_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 
@@ -127,7 +132,7 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     if "+" in text:
         found += [("phone", *x) for x in phones(text)]
     loose = []
-    if any(x in text for x in ("at)", "at]", "at }", "at ]", "at )", "AT)", "AT]", "At)", "at}")):
+    if SPELLED_AT.search(text):
         loose += [("email", *m.span(), False) for m in SPELLED.finditer(text)]
     loose += [("phone", *m.span(), False) for m in PLAIN_PHONE.finditer(text)] if chains else []
     sure = sorted((s, e) for _, s, e, ok in found if ok)
@@ -144,8 +149,8 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
     loose_email = kind == "email" and not base
     pattern = 1 if base else 0 if loose_email or kind == "phone" and not body.startswith("+") else -1
     if kind == "email":
-        gazetteer = 1 if re.split(r"[^a-z0-9-]+", body.lower())[-1] in DOMAINS else 0
-        shape = 1 if base or body.count("(") == body.count(")") else -1
+        gazetteer = 1 if re.split(r"[^a-z0-9-]+", body.lower())[-1] in DOMAINS else -1 if loose_email else 0
+        shape = 1 if base or body.count("(") == body.count(")") and ". " not in body else -1
     elif kind == "ip":
         gazetteer = -1 if body.startswith(RESERVED) else 0
         shape = 1 if 7 <= len(body) <= 15 else -1
@@ -210,16 +215,30 @@ class SpanClassifier:
             for key, table in (((kind, slot), mass), ((kind, slot // BUCKETS), total)):
                 table[key][1] += n * p
                 table[key][0] += n * (1 - p)
-        self.weight = {k: math.log(m[1] / total[k[0], k[1] // BUCKETS][1]) - math.log(m[0] / total[k[0], k[1] // BUCKETS][0]) for k, m in mass.items()}
+        self.weight = {k: math.log(m[1] / (total[k[0], k[1] // BUCKETS][1] + BUCKETS / 2)) - math.log(m[0] / (total[k[0], k[1] // BUCKETS][0] + BUCKETS / 2)) for k, m in mass.items()}
         self.prior = {kind: math.log(total[kind, 0][1] / total[kind, 0][0]) for kind in KINDS if (kind, 0) in total}
         self.posterior = dict(posterior)
+        self.threshold = dict.fromkeys(KINDS, 0.0)
 
-    def accepts(self, kind: str, vote: tuple[int, ...], slots: list[int]) -> bool:
-        """Both the classifier and the labelers' posterior must find the span likelier than not."""
-        if kind not in self.prior:
-            return False
-        odds = self.prior[kind] + sum(self.weight.get((kind, s), 0.0) for s in slots)
-        return odds > 0 and self.posterior.get((kind, vote), 0.0) > 0.5 and sum(v > 0 for v in vote) > sum(v < 0 for v in vote) and vote[2] > 0
+    def odds(self, kind: str, slots: list[int]) -> float:
+        """Log-odds that the span is of its kind."""
+        return self.prior[kind] + sum(self.weight.get((kind, s), 0.0) for s in slots)
+
+    def accepts(self, kind: str, slots: list[int]) -> bool:
+        return kind in self.prior and self.odds(kind, slots) >= self.threshold[kind]
+
+    def calibrate(self, counts: dict[tuple[str, tuple[int, ...], int], int]) -> None:
+        """counts: candidates beside the base spans by kind, votes and bin of the odds."""
+        for kind in KINDS:
+            gain = [0.0] * (BINS + 1)
+            for (k, v, slot), n in sorted(counts.items()):
+                if k == kind:
+                    gain[slot] += n * ((0.0 if v[0] < 0 else self.posterior[k, v]) - 0.5)
+            best, total = (0.0, BINS), 0.0
+            for slot in range(BINS - 1, -1, -1):
+                total += gain[slot]
+                best = max(best, (total, slot))
+            self.threshold[kind] = -math.inf if best[1] == 0 else math.inf if best[1] == BINS else (best[1] - BINS // 2) * BIN
 
 
 def train(docs: DataFrame) -> SpanClassifier:
@@ -238,12 +257,28 @@ def train(docs: DataFrame) -> SpanClassifier:
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(v, pa.string()), pa.array(slot, pa.int32()), pa.array(seen.values(), pa.int64())], ["kind", "v", "slot", "n"])
 
     counted = docs.select("text").mapInArrow(work, "kind string, v string, slot int, n long").groupBy("kind", "v", "slot").agg(F.sum("n").alias("n"))
-    counts = {(r.kind, tuple(map(int, r.v.split(","))), r.slot): r.n for r in counted.collect()}  # at most 4 * 81 * 6 * BUCKETS rows
+    counts = {(r.kind, tuple(map(int, r.v.split(","))), r.slot): r.n for r in sorted(counted.collect())}  # at most 4 * 81 * 6 * BUCKETS rows
     patterns: dict = defaultdict(int)
     for (kind, v, slot), n in counts.items():
         if slot < BUCKETS:
             patterns[kind, v] += n
-    return SpanClassifier(counts, expectation_maximisation(patterns))
+    model = SpanClassifier(counts, expectation_maximisation(patterns))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, str, int], int] = defaultdict(int)
+        for batch in batches:
+            for value in batch.column(0):
+                text = value.as_py()
+                for kind, s, e, base in candidates(text) if text else ():
+                    if not base:
+                        odds = math.floor(model.odds(kind, features(text, kind, s, e)) / BIN) + BINS // 2
+                        seen[kind, ",".join(map(str, votes(text, kind, s, e, base))), max(0, min(BINS - 1, odds))] += 1
+        kind, v, slot = zip(*seen, strict=True) if seen else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(v, pa.string()), pa.array(slot, pa.int32()), pa.array(seen.values(), pa.int64())], ["kind", "v", "slot", "n"])
+
+    placed = docs.select("text").mapInArrow(place, "kind string, v string, slot int, n long").groupBy("kind", "v", "slot").agg(F.sum("n").alias("n"))
+    model.calibrate({(r.kind, tuple(map(int, r.v.split(","))), r.slot): r.n for r in placed.collect()})  # at most 4 * 81 * BINS rows
+    return model
 
 
 def spans(text: str | None, model: SpanClassifier) -> tuple[list, list]:
@@ -253,7 +288,7 @@ def spans(text: str | None, model: SpanClassifier) -> tuple[list, list]:
         if ok:
             base.append((kind, s, e))
             more.append((kind, s, e))
-        elif s >= end and model.accepts(kind, votes(text, kind, s, e, ok), features(text, kind, s, e)):
+        elif s >= end and model.accepts(kind, features(text, kind, s, e)):
             more.append((kind, s, e))
             end = e
     return base, more

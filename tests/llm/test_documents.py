@@ -116,6 +116,16 @@ def test_pii(docs, empty):
     assert not any(re.search(r"@mail7|4111 1111-1111 1111|97\.51\.17\.173", t) for t in texts)
 
 
+def test_pii_joins_spans_without_a_cue(spark):
+    texts = [f"so it was user{k}@mail{k}.example.com then +1 (555) 555-{7000 + k} later 20.1.2.{k} and 4111 1111 1111 1111 end" for k in range(40)]
+    texts += ["so it was jane [at] mail [dot] org then", "so it was joe {AT} post (dOt) com then", "so it was amy (aT) home.net then", "so it was (555) 123-4567 then"]
+    wrong = ["we meet (at) noon. Then all", "a row 4111 1111 1111 1112 end", "a row 300.1.2.3 end"]
+    docs = spark.createDataFrame(list(enumerate([*texts, *wrong])), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact_pii(docs).collect()}
+    assert [got[k] for k in range(40, 44)] == ["so it was [EMAIL] then"] * 3 + ["so it was [PHONE] then"]
+    assert [got[k] for k in range(44, 47)] == wrong
+
+
 def test_pii_on_random_strings():
     r = random.Random(3)
     model = pii.SpanClassifier({}, {})

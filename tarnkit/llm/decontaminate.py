@@ -103,6 +103,8 @@ def measure_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with all their columns.
 
-    A repeated doc_id goes if any of its rows is contaminated."""
-    bad = measure_contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    A repeated doc_id goes if any of its rows is contaminated; rows without a doc_id
+    are told apart by their text."""
+    key = F.coalesce(F.concat(F.lit("id:"), docs["doc_id"].cast("string")), F.concat(F.lit("text:"), F.sha2(F.coalesce(docs["text"], F.lit("")), 256)))
+    bad = measure_contamination(docs.select(key.alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("bad_key")).distinct()
+    return docs.join(bad, key == bad["bad_key"], "left_anti").select(*docs.columns)

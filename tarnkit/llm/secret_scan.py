@@ -9,7 +9,8 @@ version stands for all copies of a blob) and joins the findings back to all path
 Spans are in code points: a text is split at the matches of a rule, and the
 lengths of the pieces and the matches add up to the places.
 
-Edge cases: a null text is scanned as an empty one; texts are scanned whole;
+Edge cases: a null text is scanned as an empty one, and a null path is a path like
+any other; texts are scanned whole;
 repeated rows each get their result; an empty table gives an empty ledger and no
 rows; further columns are ignored, whatever their names.
 """
@@ -83,7 +84,8 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
         missing = F.array_except(F.array(*(F.lit(r.kind) for r in rules)), F.coalesce("seen", F.array().cast("array<string>")))
         todo = blobs.join(seen, "blob", "left").select("blob", "path", missing.alias("kinds")).where(F.size("kinds") > 0)
     texts = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    chosen = texts.join(todo.hint("shuffle_hash"), ["blob", "path"])
+    same = (F.col("t.blob") == F.col("c.blob")) & F.col("t.path").eqNullSafe(F.col("c.path"))
+    chosen = texts.alias("t").join(todo.alias("c").hint("shuffle_hash"), same).select("t.blob", "t.text", "c.kinds")
     scan = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(F.array_contains("kinds", r.kind), found_spans(F.col("text"), r)).alias("spans")) for r in rules))
     rows = chosen.select("blob", F.explode(F.filter(scan, lambda x: x["spans"].isNotNull())).alias("x"))
     return rows.select("blob", "x.kind", "x.version", "x.spans")

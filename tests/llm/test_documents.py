@@ -151,6 +151,16 @@ def test_secrets(docs, empty):
     assert secret_scan.find_secrets(empty).count() == 0
 
 
+def test_rows_without_an_id_are_scanned_and_decontaminated(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(None, "token=abcdef"), (None, "token=abcdef"), (None, passage), (None, "clean"), (None, None), (1, passage), (2, "clean")], "doc_id long, text string")
+    got = secret_scan.find_secrets(docs).where("doc_id is null").collect()
+    assert sorted(r.spans for r in got) == ["", "", "", "assign:0:12", "assign:0:12"]
+    benchmark = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    stay = decontaminate.remove_contaminated(docs, benchmark).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in stay) == [(0, ""), (0, "clean"), (0, "token=abcdef"), (0, "token=abcdef"), (2, "clean")]
+
+
 def test_ledger_scans_each_blob_and_rule_version_once(spark):
     old = spark.createDataFrame([("a", "token=abcdef"), ("b", "token=abcdef"), ("c", None)], "path string, text string")
     ledger = secret_scan.scan_versions(old)

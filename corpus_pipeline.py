@@ -35,11 +35,12 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids (unsigned 32-bit little-endian) of each document."""
+    """doc_id, n_tokens and ids (unsigned 32-bit little-endian) of each document, and the digest of what they decode to."""
     import public_tokenizers
 
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    both = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, and_decode=True)
+    return both.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

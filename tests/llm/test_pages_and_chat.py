@@ -252,6 +252,14 @@ def test_pipeline_stages_equal_their_parts(spark, sf_dir):
     assert got == want and bad and len(good) > len(one)
 
 
+def test_last_stage_decodes_its_ids(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "plain text, 12 é😀"), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.token_stage(spark, docs, sf_dir).collect()}
+    assert got == {1: sha("plain text, 12 é😀"), 2: sha(""), 3: sha("")}
+
+
 def test_stages_but_the_last_keep_the_columns(spark, sf_dir):
     import corpus_pipeline
 

@@ -9,10 +9,13 @@ again by position. The bucketed table meets the packets without moving the docum
 again. Decoding looks ids up in the token-byte table, which is as large as the
 vocabulary and sent along with the plan.
 
-A frequent pre-token gives one row a block, whatever its count, so none is hot.
+Pre-tokens are told apart by their bytes. A frequent one gives one row a block, whatever
+its count: on a large corpus these rows meet in one task, which passes over them sorted,
+holds one word at a time and sends packets on.
 
-Character classes are asked of the tokenizer library's own pattern engine, so they
-agree with it in every Unicode version. Ids are bytes: unsigned 32-bit little-endian.
+The pattern OWN_PATTERN is cut in numpy by character classes, which are asked of the
+tokenizer library's own pattern engine, so they agree with it in every Unicode version;
+any other pattern is cut by the regex library. Ids are bytes: unsigned 32-bit little-endian.
 
 Edge cases: null and empty texts have no ids and decode to nothing; texts are encoded
 whole; repeated rows give repeated results; an empty table gives an empty result;
@@ -39,7 +42,9 @@ PACKET_ROWS = 400_000
 ONE, TWO = 192, 192 + 48 * 256  # the first values that take two, three and five bytes
 THREE = TWO + 15 * 65536
 OTHER, LETTER, NUMBER, SPACE = range(4)
-SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")  # fixed values: of the pattern's contractions
+# The pattern that pre_tokens cuts by, and its contractions.
+OWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -116,6 +121,20 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np
     return at[start]
 
 
+def matches(data: np.ndarray, offsets: np.ndarray, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """Byte places of the matches of any pattern in each text; what no match holds has no token."""
+    import regex
+
+    found, spans = regex.compile(pattern), []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        text = bytes(data[a:b]).decode()
+        at = a + np.append(code_points(data[a:b])[0], b - a)
+        ends = [m.span() for m in found.finditer(text) if m.end() > m.start()]
+        spans.append(at[np.array(ends, np.int64).reshape(-1, 2)])
+    both = np.concatenate([np.empty((0, 2), np.int64), *spans])
+    return both[:, 0], both[:, 1]
+
+
 def pack(*parts: np.ndarray) -> bytes:
     return pack_all(parts)
 
@@ -164,36 +183,38 @@ def _gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[shift]
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    classes = pa.compress(character_classes().tobytes(), codec="zstd", asbytes=True)
+def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
+    own = pattern == OWN_PATTERN
+    classes = pa.compress(character_classes().tobytes(), codec="zstd", asbytes=True) if own else b""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(pa.decompress(classes, decompressed_size=0x110000, codec="zstd", asbytes=True), np.uint8)
-        powers, number = C.Powers(), TaskContext.get().partitionId() << 32
+        table = np.frombuffer(pa.decompress(classes, decompressed_size=0x110000, codec="zstd", asbytes=True), np.uint8) if own else None
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = C.column_bytes(batch.column(1))
             for i, j in C.runs(offsets, BLOCK_BYTES):
                 body, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                seen = []  # of each piece: distinct keys, their first spans and counts; places; tokens a document
+                starts, ends, tokens = [], [], []
                 for a, b in C.runs(at, PIECE_BYTES):
-                    part = body[at[a] : at[b]]
-                    start = pre_tokens(part, at[a : b + 1] - at[a], table)
-                    end = np.append(start[1:], len(part)) if len(start) else start
-                    key, first, place, count = np.unique(C.span_hash(C.prefix_hash(part, powers), start, end, powers), return_index=True, return_inverse=True, return_counts=True)
-                    seen.append((key, (start[first] + at[a]).astype(np.int32), (end[first] - start[first]).astype(np.int32), count.astype(np.int32), place.astype(np.int32), np.diff(np.searchsorted(start, at[a : b + 1] - at[a]))))
-                key, start, size, count = (np.concatenate([x[k] for x in seen]) for k in range(4))
-                tokens = np.concatenate([x[5] for x in seen])
-                _, first, same = np.unique(key, return_index=True, return_inverse=True)
-                order = np.argsort(-np.bincount(same, weights=count), kind="stable") if len(key) else same
-                rank = np.empty(len(order), np.int32)
+                    part, rows = body[at[a] : at[b]], at[a : b + 1] - at[a]
+                    if own:
+                        start = pre_tokens(part, rows, table)
+                        end = np.append(start[1:], len(part)) if len(start) else start
+                    else:
+                        start, end = matches(part, rows, pattern)
+                    starts.append((start + at[a]).astype(np.int32))
+                    ends.append((end + at[a]).astype(np.int32))
+                    tokens.append(np.diff(np.searchsorted(start, rows)))
+                place, words = C.span_codes(body, np.concatenate(starts), np.concatenate(ends))
+                starts = ends = None
+                count = np.bincount(place, minlength=len(words))
+                order = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]  # what lies between matches has no count
+                rank = np.zeros(len(words), np.int32)
                 rank[order] = np.arange(len(order), dtype=np.int32)
-                cut = np.cumsum([0, *(len(x[0]) for x in seen)])
-                body_of = pack_all(rank[same[c : c + len(x[0])]][x[4]] for c, x in zip(cut, seen, strict=False))
-                first = first[order]
-                start, size = start[first], size[first]
-                words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).astype(np.int32)), pa.py_buffer(gather(body, start, size))])
+                body_of = pack_all(rank[place[c : c + PIECE_BYTES]] for c in range(0, len(place), PIECE_BYTES))
+                words = words.take(pa.array(order))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([tokens], pa.list_(pa.int64())), pa.array([body_of], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
+                    [pa.array([number], pa.int64()), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([np.concatenate(tokens)], pa.list_(pa.int64())), pa.array([body_of], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
                     ["block", "doc_ids", "counts", "body", "words"],
                 )
                 number += 1
@@ -276,11 +297,13 @@ def _assemble(joined: DataFrame, ranks: dict[bytes, int] | None = None) -> DataF
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, and_decode: bool = False) -> DataFrame:
-    """doc_id, n_tokens and ids of each whole text; also decoded, as decode gives it, if asked."""
+    """doc_id, n_tokens and ids of each whole text; also decoded, as decode gives it, if asked.
+
+    The blocks are a table in the shared folder, which the result reads when it runs."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"byte_bpe_blocks_{uuid.uuid4().hex}"
-    _blocks(docs).write.bucketBy(parts, "block").option("compression", "zstd").option("path", f"{C.shared_dir(spark).rstrip('/')}/{name}").format("parquet").saveAsTable(name)
+    _blocks(docs, pattern).write.bucketBy(parts, "block").option("compression", "zstd").option("path", f"{C.shared_dir(spark).rstrip('/')}/{name}").format("parquet").saveAsTable(name)
     blocks = spark.table(name)
     words = blocks.select("block", F.posexplode("words").alias("place", "word")).select("block", F.col("place").cast("long").alias("place"), "word")
     packets = _encode_words(words.repartition("word").sortWithinPartitions("word"), ranks, pattern)

@@ -7,6 +7,7 @@ about RUN_BYTES; a longer document makes a run of its own.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,9 +29,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set."""
+    """The folder that all executors share; one of this machine only where there are no others."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tarnkit-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
@@ -85,24 +88,40 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n += n >> 3
-            self.up, self.down = (self._table(b, n) for b in (BASE, INVERSE))
+            self.up, self.down = (self._table(b, n + (n >> 3)) for b in (BASE, INVERSE))
         return self.up[:n], self.down[:n]
 
 
-def prefix_hash(data: np.ndarray, powers: Powers) -> np.ndarray:
-    """Polynomial prefix sums; see span_hash."""
-    up, _ = powers.get(len(data))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return sums
+def gram_hash(data: np.ndarray, k: int, powers: Powers) -> np.ndarray:
+    """A hash of the k bytes from each place on, for places that have as many.
 
+    It only chooses places and routes rows: long strings can be made to collide, so
+    whatever decides a result compares bytes, exact codes or digests."""
+    up, down = powers.get(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    n = max(0, len(data) - k + 1)
+    return mix((sums[k : k + n] - sums[:n]) * down[:n])
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], mixed with its length."""
-    _, down = powers.get(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+def digest(body: bytes | memoryview) -> int:
+    """A 64-bit digest of bytes that nobody can make collide on purpose."""
+    return int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little")
+
+
+def span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Exact codes of spans that are sorted and apart: equal spans, and no others, share a
+    code, a place in the table that comes along (which holds what lies between spans too)."""
+    edges = np.empty(2 * len(start), np.int32)
+    edges[::2], edges[1::2] = start, end
+    parts = pa.Array.from_buffers(pa.binary(), max(0, len(edges) - 1), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = parts.dictionary_encode()
+    return coded.indices.to_numpy()[::2].astype(np.int64), coded.dictionary
+
+
+def codes(values: np.ndarray) -> np.ndarray:
+    """Equal integers get one small code, in the order of their first places."""
+    return pa.array(values).dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -143,19 +162,8 @@ def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """True where a key occurs more than once."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    flag = np.zeros(len(keys), bool)
-    flag[order[1:]] = same
-    flag[order[:-1]] |= same
-    return flag
-
-
 def later_copies(keys: np.ndarray) -> np.ndarray:
-    """True at each occurrence of a key but the first."""
-    order = np.argsort(keys, kind="stable")
-    flag = np.zeros(len(keys), bool)
-    flag[order[1:]] = keys[order][1:] == keys[order][:-1]
+    """True at each occurrence of a code but the first."""
+    flag = np.ones(len(keys), bool)
+    flag[np.unique(keys, return_index=True)[1]] = False
     return flag

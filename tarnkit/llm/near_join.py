@@ -28,6 +28,7 @@ columns are ignored, or kept by keep_one, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,12 +46,13 @@ BLOCK_TOKENS = 4_000_000
 SMALL_GROUP = 8
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, powers: C.Powers) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; words are hashed by a digest of theirs."""
     upper = (data >= 65) & (data <= 90)
     data = np.where(upper, data + 32, data).astype(np.uint8)
     start, end = C.word_spans(data, offsets)
-    word = C.span_hash(C.prefix_hash(data, powers), start, end, powers)
+    place, table = C.span_codes(data, start, end)
+    word = np.fromiter(map(C.digest, table.to_pylist()), np.uint64, len(table))[place]
     at = np.searchsorted(start, offsets)
     n = max(0, len(word) - SHINGLE + 1)
     rolled = np.zeros(n, np.uint64)
@@ -73,14 +75,13 @@ def _sets(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), set_id and sketch of each document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = C.Powers()
         for batch in batches:
             data, offsets = C.column_bytes(batch.column(1))
             for i, j in C.runs(offsets):
                 n, ids, sketches = [], [], []
-                for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], powers):
+                for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     n.append(len(s))
-                    ids.append(np.array([C.mix(s + np.uint64(11)).sum(dtype=np.uint64), C.mix(s ^ np.uint64(C.BASE)).sum(dtype=np.uint64)]).tobytes())
+                    ids.append(hashlib.blake2b(s, digest_size=16).digest())
                     sketches.append(s[:KEEP].view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "sketch"])
 
@@ -195,11 +196,10 @@ def _full_sets(chosen: DataFrame) -> DataFrame:
     rest = [c for c in chosen.columns if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = C.Powers()
         for batch in batches:
             data, offsets = C.column_bytes(batch.column(0))
             for i, j in C.runs(offsets):
-                sets = [s.tobytes() for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], powers)]
+                sets = [s.tobytes() for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
                 yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *(batch.column(k + 1).slice(i, j - i) for k in range(len(rest)))], ["tokens", *rest])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.select(*rest).schema)
@@ -252,7 +252,10 @@ def near_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest doc_id, with all its columns.
 
-    Of rows that share this doc_id one stays; rows without a doc_id all stay."""
+    Of rows that share this doc_id the one with the smallest hash of its columns (maps aside)
+    stays, also when a task is run again; rows without a doc_id all stay."""
     kept = near_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id is null"))
+    chosen = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["doc_id"], "left_semi")
+    order = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    one = chosen.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("row"))
+    return one.select("row.*").unionByName(docs.where("doc_id is null"))

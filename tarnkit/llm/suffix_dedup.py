@@ -66,9 +66,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, powers: C.Powers) -> tuple[
     if n < WINDOW:
         empty = np.empty(0, np.int64)
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    sums = C.prefix_hash(data, powers)
-    at = np.arange(n)
-    gram = C.span_hash(sums, at, at + K, powers)
+    gram = C.gram_hash(data, K, powers)
     anchor = sliding_argmin(gram)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     start = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= offsets[row + 1])
@@ -78,7 +76,9 @@ def fragments(data: np.ndarray, offsets: np.ndarray, powers: C.Powers) -> tuple[
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1 if len(first) else first
     low, high = start[first], start[last] + LENGTH
-    digest = C.mix(C.span_hash(sums, low, high, powers) + (anchor[first] - low).astype(np.uint64))
+    body = memoryview(np.ascontiguousarray(data))
+    told = np.fromiter((C.digest(body[a:b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)), np.uint64, len(low))
+    digest = C.mix(told + (anchor[first] - low).astype(np.uint64))
     return row[first], low - offsets[row[first]], high - low, gram[anchor[first]], digest
 
 

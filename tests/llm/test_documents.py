@@ -53,6 +53,40 @@ def empty(docs):
     return docs.limit(0)
 
 
+def thue_morse(k):
+    """Words over a and b that sums of powers modulo 2**64 can't tell from their complements."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_long_look_alikes_are_told_apart(spark, tokenizer):
+    (a, b), (c, d) = thue_morse(10), thue_morse(11)
+    docs = spark.createDataFrame([(1, f"{a}\n{b}"), (2, c), (3, d), (4, f"{c} {d}")], "doc_id long, text string").repartition(1)
+    assert {r.n_dup_lines for r in quality.judge_quality(docs).collect()} == {0}
+    assert result(near_join.near_components(docs), "doc_id", "component_id") == [(k, k) for k in (1, 2, 3, 4)]
+    ranks, pattern, _ = tokenizer
+    assert result(byte_bpe.encode_digest(docs, ranks, pattern), "doc_id", "decoded_sha256") == [(1, sha(f"{a}\n{b}")), (2, sha(c)), (3, sha(d)), (4, sha(f"{c} {d}"))]
+    assert result(suffix_dedup.removal_digest(docs), *SUFFIX) == suffix_model([(r.doc_id, r.text.encode()) for r in docs.collect()])
+
+
+SUFFIX = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def suffix_model(texts):
+    n = Counter(t[p : p + 200] for _, t in texts for p in range(len(t) - 199))
+    want = []
+    for i, t in texts:
+        mark = bytearray(len(t))
+        for p in range(len(t) - 199):
+            if n[t[p : p + 200]] > 1:
+                mark[p : p + 200] = b"\1" * 200
+        spans = sum(m and not (k and mark[k - 1]) for k, m in enumerate(mark))
+        want.append((i, len(t), sum(mark), spans, sha(bytes(c for c, m in zip(t, mark, strict=True) if not m))))
+    return sorted(want)
+
+
 def result(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
@@ -81,14 +115,26 @@ def test_quality(docs, empty):
 def test_quality_verdict_does_not_depend_on_the_order(docs):
     import numpy as np
 
-    from tarnkit.llm import common as C
-
     texts = [(t or "").encode() for _, t in rows()]
     data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    keeps = [quality.cascade(data, at, order, C.Powers()) == len(order) for order in (list(quality.RULES), list(quality.RULES)[::-1])]
+    keeps = []
+    for order in (list(quality.RULES), list(quality.RULES)[::-1]):
+        verdict, known = quality.cascade(data, at, order)
+        keeps.append(verdict == len(order))
+        known.complete(data, at)
+        whole = quality.Texts(data, at)
+        assert all((known.value[name] == whole.get(name)).all() for name in quality.FEATURES)
     assert (keeps[0] == keeps[1]).all()
 
 
+def test_quality_order_is_rejection_per_cost_of_what_is_left():
+    rules = [quality.Rule(name, (reads,), None) for name, reads in (("a", "x"), ("b", "x"), ("c", "y"), ("d", "z"))]
+    # a rejects 10 texts, b 9 of the same, c 6 others at a third of the cost, d none
+    rejected = {0b0011: 9, 0b0001: 1, 0b0100: 6, 0: 84}
+    order = [r.name for r in quality.best_order(tuple(rules), rejected, {"x": 3.0, "y": 1.0, "z": 1.0})]
+    assert order == ["c", "a", "b", "d"]
+
+
 def pii_model(t):
     out = []
     spec = (
@@ -246,6 +292,26 @@ def test_near_join(docs, empty, monkeypatch, block, tokens, small):
         assert near_join.near_components(empty).count() == 0
 
 
+def test_keep_one_keeps_the_same_row_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1, "one text", k) for k in range(20)] + [(1, "another text", 50), (None, "no id", 1), (None, "no id", 2)], "doc_id long, text string, n int")
+    kept = [sorted(near_join.keep_one(docs.repartition(k)).collect(), key=str) for k in (1, 2, 5)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 3
+
+
+def test_near_join_finds_planted_copies(spark):
+    """Recall on pairs from just below to well above 3/4, against the exact similarity."""
+    r, data = random.Random(31), []
+    for k in range(150):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice([30, 80, 200, 600]))]
+        other, n = list(words), r.randrange(1, max(2, len(words) // 30))
+        for _ in range(n):
+            other[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        data += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got, want = result(near_join.near_components(docs), "doc_id", "n_shingles", "component_id"), near_model(data)
+    assert got == want and 40 < sum(i != c for i, _, c in want) < 150
+
+
 def test_near_join_at_the_threshold(spark):
     words = [f"w{k}" for k in range(400)]
     data = [(1, " ".join(words[:104]))]
@@ -282,18 +348,9 @@ def test_signature_tree_finds_all_components():
 @pytest.mark.parametrize("shard", [4 << 20, 900])
 def test_suffix_dedup(docs, empty, monkeypatch, shard):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
-    texts = [(i, (t or "").encode()) for i, t in rows()]
-    n = Counter(t[p : p + 200] for _, t in texts for p in range(len(t) - 199))
-    want = []
-    for i, t in texts:
-        mark = bytearray(len(t))
-        for p in range(len(t) - 199):
-            if n[t[p : p + 200]] > 1:
-                mark[p : p + 200] = b"\1" * 200
-        spans = sum(m and not (k and mark[k - 1]) for k, m in enumerate(mark))
-        want.append((i, len(t), sum(mark), spans, sha(bytes(c for c, m in zip(t, mark, strict=True) if not m))))
+    want = suffix_model([(i, (t or "").encode()) for i, t in rows()])
     got = suffix_dedup.removal_digest(docs)
-    assert result(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want)
+    assert result(got, *SUFFIX) == want
     assert suffix_dedup.removal_digest(empty).count() == 0
 
 
@@ -330,6 +387,17 @@ def test_byte_bpe(docs, empty, tokenizer):
     assert sorted((r.doc_id, bytes(r.decoded).decode()) for r in apart.collect()) == sorted((i, t or "") for i, t in rows())
 
 
+def test_other_patterns_are_honoured(docs, tokenizer):
+    ranks, _, library = tokenizer
+    import tiktoken
+
+    pattern = r"\p{N}{1,3}|\p{L}+| "  # leaves some characters without a token
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    want = sorted((i, other.encode_ordinary(t or "")) for i, t in rows())
+    got = byte_bpe.encode(docs, ranks, pattern).collect()
+    assert sorted((r.doc_id, memoryview(r.ids).cast("I").tolist()) for r in got) == want
+
+
 def test_pre_tokens_tile_like_the_library(tokenizer):
     ranks, pattern, library = tokenizer
     import numpy as np

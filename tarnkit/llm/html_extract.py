@@ -2,34 +2,44 @@
 
 A page is cut into blocks of text, each in a zone: the article, boilerplate by its
 markup (menus, headers, footers, sidebars, notices, adverts, forms, comments), or
-loose. The blocks of a marked article are main text; what recurs on other pages stays
-there, as an article may have copies. The loose blocks of every page, with an article
-or without, are decided by repetition: the tokens of all blocks outside articles are
-put together by host, a suffix array finds the strings of MIN_TOKENS tokens or more
-that occur on two pages or more, and the tokens that such strings cover are removed;
-what is left are the page's unique runs, in the page's order with its article. Beside
-an article a run shorter than MIN_TOKENS, which the search can't judge, is removed
-too. A host with more than SHARD_TOKENS tokens is split by page; the hashes of its
-windows of MIN_TOKENS tokens are then counted over all its shards, and those that two
-pages hold go back to the shards, so the whole host is the evidence at every size.
+loose. Loose blocks are segments of their own, and blocks of another zone that follow each
+other are one. The token streams of
+all segments of a host, articles included, are put end to end, and a suffix array finds
+the strings of MIN_TOKENS tokens or more that occur on two distinct pages. What such
+strings cover outside articles is removed as boilerplate; the rest of a page is its
+unique runs, of which those stay that the markup doesn't speak against:
+
+  article   stays whole, also where other pages repeat it, as articles have copies,
+            quote each other and share licence lines
+  loose     stays where it isn't covered; beside an article a run shorter than
+            MIN_TOKENS, which the search can't judge, goes too
+  boiler    goes: covered or, as reader comments and short menus are, by its markup
+
+Pages of a host with equal articles and loose text are one page when strings are
+counted, so that copies don't make each other boilerplate. repeated and marked tell how
+many tokens of a page went because they recur and by markup alone.
+
+A host with more than SHARD_CHARS characters of HTML is split by page. The windows of
+MIN_TOKENS tokens of its loose segments are then looked up, by hash, among those of all
+its pages, and the ones that two pages hold go to the shards that ask for them. So the
+whole host is the evidence for every loose token at every size (for what is boilerplate
+by markup too, repeated counts what the shard shows).
 
 Edge cases: null and empty pages have an empty text; unclosed tags, comments and
-truncated ends are taken as a browser would; pages are read whole; repeated rows and
-pages of a host with the same blocks are one page when strings are counted, and each
-give a result; a null url is a host of its own; an empty table gives an empty result; further columns are ignored, whatever their
-names.
+truncated ends are taken as a browser would; pages are read whole; repeated rows are one
+page when strings are counted, and each give a result; a null url is a host of its own;
+an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnkit.llm import common as C
@@ -37,13 +47,14 @@ from tarnkit.llm.near_join import whole_groups
 from tarnkit.llm.suffix_dedup import larsson_sadakane
 
 MIN_TOKENS = 6
-SHARD_TOKENS = 1_000_000
+SHARD_CHARS = 6_000_000
+ARTICLE, LOOSE, BOILER = range(3)
 
 # Element and attribute names.
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "xmp", "noembed", "noframes"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 BLOCK = frozenset(("address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"))
-BOILER = frozenset(("nav", "header", "footer", "aside", "form", "menu", "head", "button", "dialog", "search"))
+BOILER_TAGS = frozenset(("nav", "header", "footer", "aside", "form", "menu", "head", "button", "dialog", "search"))
 PLAIN = frozenset(("html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6"))
 HINTS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header masthead menu modal nav navbar navigation newsletter notice popup promo related respond share sharing sidebar social sponsor sponsored subscribe toolbar".split())
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"))
@@ -55,7 +66,7 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 def hinted(name: str, attributes: str) -> bool:
     """Whether an element is boilerplate by its name, class, id or role."""
-    if name in BOILER:
+    if name in BOILER_TAGS:
         return True
     if name in PLAIN or "=" not in attributes:
         return False
@@ -134,37 +145,37 @@ def zoned(page: str) -> tuple[list[tuple[str, str]], bool]:
     return out, found
 
 
-def blocks(page: str) -> tuple[list[str], list[str], list[str], bool]:
-    """Blocks of the article, loose blocks, boilerplate blocks, and whether there is an article."""
-    out, found = zoned(page)
-    article, loose, boiler = ([text for zone, text in out if zone == z] for z in ("article", "loose", "boiler"))
-    return article, loose, boiler, found
+def segments(page: str) -> tuple[list[int], list[str], bool]:
+    """Zones and texts of the page's segments, and whether there is an article."""
+    zones: list[int] = []
+    texts: list[list[str]] = []
+    every, found = zoned(page)
+    for name, text in every:
+        zone = (ARTICLE, LOOSE, BOILER)[("article", "loose", "boiler").index(name)]
+        if zones and zones[-1] == zone != LOOSE:
+            texts[-1].append(text)
+        else:
+            zones.append(zone)
+            texts.append([text])
+    return zones, [" ".join(t) for t in texts], found
 
 
-def repeated_runs(tokens: list[str], page: np.ndarray, least: int = MIN_TOKENS) -> np.ndarray:
+def repeated_runs(ids: np.ndarray, page: np.ndarray, least: int = MIN_TOKENS) -> np.ndarray:
     """Which tokens lie in a string of least tokens or more that occurs on two pages.
 
-    tokens: the streams of all pages, None between blocks; page: the page of each."""
-    n = len(tokens)
+    ids: the tokens of all pages, a value of its own between segments; page: of each."""
+    n = len(ids)
     if n < 2 * least:
         return np.zeros(n, bool)
-    names: dict[str, int] = {}
-    ids = np.array([-1 - k if t is None else names.setdefault(t, len(names)) for k, t in enumerate(tokens)], np.int64)
-    order, rank = larsson_sadakane(ids, 1)
-    common, h = np.zeros(n, np.int64), 0
-    ids_, order_, rank_ = ids.tolist(), order.tolist(), rank.tolist()
-    for i in range(n):  # Kasai
-        if rank_[i]:
-            j = order_[rank_[i] - 1]
-            while i + h < n and j + h < n and ids_[i + h] == ids_[j + h]:
-                h += 1
-            common[rank_[i]] = h
-            h = max(h - 1, 0)
-        else:
-            h = 0
-    group = np.cumsum(common < least)
+    order, _ = larsson_sadakane(ids, 1)
+    alike = np.zeros(n, bool)  # with the suffix before it, for least tokens
+    last = n - least
+    near = np.flatnonzero((order[1:] <= last) & (order[:-1] <= last)) + 1
+    for k in range(least):
+        near = near[ids[order[near] + k] == ids[order[near - 1] + k]]
+    alike[near] = True
+    first = np.flatnonzero(~alike)
     pages = page[order]
-    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     shared = np.minimum.reduceat(pages, first) != np.maximum.reduceat(pages, first)
     starts = order[np.repeat(shared, np.diff(np.append(first, n)))]
     edge = np.zeros(n + least + 1, np.int64)
@@ -173,142 +184,167 @@ def repeated_runs(tokens: list[str], page: np.ndarray, least: int = MIN_TOKENS)
     return np.cumsum(edge)[:n] > 0
 
 
-def window_hashes(tokens: list[str], least: int = MIN_TOKENS) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the windows of least tokens that lie inside one block, and their hashes."""
-    names = {t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") for t in set(tokens) if t is not None}
-    ids = np.array([names.get(t, 0) for t in tokens], np.uint64)
-    ends = np.cumsum([0, *(t is None for t in tokens)])
-    n = max(0, len(tokens) - least + 1)
-    at = np.flatnonzero(ends[least : least + n] == ends[:n])
-    key = np.zeros(len(at), np.uint64)
-    for k in range(least):
-        key = C.mix(key * np.uint64(C.BASE) + ids[at + k])
-    return at, key.view(np.int64)
-
-
-def unique_runs(tokens: list[str], covered: np.ndarray, least: int) -> Iterator[str]:
-    """The tokens that aren't covered, in runs of least tokens or more."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]])))
-    for a, b in zip(edge[::2], edge[1::2], strict=True):
-        if b - a >= least:
-            yield " ".join(tokens[a:b])
-
-
-def _parsed(pages: DataFrame) -> DataFrame:
-    """text, or null where loose blocks are to be decided: then open has them with the article's."""
+class Stream:
+    """The tokens of segments: their bytes, codes and segments."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        self.data, self.offsets = C.column_bytes(texts)
+        self.start, self.end = C.word_spans(self.data, self.offsets)
+        self.code, self.table = C.span_codes(self.data, self.start, self.end)
+        self.segment = np.searchsorted(self.offsets, self.start, "right") - 1
+
+    def covered(self, page: np.ndarray) -> np.ndarray:
+        """Which tokens recur; page: of each segment."""
+        n, at = len(self.code) + len(page), np.arange(len(self.code)) + self.segment
+        ids, pages = np.empty(n, np.int64), np.empty(n, np.int64)
+        ends = np.cumsum(np.bincount(self.segment, minlength=len(page)) + 1) - 1
+        ids[at], pages[at] = self.code, page[self.segment]
+        ids[ends], pages[ends] = -1 - np.arange(len(page)), page
+        return repeated_runs(ids, pages)[at]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens of the windows of MIN_TOKENS tokens inside a segment, and their hashes."""
+        n = max(0, len(self.code) - MIN_TOKENS + 1)
+        at = np.flatnonzero(self.segment[:n] == self.segment[MIN_TOKENS - 1 :][:n])
+        told = np.fromiter(map(C.digest, self.table.to_pylist()), np.uint64, len(self.table))[self.code]
+        key = np.zeros(len(at), np.uint64)
+        for k in range(MIN_TOKENS):
+            key = C.mix(key * np.uint64(C.BASE) + told[at + k])
+        return at, key.view(np.int64)
+
+    def runs(self, segment: int, covered: np.ndarray, least: int) -> Iterator[str]:
+        """The segment's tokens that aren't covered, in runs of least tokens or more."""
+        a, b = np.searchsorted(self.segment, [segment, segment + 1])
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], covered[a:b], [True]]))) + a
+        for i, j in zip(edge[::2], edge[1::2], strict=True):
+            if j - i >= least:
+                yield bytes(self.data[self.start[i] : self.end[j - 1]]).decode()
+
+
+def _parsed(pages: DataFrame, shards: DataFrame) -> DataFrame:
+    """page_id, url, host, shard, page (a digest of what isn't boilerplate), marked, zones and texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked, texts, open_, evidence = [], [], [], []
-            for value in batch.column(2):
-                every, found = zoned(value.as_py() or "")
-                loose = any(zone == "loose" for zone, _ in every)
-                kept = [(zone, text) for zone, text in every if zone != "boiler"]
-                marked.append(found)
-                texts.append(None if loose else " ".join(text for _, text in kept))
-                open_.append([{"loose": zone == "loose", "text": text} for zone, text in kept] if loose else [])
-                evidence.append([text for zone, text in every if zone == "boiler"])
-            kind = pa.list_(pa.struct([("loose", pa.bool_()), ("text", pa.string())]))
-            columns = [batch.column(0), batch.column(1), pa.array(marked, pa.bool_()), pa.array(texts, pa.string()), pa.array(open_, kind), pa.array(evidence, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "marked", "text", "open", "evidence"])
+            for i, j in C.runs(C.column_bytes(batch.column(2))[1]):
+                page, marked, zones, texts = [], [], [], []
+                for value in batch.column(2).slice(i, j - i):
+                    zone, text, found = segments(value.as_py() or "")
+                    page.append(C.digest("\0".join(t for z, t in zip(zone, text, strict=True) if z != BOILER).encode()) >> 1)
+                    marked.append(found)
+                    zones.append(zone)
+                    texts.append(text)
+                columns = [*(batch.column(k).slice(i, j - i) for k in (0, 1, 3)), pa.array(page, pa.int64()), pa.array(marked, pa.bool_()), pa.array(zones, pa.list_(pa.int8())), pa.array(texts, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "page", "marked", "zones", "texts"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    out = pages.select("page_id", "url", "html").mapInArrow(work, f"page_id {kind}, url string, marked boolean, text string, open array<struct<loose:boolean,text:string>>, evidence array<string>")
-    host = F.lower(F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("")))
-    return out.withColumn("host", host).withColumn("row", F.xxhash64("host", "marked", "text", "open", "evidence"))
+    out = pages.select("page_id", "url", "html", _host()).mapInArrow(work, f"page_id {kind}, url string, host string, page long, marked boolean, zones array<byte>, texts array<string>")
+    return out.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url", "page"), F.col("shards"))).drop("shards")
 
 
-def _stream(rows: np.ndarray, open_: list, evidence: list) -> tuple[list[str], np.ndarray, np.ndarray, list[int]]:
-    """Tokens outside articles with None after each block, their pages, whether they are loose, and where each page starts."""
-    tokens, page, loose, starts = [], [], [], []
-    for row, mine, others in zip(rows, open_, evidence, strict=True):
-        starts.append(len(tokens))
-        for free, block in [*((True, x["text"]) for x in mine if x["loose"]), *((False, x) for x in others)]:
-            words = block.split(" ")
-            tokens += [*words, None]
-            page += [row] * (len(words) + 1)
-            loose += [free] * (len(words) + 1)
-    return tokens, np.array(page, np.int64), np.array(loose, bool), starts
+def _host() -> Column:
+    return F.lower(F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit(""))).alias("host")
 
 
-def _shared_windows(streams: DataFrame) -> DataFrame:
-    """host, shard, known: of the shards' loose windows those that occur on two pages of the host."""
+def _windows(parsed: DataFrame, loose: bool) -> DataFrame:
+    """host, shard, key, and the least and greatest page of the windows of all segments, or of the loose ones."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in whole_groups(batches, ["host", "shard"], 1024):
-            rows, open_, evidence = table.column("row").to_numpy(), table.column("open").to_pylist(), table.column("evidence").to_pylist()
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                tokens, page, loose, _ = _stream(rows[a:b], open_[a:b], evidence[a:b])
-                places, keys = window_hashes(tokens)
-                if not len(places):
-                    continue
-                order = np.argsort(keys, kind="stable")
-                keys, pages, free = keys[order], page[places[order]], loose[places[order]]
-                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                columns = [table.column("host").slice(a, 1).take([0] * len(first)).combine_chunks(), table.column("shard").slice(a, 1).take([0] * len(first)).combine_chunks()]
-                columns += [pa.array(keys[first]), pa.array(np.minimum.reduceat(pages, first)), pa.array(np.maximum.reduceat(pages, first)), pa.array(np.logical_or.reduceat(free, first))]
-                yield pa.RecordBatch.from_arrays(columns, ["host", "shard", "key", "low", "high", "loose"])
-
-    windows = streams.mapInArrow(work, "host string, shard long, key long, low long, high long, loose boolean")
-    by_key = windows.groupBy("host", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.when(F.col("loose"), F.col("shard"))).alias("shards"))
-    return by_key.where("low != high").select("host", F.explode("shards").alias("shard"), "key").groupBy("host", "shard").agg(F.collect_list("key").alias("known"))
-
-
-def _unique_runs(streams: DataFrame) -> DataFrame:
-    """Streams by host and shard, to row and text of the pages that have loose blocks.
-
-    known: windows that other shards tell to be repeated."""
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            zone, texts = table.column("zones").combine_chunks(), table.column("texts").combine_chunks()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(zone.offsets.to_numpy()))
+            pick = np.flatnonzero((zone.flatten().to_numpy() == LOOSE) | (not loose))
+            if not len(pick):
+                continue
+            stream = Stream(texts.flatten().take(pa.array(pick)))
+            at, key = stream.windows()
+            of = row[pick][stream.segment[at]]
+            page = table.column("page").to_numpy()[of]
+            where = np.unique(np.stack([C.codes_of(table.column("host")), table.column("shard").to_numpy()]), axis=1, return_inverse=True)[1].ravel()[of]
+            order = np.lexsort((key, where))
+            where, key, page, of = where[order], key[order], page[order], of[order]
+            first = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (key[1:] != key[:-1])))[: len(key)]
+            if len(first):
+                rows = pa.array(of[first])
+                columns = [table.column(c).combine_chunks().take(rows) for c in ("host", "shard")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(key[first]), pa.array(np.minimum.reduceat(page, first)), pa.array(np.maximum.reduceat(page, first))], ["host", "shard", "key", "low", "high"])
+
+    return parsed.select("host", "shard", "page", "zones", "texts").mapInArrow(work, "host string, shard long, key long, low long, high long")
+
+
+def _known(pages: DataFrame, shards: DataFrame) -> DataFrame | None:
+    """host, shard, known: of a split host's loose windows those that two of its pages hold."""
+    split = pages.select("page_id", "url", "html", _host().alias("of")).join(shards.where("shards > 1").withColumnRenamed("host", "of"), "of", "left_semi")
+    parsed = _parsed(split, shards)
+    asked = C.staged(_windows(parsed, True).select("host", "shard", "key").distinct(), "asked")
+    if asked.isEmpty():
+        return None
+    held = _windows(parsed, False).join(asked.select("host", "key").distinct(), ["host", "key"], "left_semi")
+    twice = held.groupBy("host", "key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high")
+    return asked.join(twice, ["host", "key"]).groupBy("host", "shard").agg(F.collect_list("key").alias("known"))  # no more than the shard's tokens
+
+
+def _extracted(streams: DataFrame, kind: str) -> DataFrame:
+    """Sorted rows of whole shards, to the text of each page."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, ["host", "shard"], 1024):
-            rows, marked, open_, evidence = table.column("row").to_numpy(), table.column("marked").to_pylist(), table.column("open").to_pylist(), table.column("evidence").to_pylist()
-            got, texts = [], []
             for a, b in zip(at[:-1], at[1:], strict=True):
-                if not any(open_[a:b]):
-                    continue
-                tokens, page, _, starts = _stream(rows[a:b], open_[a:b], evidence[a:b])
-                covered = repeated_runs(tokens, page)
-                known = pa.concat_arrays([pa.array([], pa.int64()), *(x.flatten() for x in table.column("known").slice(a, b - a).chunks)]).to_numpy()
-                if len(known):
-                    places, keys = window_hashes(tokens)
-                    places = places[np.isin(keys, known)]
-                    for k in range(MIN_TOKENS):
-                        covered[places + k] = True
-                for i, k in zip(range(a, b), starts, strict=True):
-                    if not open_[i]:
-                        continue
-                    parts = []
-                    for x in open_[i]:
-                        if not x["loose"]:
-                            parts.append(x["text"])
-                            continue
-                        end = tokens.index(None, k)
-                        parts += unique_runs(tokens[k:end], covered[k:end], MIN_TOKENS if marked[i] else 1)
-                        k = end + 1
-                    got.append(rows[i])
-                    texts.append(" ".join(parts))
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(texts, pa.string())], ["row", "unique"])
-
-    return streams.mapInArrow(work, "row long, unique string")
-
-
-def _by_shard(streams: DataFrame) -> DataFrame:
-    return streams.repartition("host", "shard").sortWithinPartitions("host", "shard", "row")
+                yield shard(table.slice(a, b - a).combine_chunks())
+
+    def shard(table: pa.Table) -> pa.RecordBatch:
+        zones, texts = (table.column(c).chunk(0) for c in ("zones", "texts"))
+        cut = zones.offsets.to_numpy() - zones.offsets[0].as_py()
+        zone, text = zones.flatten().to_numpy(), texts.flatten()
+        row = np.repeat(np.arange(table.num_rows), np.diff(cut))
+        _, first, of = np.unique(table.column("page").to_numpy(), return_index=True, return_inverse=True)
+        stand = first[of]  # the page that stands for all of equal text
+        used = np.flatnonzero((zone == BOILER) | (stand[row] == row))
+        place = np.full(len(zone), -1)
+        place[used] = np.arange(len(used))
+        stream = Stream(text.take(pa.array(used)))
+        covered = stream.covered(of[row[used]])
+        known = pa.concat_arrays([pa.array([], pa.int64()), *(x.flatten() for x in table.column("known").chunks)]).to_numpy()
+        if len(known):
+            begin, key = stream.windows()
+            begin = begin[(zone[used] == LOOSE)[stream.segment[begin]] & np.isin(key, known)]
+            for k in range(MIN_TOKENS):
+                covered[begin + k] = True
+        repeats, size = (np.bincount(stream.segment, weights=w, minlength=len(used)).astype(np.int64) for w in (covered, np.ones(len(covered))))
+        marked = table.column("marked").to_pylist()
+        out, repeated, by_mark = [], [], []
+        for r in range(table.num_rows):
+            parts, n_repeated, n_marked = [], 0, 0
+            theirs = iter(np.flatnonzero(zone[cut[stand[r]] : cut[stand[r] + 1]] == LOOSE) + cut[stand[r]])
+            for s in range(cut[r], cut[r + 1]):
+                if zone[s] == ARTICLE:
+                    parts.append(text[s].as_py())
+                elif zone[s] == LOOSE:
+                    k = place[next(theirs)]
+                    parts += stream.runs(k, covered, MIN_TOKENS if marked[r] else 1)
+                    n_repeated += int(repeats[k])
+                else:
+                    n_repeated += int(repeats[place[s]])
+                    n_marked += int(size[place[s]] - repeats[place[s]])
+            out.append(" ".join(parts))
+            repeated.append(n_repeated)
+            by_mark.append(n_marked)
+        real = table.column("real").combine_chunks()
+        columns = [table.column("page_id").combine_chunks(), table.column("url").combine_chunks(), pa.array(out, pa.string()), pa.array(repeated, pa.int64()), pa.array(by_mark, pa.int64())]
+        return pa.RecordBatch.from_arrays([c.filter(real) for c in columns], ["page_id", "url", "text", "repeated", "marked"])
+
+    return streams.mapInArrow(work, f"page_id {kind}, url string, text string, repeated long, marked long")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of each page."""
-    parsed = C.staged(_parsed(pages), "pages")
-    loose = F.transform(F.filter("open", lambda x: x["loose"]), lambda x: x["text"])
-    size = F.aggregate(F.concat(loose, "evidence"), F.lit(0).cast("long"), lambda a, x: a + F.floor(F.length(x) / 5) + 1)
-    streams = parsed.where(F.size("open") + F.size("evidence") > 0).select("host", "row", "marked", "open", "evidence").dropDuplicates(["row"])
-    heavy = streams.groupBy("host").agg(F.ceil(F.sum(size) / SHARD_TOKENS).alias("shards"), F.max(F.size("open")).alias("loosest")).where("loosest > 0")
-    shard = F.pmod("row", F.col("shards")).alias("shard")
-    spread = streams.join(heavy, "host").select("host", "shards", shard, "row", "marked", "open", "evidence")
-    known = _shared_windows(_by_shard(spread.where("shards > 1")))
-    none = {"row": F.lit(0).cast("long"), "marked": F.lit(False), "open": F.array().cast(spread.schema["open"].dataType), "evidence": F.array().cast("array<string>")}
-    both = spread.drop("shards").withColumn("known", F.array().cast("array<long>")).unionByName(known.withColumns(none))
-    found = _unique_runs(_by_shard(both)).groupBy("row").agg(F.first("unique").alias("unique"))
-    done = parsed.where("text is not null").select("page_id", "url", "text")
-    open_ = parsed.where("text is null").select("page_id", "url", "row").join(found, "row", "left").select("page_id", "url", F.coalesce("unique", F.lit("")).alias("text"))
-    return done.unionByName(open_).withColumn("n_chars", F.length("text").cast("long"))
+    """page_id, url, text, n_chars, repeated and marked of each page."""
+    shards = pages.groupBy(_host()).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.coalesce(F.length("html"), F.lit(0))) / SHARD_CHARS)).alias("shards"))
+    known = _known(pages, shards)
+    rows = _parsed(pages, shards).withColumns({"known": F.array().cast("array<long>"), "real": F.lit(True)})
+    if known is not None:
+        none = {"page_id": F.lit(None).cast(pages.schema["page_id"].dataType), "url": F.lit(None).cast("string"), "page": F.lit(-1).cast("long"), "marked": F.lit(False), "zones": F.array().cast("array<byte>"), "texts": F.array().cast("array<string>"), "real": F.lit(False)}
+        rows = rows.unionByName(known.withColumns(none))
+    streams = rows.repartition("host", "shard").sortWithinPartitions("host", "shard", "page")
+    out = _extracted(streams, pages.schema["page_id"].dataType.simpleString())
+    return out.withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "repeated", "marked")

@@ -88,13 +88,13 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n long, set_id binary, sketch array<long>")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows: int = 4096, least_bytes: int = 32 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Sorted batches regrouped so that no key is split; with the groups' offsets."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-        if sum(b.num_rows for b in held) >= least_rows:
+        if sum(b.num_rows for b in held) >= least_rows or sum(b.nbytes for b in held) >= least_bytes:
             table = pa.Table.from_batches(held).combine_chunks()
             at = _offsets(table, keys)
             if len(at) > 2:

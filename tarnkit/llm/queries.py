@@ -52,7 +52,7 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of pages."""
     from tarnkit.llm.html_extract import extract_text
 
-    return extract_text(read_table(spark, sf_dir, "pages"))
+    return extract_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:

@@ -156,8 +156,8 @@ def test_url_scores_equal_exact_counts(spark):
     ],
 )
 def test_html_blocks(page, text):
-    article, loose, _, found = html_extract.blocks(page or "")
-    assert " ".join(article if found else loose) == text
+    zones, texts, found = html_extract.segments(page or "")
+    assert " ".join(t for z, t in zip(zones, texts, strict=True) if z == (html_extract.ARTICLE if found else html_extract.LOOSE)) == text
 
 
 def test_repeated_strings_leave_pages_without_an_article(spark):
@@ -186,9 +186,9 @@ def test_shards_of_a_host_share_their_evidence(spark, monkeypatch):
     pages += [(k, "http://hot.org/", f"<nav>menu {k} with as many words as it takes</nav><article>{k}</article>") for k in range(40, 60)]
     pages += [(60 + k, "http://hot.org/", f"<p>what page {k} says is said once and never again</p><p>menu {40 + k} with as many words as it takes</p>") for k in range(20)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    whole = sorted(html_extract.extract_text(df).collect())
-    monkeypatch.setattr(html_extract, "SHARD_TOKENS", 60)
-    assert sorted(html_extract.extract_text(df).collect()) == whole
+    whole = sorted(html_extract.extract_text(df).select("page_id", "url", "text", "n_chars").collect())
+    monkeypatch.setattr(html_extract, "SHARD_CHARS", 600)
+    assert sorted(html_extract.extract_text(df).select(*whole[0].__fields__).collect()) == whole
     texts = {r.page_id: r.text for r in whole}
     assert not any("notice" in t or "menu" in t for t in texts.values()) and texts[61] == "what page 1"
 
@@ -213,7 +213,76 @@ def test_repeated_runs_equal_brute_force():
             if len({page[i] for i in at}) > 1:
                 for i in at:
                     want[i : i + 4] = True
-        assert (html_extract.repeated_runs(tokens, np.array(page), 4) == want).all()
+        names = {}
+        ids = np.array([-1 - k if t is None else names.setdefault(t, len(names)) for k, t in enumerate(tokens)])
+        assert (html_extract.repeated_runs(ids, np.array(page), 4) == want).all()
+
+
+def extract_model(pages):
+    """The operator's rule by brute force over all windows of a host."""
+    least, hosts = html_extract.MIN_TOKENS, {}
+    cut = []
+    for _, url, page in pages:
+        zones, texts, found = html_extract.segments(page or "")
+        host = (re.search("://([^/?#]*)", url or "") or [None, ""])[1].lower()
+        own = tuple(t for z, t in zip(zones, texts, strict=True) if z != html_extract.BOILER)
+        cut.append((host, own, [(z, t.split(" ")) for z, t in zip(zones, texts, strict=True)], found))
+        for _, w in cut[-1][2]:
+            for k in range(len(w) - least + 1):
+                hosts.setdefault((host, tuple(w[k : k + least])), set()).add(own)
+    out = []
+    for (page_id, url, _), (host, _, parts, found) in zip(pages, cut, strict=True):
+        text, repeated, marked = [], 0, 0
+        for zone, w in parts:
+            hit = [any(len(hosts.get((host, tuple(w[j : j + least])), ())) > 1 for j in range(max(0, k - least + 1), k + 1)) for k in range(len(w))]
+            if zone == html_extract.ARTICLE:
+                text += w
+                continue
+            repeated += sum(hit)
+            if zone == html_extract.BOILER:
+                marked += len(w) - sum(hit)
+                continue
+            run = []
+            for word, bad in [*zip(w, hit, strict=True), (None, True)]:
+                if bad:
+                    text += run if len(run) >= (least if found else 1) else []
+                    run = []
+                else:
+                    run.append(word)
+        out.append((page_id, url, " ".join(text), len(" ".join(text)), repeated, marked))
+    return sorted(out, key=str)
+
+
+def made_pages(n):
+    r = random.Random(12)
+    words = lambda k: " ".join(r.choice("alpha beta gamma delta eps zeta eta theta".split()) + str(r.randrange(4)) for _ in range(k))
+    menus, articles, notes = [words(9) for _ in range(3)], [f"<article><h1>{words(5)}</h1><p>{words(40)}</article>" for _ in range(8)], [words(12) for _ in range(4)]
+    out = [(None, None, None), (1, "http://a.org", ""), (2, "HTTP://A.org/x", f"<p>{notes[0]}</p>"), (2, "HTTP://A.org/x", f"<p>{notes[0]}</p>")]
+    for k in range(n):
+        body = r.choice([*articles, f"<article>{words(30)}</article>", f"<p>{words(20)}</p><p>{r.choice(notes)}</p>"])
+        loose = r.choice(["", "", f"<p>{r.choice(notes)}</p>", f"<p>{words(8)}</p>", f"<div>{words(3)}</div>"])
+        comment = r.choice(["", f"<div class=comments><p>{words(10)}</div>"])
+        out.append((10 + k, f"http://{r.choice('aab')}.org/{k}", f"<nav><li>{'<li>'.join(r.choice(menus).split(' '))}</nav>{loose}{body}{comment}<footer>{r.choice(notes)}</footer>"))
+    return out
+
+
+def test_whole_pages_equal_brute_force(spark, monkeypatch):
+    pages = made_pages(120)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    want = extract_model(pages)
+    assert sorted((tuple(r[c] for c in ("page_id", "url", "text", "n_chars", "repeated", "marked")) for r in html_extract.extract_text(df).collect()), key=str) == want
+    assert sum(x[4] for x in want) > 1000
+    monkeypatch.setattr(html_extract, "SHARD_CHARS", 4000)
+    assert sorted((tuple(r) for r in html_extract.extract_text(df).select("page_id", "url", "text", "n_chars").collect()), key=str) == [x[:4] for x in want]
+
+
+def test_query_removes_repeated_strings_and_keeps_articles(spark, sf_dir):
+    from tarnkit.llm.common import read_table
+
+    pages = read_table(spark, sf_dir, "pages")
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
+    got = html_extract.extract_text(pages).collect()
+    assert sorted((tuple(r[c] for c in ("page_id", "url", "text", "n_chars", "repeated", "marked")) for r in got), key=str) == extract_model(rows)
 
 
 @pytest.mark.parametrize("name", ["op2_decontaminate", "op3_chat", "op4_secrets", "op9_near_join", "op10_quality"])

@@ -4,18 +4,17 @@ Words are runs of letters, digits and characters beyond ASCII, with A-Z lowered.
 A window is WINDOW consecutive words of a benchmark item; a shorter item is one
 window as a whole. The scan of a document runs inside one row: its words are made
 once, and each position is probed by the hash of its first SEED words against the
-hash set of the windows' first words, which travels with the plan. Positions that
-pass give the words of a window there, which a join with the windows verifies.
-
-The hash set is sent along only while it is small: beyond MAX_SEEDS the probe is
-left out, and the join with the windows, then a shuffle join, decides alone. The
-windows are broadcast by Spark's own size rule.
+hash set of the windows' first words, which travels with the plan as bits: 16 for a
+seed, MOST_BITS (2 MB) at most. Positions that pass give the words of a window there,
+which a join with the windows verifies, so what the bits let through by chance costs
+time and never a result. Larger benchmarks go the same way; beyond a million seeds more
+positions pass by chance. The windows are broadcast by Spark's own size rule.
 
 Edge cases: a null or empty text has no words and no hits; an item without words
 has no windows; repeated items or documents count for themselves, repeated item ids
 once; without benchmark rows nothing is hit; an empty documents table gives an
-empty result; further columns are ignored by measure_contamination and kept by
-remove_contaminated, whatever their names.
+empty result; rows without a doc_id are measured like any others; further columns are
+ignored by measure_contamination and kept by remove_contaminated, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from tarnkit.llm.common import let
 
 WINDOW = 13
 SEED = 4
-MAX_SEEDS = 50_000
+LEAST_BITS, MOST_BITS = 1 << 12, 1 << 24
 WORD = "[0-9a-z\\x{80}-\\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,26 +53,36 @@ def seed_hash(w: Column, i: Column, size: Column) -> Column:
     return F.xxhash64(F.least(size, F.lit(SEED)), *firsts)
 
 
-def candidates(text: Column, sizes: list[int], seeds: list[int] | None) -> Column:
+def seed_bits(seeds: DataFrame) -> tuple[int, Column]:
+    """The number of bits, and the set of seeds as an array of longs of 64 bits."""
+    n = seeds.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
+    slot = F.pmod("seed", F.lit(size))
+    rows = seeds.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits")).collect()  # at most MOST_BITS / 64
+    bits = [0] * (size // 64)
+    for r in rows:
+        bits[r["at"]] = r["bits"]
+    return size, F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # folded into one literal
+
+
+def candidates(text: Column, sizes: list[int], size: int, bits: Column) -> Column:
     """The number of words, and (at, size, window) wherever a window may occur."""
     empty = F.array().cast("array<struct<at:int,size:int,window:string>>")
-    if not sizes:
-        return let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), empty.alias("found")))
-    probes = sorted({min(size, SEED) for size in sizes})
-    listed = F.expr(f"array({','.join(map(str, sizes))})")
-
-    def probe(w: Column, i: Column) -> Column:
-        out = F.lit(False)
-        for p in probes:
-            key = F.xxhash64(F.lit(p), *(F.get(w, i + k) if k < p else F.lit(None).cast("string") for k in range(SEED)))
-            out = out | key.isin(seeds)
-        return out
+
+    def probe(w: Column, i: Column, p: int) -> Column:
+        key = F.xxhash64(F.lit(p), *(F.get(w, i + k) if k < p else F.lit(None).cast("string") for k in range(SEED)))
+        slot = F.pmod(key, F.lit(size))
+        return F.call_function("shiftright", F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(63).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    def places(w: Column, p: int) -> Column:
+        """Where windows may start whose size gives p words to the probe."""
+        listed = F.array(*(F.lit(s) for s in sizes if min(s, SEED) == p))
+        passed = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: probe(w, i, p))
+        return F.flatten(F.transform(passed, lambda i: F.transform(F.filter(listed, lambda s: i + s <= F.size(w)), lambda s: F.struct(i.alias("at"), s.alias("size"), F.array_join(F.slice(w, i + 1, s), " ").alias("window")))))
 
     def found(w: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(w) - 1)
-        places = places if seeds is None else F.filter(places, lambda i: probe(w, i))
-        each = F.transform(places, lambda i: F.transform(F.filter(listed, lambda s: i + s <= F.size(w)), lambda s: F.struct(i.alias("at"), s.alias("size"), F.array_join(F.slice(w, i + 1, s), " ").alias("window"))))
-        return F.when(F.size(w) > 0, F.flatten(each)).otherwise(empty)
+        parts = [places(w, p) for p in sorted({min(s, SEED) for s in sizes})]
+        return F.when(F.size(w) > 0, F.concat(*parts)).otherwise(empty) if parts else empty
 
     return let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), found(w).alias("found")))
 
@@ -81,10 +90,9 @@ def candidates(text: Column, sizes: list[int], seeds: list[int] | None) -> Colum
 def measure_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     table = windows(benchmark)
-    by_size = table.groupBy("size").agg(F.countDistinct("seed").alias("n")).collect()  # at most WINDOW rows
-    sizes = sorted(r["size"] for r in by_size)
-    seeds = [r.seed for r in table.select("seed").distinct().collect()] if sum(r.n for r in by_size) <= MAX_SEEDS else None
-    scanned = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", candidates(F.col("text"), sizes, seeds).alias("c"))
+    sizes = sorted(r["size"] for r in table.select("size").distinct().collect())  # at most WINDOW rows
+    size, bits = seed_bits(table.select("seed").distinct())
+    scanned = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", candidates(F.col("text"), sizes, size, bits).alias("c"))
     each = scanned.select("row", "doc_id", F.col("c.n").alias("n_words"), F.explode_outer("c.found").alias("f")).select("row", "doc_id", "n_words", "f.*")
     hits = each.join(table.select("window", "size", "items"), ["window", "size"], "left")
     ends = F.array_sort(F.collect_list(F.when(F.col("items").isNotNull(), F.struct("at", (F.col("at") + F.col("size")).alias("end")))))
@@ -104,7 +112,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with all their columns.
 
     A repeated doc_id goes if any of its rows is contaminated; rows without a doc_id
-    are told apart by their text."""
+    are told apart by their text, so copies of one go or stay together."""
     key = F.coalesce(F.concat(F.lit("id:"), docs["doc_id"].cast("string")), F.concat(F.lit("text:"), F.sha2(F.coalesce(docs["text"], F.lit("")), 256)))
     bad = measure_contamination(docs.select(key.alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("bad_key")).distinct()
     return docs.join(bad, key == bad["bad_key"], "left_anti").select(*docs.columns)

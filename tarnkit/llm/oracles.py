@@ -36,6 +36,18 @@ FROM e GROUP BY conv_id
 """
 
 
+KEY = """((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+COUNTS = f"""len(list_filter(regexp_extract_all(text, '{KEY}', 2), lambda x: length(x) >= 6)) AS a, len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS b,
+  len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS c"""
+RUNS = f"""
+WITH d AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents), t AS (SELECT DISTINCT coalesce(text, '') AS text FROM conversations),
+o AS (SELECT {COUNTS} FROM d), n AS (SELECT {COUNTS} FROM t WHERE text NOT IN (SELECT text FROM d)), e AS (SELECT * FROM o UNION ALL SELECT * FROM n)
+SELECT 1 AS run, count(*) AS n_blobs, 3 * count(*) AS n_pairs, CAST(coalesce(sum(a + b + c), 0) AS BIGINT) AS n_spans FROM o
+UNION ALL SELECT 2, count(*), 3 * count(*), CAST(coalesce(sum(a + b + c), 0) AS BIGINT) FROM n
+UNION ALL SELECT 3, count(*), count(*), CAST(coalesce(sum(b), 0) AS BIGINT) FROM e
+"""
+
+
 def _op4() -> str:
     kinds = (
         ("assign", 0, """((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""".replace("\\\\", "\\"), 2, 6),
@@ -79,4 +91,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND word_chars <= 25 * n_words AND 2 * word_chars >= 3 * n_words AS kept FROM x
 """
 
-ORACLES = {"op2_decontaminate": OP2, "op3_chat": OP3, "op4_secrets": _op4(), "op9_near_join": OP9, "op10_quality": OP10}
+ORACLES = {"op2_decontaminate": OP2, "op3_chat": OP3, "op4_secrets": _op4(), "secret_ledger_runs": RUNS, "op9_near_join": OP9, "op10_quality": OP10}

@@ -28,7 +28,9 @@ without evidence that adds nothing; further columns are left alone.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -51,10 +53,20 @@ CUES = {
     "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "telefon", "téléphone", "teléfono", "rufen"),
 }
 COUNTER_CUES = ("isbn", "order", "invoice", "version", "serial", "article", "section", "chapter", "commande", "bestellung", "pedido", "release")
-DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "example", "invalid", "test")
-ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "34", "37", "6011", "65", "35", "30", "36", "38")
-CALLING = ("1", "33", "34", "44", "49", "39", "31", "32", "41", "43", "45", "46", "47", "48", "351", "52", "54", "55", "61", "81", "86", "91")
-RESERVED = ("0.", "10.", "127.", "169.254.", "192.168.", "255.")
+DOMAINS = tuple(
+    "com org net edu gov mil int io info biz name pro dev app ai co me tv cc xyz online site store tech cloud blog eu uk de fr es it pt nl be lu ch at ie dk se no fi is pl cz sk hu ro bg gr hr si rs ua ru tr il "
+    "us ca mx br ar cl pe ve au nz cn jp kr in id my sg th vn ph hk tw za eg ng ke ma example invalid test localhost".split()
+)
+ISSUERS = (
+    "4", "51", "52", "53", "54", "55", "2221", "223", "224", "225", "226", "23", "24", "25", "26", "270", "271", "2720", "34", "37", "300", "301", "302", "303", "304", "305", "36", "38", "39",
+    "6011", "622", "64", "65", "3528", "353", "354", "355", "356", "357", "358", "50", "56", "57", "58", "60", "62", "63", "67", "81",
+)
+CALLING = tuple(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 211 212 213 216 218 220 221 223 225 226 227 228 229 230 231 233 234 237 "
+    "243 244 248 249 250 251 252 254 255 256 258 260 261 263 264 265 267 350 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 380 381 382 385 386 387 389 420 421 423 500 501 502 503 504 505 "
+    "506 507 509 591 592 593 595 597 598 852 853 855 856 880 886 960 961 962 963 964 965 966 967 968 971 972 973 974 975 976 977 992 993 994 995 996 998".split()
+)
+RESERVED = ("0.", "10.", "127.", "169.254.", "172.16.", "192.0.2.", "192.168.", "198.18.", "198.51.100.", "203.0.113.", *(f"{k}." for k in range(224, 256)))
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -135,12 +147,20 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     if SPELLED_AT.search(text):
         loose += [("email", *m.span(), False) for m in SPELLED.finditer(text)]
     loose += [("phone", *m.span(), False) for m in PLAIN_PHONE.finditer(text)] if chains else []
-    sure = sorted((s, e) for _, s, e, ok in found if ok)
-    return sorted([x for x in found if x[3]] + [x for x in found + loose if not x[3] and not overlaps(sure, x[1], x[2])], key=lambda x: (x[1], KINDS.index(x[0])))
+    sure = Taken(sorted((s, e) for _, s, e, ok in found if ok))
+    return sorted([x for x in found if x[3]] + [x for x in found + loose if not x[3] and not sure.overlap(x[1], x[2])], key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def overlaps(sure: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, e in sure)
+class Taken:
+    """Sorted spans, asked for overlap by binary search."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts = [s for s, _ in spans]
+        self.reach = list(itertools.accumulate((e for _, e in spans), max))
+
+    def overlap(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end)  # those before k start before the end
+        return k > 0 and self.reach[k - 1] > start
 
 
 def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int, ...]:

@@ -41,6 +41,23 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def secret_ledger_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over one ledger: documents, then conversations beside them, then both again
+    with a newer rule; the blobs and pairs that each scanned, and the spans it found."""
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from tarnkit.llm.secret_scan import RULES, Ledger
+
+    docs = read_table(spark, sf_dir, "documents").select(F.concat_ws("/", F.lit("documents"), "doc_id").alias("path"), "text")
+    turns = read_table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.lit("conversations"), "conv_id", "turn").alias("path"), "text")
+    ledger, newer = Ledger(spark), tuple(replace(r, version=2) if r.kind == "access" else r for r in RULES)
+    runs = [ledger.run(docs), ledger.run(docs.unionByName(turns)), ledger.run(docs.unionByName(turns), newer)]
+    out = [r.agg(F.lit(k + 1).alias("run"), F.countDistinct("blob").alias("n_blobs"), F.count("*").alias("n_pairs"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n_spans")) for k, r in enumerate(runs)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the urls of pages."""
     from tarnkit.llm.url_filter import filter_urls
@@ -91,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_chat": op3_chat,
     "op4_secrets": op4_secrets,
+    "secret_ledger_runs": secret_ledger_runs,
     "op5_urls": op5_urls,
     "op6_html": op6_html,
     "op7_byte_bpe": op7_byte_bpe,

@@ -251,13 +251,40 @@ def test_decontamination(spark, docs, empty):
     assert not any(r.contaminated for r in decontaminate.measure_contamination(docs, benchmark.limit(0)).collect())
 
 
-def test_decontamination_beyond_the_hash_set(docs, spark, monkeypatch):
-    benchmark = spark.createDataFrame([(1, rows()[10][1]), (2, "one")], "item_id long, text string")
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_decontamination_with_a_full_or_a_roomy_hash_set(docs, spark, monkeypatch, bits):
+    """Bits that let everything through by chance cost time and change nothing."""
+    benchmark = spark.createDataFrame([(1, rows()[10][1]), (2, "one"), (3, rows()[11][1])], "item_id long, text string")
     whole = result(decontaminate.measure_contamination(docs, benchmark), "doc_id", "n_hit", "items_sha256")
-    monkeypatch.setattr(decontaminate, "MAX_SEEDS", 0)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", bits)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
     assert result(decontaminate.measure_contamination(docs, benchmark), "doc_id", "n_hit", "items_sha256") == whole
 
 
+def test_decontamination_runs_no_python_and_shuffles_hits_alone(docs, spark):
+    benchmark = spark.createDataFrame([(1, rows()[10][1])], "item_id long, text string")
+    plan = decontaminate.measure_contamination(docs, benchmark)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_many_matches_of_one_text(spark):
+    text = " ".join(f"x token=abcdef{k} é {'0123456789ab' * 2}" for k in range(1500))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    want = sorted([(m.start(), 0, m.end()) for m in re.finditer("token=[a-z0-9]+", text)] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{24,}", text)])
+    (got,) = secret_scan.find_secrets(docs).collect()
+    assert got.spans == ",".join(f"{('assign', '', 'hex')[k]}:{s}:{e}" for s, k, e in want)
+
+
+def test_ledger_survives_between_sessions(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token=abcdef"), (2, "token=abcdef"), (3, None)], "doc_id long, text string")
+    first = secret_scan.find_secrets(docs, f"{tmp_path}/ledger").collect()
+    more = docs.unionByName(spark.createDataFrame([(4, "AKIA" + "X" * 16)], docs.schema))
+    again = {r.doc_id: r.spans for r in secret_scan.find_secrets(more, f"{tmp_path}/ledger").collect()}
+    assert {r.doc_id: r.spans for r in first} == {1: "assign:0:12", 2: "assign:0:12", 3: ""} and again == {1: "assign:0:12", 2: "assign:0:12", 3: "", 4: "access:0:20"}
+    ledger = secret_scan.Ledger(spark, f"{tmp_path}/ledger")
+    assert sorted(r["count"] for r in ledger.rows().groupBy("run").count().collect()) == [3, 6]
+
+
 def near_model(data):
     def shingles(t):
         w = re.findall(SPACE, re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))

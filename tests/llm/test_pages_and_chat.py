@@ -285,7 +285,7 @@ def test_query_removes_repeated_strings_and_keeps_articles(spark, sf_dir):
     assert sorted((tuple(r[c] for c in ("page_id", "url", "text", "n_chars", "repeated", "marked")) for r in got), key=str) == extract_model(rows)
 
 
-@pytest.mark.parametrize("name", ["op2_decontaminate", "op3_chat", "op4_secrets", "op9_near_join", "op10_quality"])
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op3_chat", "op4_secrets", "secret_ledger_runs", "op9_near_join", "op10_quality"])
 def test_query_equals_sql(spark, sf_dir, duck, name):
     from conftest import as_set
 

@@ -162,9 +162,9 @@ def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def codes_of(column: pa.ChunkedArray) -> np.ndarray:
+def codes_of(column: pa.Array) -> np.ndarray:
     """codes of a column of any kind."""
-    return column.combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    return column.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
 def later_copies(keys: np.ndarray) -> np.ndarray:

@@ -221,8 +221,9 @@ class Stream:
                 yield bytes(self.data[self.start[i] : self.end[j - 1]]).decode()
 
 
-def _parsed(pages: DataFrame, shards: DataFrame) -> DataFrame:
-    """page_id, url, host, shard, page (a digest of what isn't boilerplate), marked, zones and texts."""
+def _parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, page (a digest of what isn't boilerplate), spread (a hash of the
+    row, which deals it to a shard), marked, zones and texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,20 +240,25 @@ def _parsed(pages: DataFrame, shards: DataFrame) -> DataFrame:
 
     kind = pages.schema["page_id"].dataType.simpleString()
     out = pages.select("page_id", "url", "html", _host()).mapInArrow(work, f"page_id {kind}, url string, host string, page long, marked boolean, zones array<byte>, texts array<string>")
-    return out.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url", "page"), F.col("shards"))).drop("shards")
+    return out.withColumn("spread", F.xxhash64("page_id", "url", "page"))
 
 
 def _host() -> Column:
     return F.lower(F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit(""))).alias("host")
 
 
+def _dealt(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """rows of the hosts in shards, each with its shard in place of spread."""
+    return rows.join(shards, "host").withColumn("shard", F.pmod("spread", F.col("shards"))).drop("shards", "spread")
+
+
 def _windows(parsed: DataFrame, loose: bool) -> DataFrame:
-    """host, shard, key, and the least and greatest page of the windows of all segments, or of the loose ones."""
+    """host, key, and the page and spread of the windows of loose segments; or host, key and
+    the least and greatest page of those of all segments, once each batch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            zone, texts = table.column("zones").combine_chunks(), table.column("texts").combine_chunks()
+            zone, texts = batch.column(3), batch.column(4)
             row = np.repeat(np.arange(batch.num_rows), np.diff(zone.offsets.to_numpy()))
             pick = np.flatnonzero((zone.flatten().to_numpy() == LOOSE) | (not loose))
             if not len(pick):
@@ -260,24 +266,23 @@ def _windows(parsed: DataFrame, loose: bool) -> DataFrame:
             stream = Stream(texts.flatten().take(pa.array(pick)))
             at, key = stream.windows()
             of = row[pick][stream.segment[at]]
-            page = table.column("page").to_numpy()[of]
-            where = np.unique(np.stack([C.codes_of(table.column("host")), table.column("shard").to_numpy()]), axis=1, return_inverse=True)[1].ravel()[of]
-            order = np.lexsort((key, where))
-            where, key, page, of = where[order], key[order], page[order], of[order]
-            first = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (key[1:] != key[:-1])))[: len(key)]
-            if len(first):
-                rows = pa.array(of[first])
-                columns = [table.column(c).combine_chunks().take(rows) for c in ("host", "shard")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(key[first]), pa.array(np.minimum.reduceat(page, first)), pa.array(np.maximum.reduceat(page, first))], ["host", "shard", "key", "low", "high"])
+            page, host, spread = batch.column(1).to_numpy()[of], C.codes_of(batch.column(0))[of], batch.column(2).to_numpy()[of]
+            order = np.lexsort((spread, key, host) if loose else (key, host))
+            host, key, page, of, spread = (x[order] for x in (host, key, page, of, spread))
+            new = (host[1:] != host[:-1]) | (key[1:] != key[:-1])
+            first = np.flatnonzero(np.append(True, new | (spread[1:] != spread[:-1]) if loose else new))[: len(key)]
+            if not len(first):
+                continue
+            rest = [pa.array(spread[first])] if loose else [pa.array(np.minimum.reduceat(page, first)), pa.array(np.maximum.reduceat(page, first))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[first])), pa.array(key[first]), *rest], ["host", "key", *(("spread",) if loose else ("low", "high"))])
 
-    return parsed.select("host", "shard", "page", "zones", "texts").mapInArrow(work, "host string, shard long, key long, low long, high long")
+    return parsed.select("host", "page", "spread", "zones", "texts").mapInArrow(work, "host string, key long, " + ("spread long" if loose else "low long, high long"))
 
 
 def _known(pages: DataFrame, shards: DataFrame) -> DataFrame | None:
     """host, shard, known: of a split host's loose windows those that two of its pages hold."""
-    split = pages.select("page_id", "url", "html", _host().alias("of")).join(shards.where("shards > 1").withColumnRenamed("host", "of"), "of", "left_semi")
-    parsed = _parsed(split, shards)
-    asked = C.staged(_windows(parsed, True).select("host", "shard", "key").distinct(), "asked")
+    parsed, split = _parsed(pages), shards.where("shards > 1")
+    asked = C.staged(_dealt(_windows(parsed, True), split).distinct(), "asked")
     if asked.isEmpty():
         return None
     held = _windows(parsed, False).join(asked.select("host", "key").distinct(), ["host", "key"], "left_semi")
@@ -341,7 +346,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, repeated and marked of each page."""
     shards = pages.groupBy(_host()).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.coalesce(F.length("html"), F.lit(0))) / SHARD_CHARS)).alias("shards"))
     known = _known(pages, shards)
-    rows = _parsed(pages, shards).withColumns({"known": F.array().cast("array<long>"), "real": F.lit(True)})
+    rows = _dealt(_parsed(pages), shards).withColumns({"known": F.array().cast("array<long>"), "real": F.lit(True)})
     if known is not None:
         none = {"page_id": F.lit(None).cast(pages.schema["page_id"].dataType), "url": F.lit(None).cast("string"), "page": F.lit(-1).cast("long"), "marked": F.lit(False), "zones": F.array().cast("array<byte>"), "texts": F.array().cast("array<string>"), "real": F.lit(False)}
         rows = rows.unionByName(known.withColumns(none))

@@ -345,6 +345,7 @@ def _extracted(streams: DataFrame, kind: str) -> DataFrame:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, repeated and marked of each page."""
     shards = pages.groupBy(_host()).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.coalesce(F.length("html"), F.lit(0))) / SHARD_CHARS)).alias("shards"))
+    shards = C.staged(shards, "shards")  # a table of known size: Spark broadcasts it if it is small, and moves no page to find that out
     known = _known(pages, shards)
     rows = _dealt(_parsed(pages), shards).withColumns({"known": F.array().cast("array<long>"), "real": F.lit(True)})
     if known is not None:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # White space as trimming sees it, keyword separators, markup and entity tables.
 WHITE = r"\t\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -28,6 +27,13 @@ MARKDOWN = (
     (r"!\[([^\]]*)\]\(([^)]+)\)", "$1"),
     (r"\n{3,}", "\n\n"),
 )
+# What marks a field code's line, and the placeholders of master slides.
+FIELD_CODES = ("HYPERLINK", "PAGEREF", "MERGEFORMAT", "TOC \\o", "TOC \\h", "\\l \"", " \\h")
+SLIDE_NOISE = ("*", "二级", "三级", "四级", "五级", "Second level", "Third level", "Fourth level", "Fifth level")
+SLIDE_NOISE_PARTS = (
+    "单击此处编辑母版", "单击此处编辑母版标题样式", "单击此处编辑母版文本样式", "单击此处编辑母版副标题样式",
+    "Click to edit Master title style", "Click to edit Master text styles", "Click to edit Master subtitle style",
+)
 REFUSALS = (
     "未提及", "未找到", "没有相关信息", "没有提及", "未涉及", "没有涉及", "无法从参考资料", "参考资料中没有", "没有找到相关", "未包含", "没有包含", "无相关信息", "暂无相关", "未能找到",
     "not mentioned", "no relevant information", "not found in the reference", "no information available", "does not contain", "do not have information",
@@ -41,7 +47,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WHITE}\n]+|[{WHITE}\n]+$", "")
+    # a run of space is tried from its first character only, so long runs cost no more than their length
+    return F.regexp_replace(c, f"^[{WHITE}\n]++|(?<![{WHITE}\n])[{WHITE}\n]++$", "")
 
 
 def chunk_count(n: Column, size: int, overlap: int) -> Column:
@@ -64,7 +71,7 @@ def clean_text(text: Column) -> Column:
     """Control characters out, spaces collapsed, lines trimmed, blank lines limited to one."""
     out = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     out = F.regexp_replace(out, r"[ \t]+", " ")
-    out = F.regexp_replace(out, f"[{WHITE}]*\n[{WHITE}]*", "\n")
+    out = F.regexp_replace(out, f"\n[{WHITE}]*+|(?<![{WHITE}])[{WHITE}]++\n[{WHITE}]*+", "\n")
     return trim_space(F.regexp_replace(out, "\n{3,}", "\n\n"))
 
 
@@ -87,20 +94,26 @@ def decode_named(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf(StringType())
-def decode_numeric(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Decimal, then hexadecimal character references of valid code points."""
-    import re
+def code_point(base: int, digits: Column) -> Column:
+    """The number, or null where it is no code point."""
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    n = F.when(F.length(short) <= 8, F.conv(short, base, 10).cast("bigint"))
+    return F.when((n > 0) & (n < 0x110000), n)
+
 
-    def one(base: int) -> Callable:
-        def to(m: re.Match) -> str:
-            n = int(m.group(1), base)
-            return (chr(n) if not 0xD800 <= n < 0xE000 else "�") if 0 < n < 0x110000 else m.group()
+def character(n: Column) -> Column:
+    return F.when(n.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
-        return to
 
-    for s in texts:
-        yield s.str.replace(r"&#(\d+);", one(10), regex=True).str.replace(r"(?i)&#x([0-9a-f]+);", one(16), regex=True)
+def decode_numeric(text: Column) -> Column:
+    """Decimal, then hexadecimal character references of valid code points."""
+    for pattern, base in (("&#([0-9]+);", 10), ("(?i)&#x([0-9a-f]+);", 16)):
+        pieces, every, digits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+        points = F.transform(digits, partial(code_point, base))
+        decoded = F.array_append(F.zip_with(every, points, lambda ref, n: F.coalesce(character(n), ref)), F.lit(""))
+        text = F.when(text.contains("&#"), F.array_join(F.zip_with(pieces, decoded, lambda a, b: F.concat(a, b)), "")).otherwise(text)
+    return text
 
 
 def strip_html(html: Column) -> Column:
@@ -119,10 +132,39 @@ def html_to_text(html: Column) -> Column:
 
 
 def html_images(html: Column) -> Column:
-    """Structs (src, tag) of images with a source that isn't inline data."""
+    """Structs (src, alt) of images with a source that isn't inline data."""
     pattern = r"""(?i)<img[^>]*\bsrc\s*=\s*["']([^"']+)["'][^>]*>"""
+    alt = lambda tag: F.regexp_extract(tag, r"""(?i)\balt\s*=\s*["']([^"']*)["']""", 1)
     both = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("src"), F.regexp_extract_all(html, F.lit(pattern), F.lit(0)).alias("tag"))
-    return F.filter(both, lambda x: (F.trim(x["src"]) != "") & ~F.trim(x["src"]).startswith("data:"))
+    made = F.transform(both, lambda x: F.struct(F.trim(x["src"]).alias("src"), alt(x["tag"]).alias("alt")))
+    return F.filter(made, lambda x: (x["src"] != "") & ~x["src"].startswith("data:"))
+
+
+def base_of(html: Column, url: Column) -> Column:
+    """What relative addresses of a page refer to: its url, else its base element, else null."""
+    found = F.regexp_extract(html, r"""(?i)<base[^>]+href\s*=\s*["']([^"']+)["']""", 1)
+    return F.when(F.coalesce(url, F.lit("")) != "", url).when(found != "", found)
+
+
+def resolved(src: Column, base: Column) -> Column:
+    """An address by the base: absolute ones stay, others take scheme, host and path from it."""
+    scheme, host = F.regexp_extract(base, "^([^:/?#]+):", 1), F.regexp_extract(base, "^([^:/?#]+://[^/?#]*)", 1)
+    page = F.regexp_extract(base, "^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    query, path, rest = F.regexp_extract(base, r"(\?[^#]*)", 1), F.regexp_extract(src, "^([^?#]*)", 1), F.regexp_extract(src, "^[^?#]*(.*)$", 1)
+    joined = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_extract(page, "^(.*/)", 1), path))
+    joined = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    whole = F.when(path != "", F.concat(host, without_dots(joined), rest)).when(rest.startswith("?"), F.concat(host, page, rest)).otherwise(F.concat(host, page, query, rest))
+    return F.when(base.isNull() | src.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), src).when(src.startswith("//"), F.concat(scheme, F.lit(":"), src)).otherwise(whole)
+
+
+def without_dots(path: Column) -> Column:
+    """A rooted path with . and .. segments worked out."""
+    parts = F.slice(F.split(path, "/", -1), 2, 1 << 20)
+    step = lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    closing = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    made = F.concat(F.lit("/"), F.array_join(kept, "/"), closing)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.regexp_replace(made, "^//+$", "/")).otherwise(path)
 
 
 def keywords(text: Column) -> Column:
@@ -191,3 +233,32 @@ def mask_secret(secret: Column) -> Column:
 
 def safe_filename(name: Column) -> Column:
     return F.regexp_replace(name, r'[/\\:*?"<>|\x00-\x1f]', "_")
+
+
+def drop_field_codes(text: Column) -> Column:
+    """Lines of legacy word files without those that hold a field code; blank lines stay."""
+    coded = lambda x: F.exists(F.array(*map(F.lit, FIELD_CODES)), lambda p: F.contains(trim_space(x), p))
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~coded(x)), "\n")
+
+
+def slide_noise(line: Column) -> Column:
+    """Whether a line of a legacy slide comes from the master's placeholders."""
+    out = line.isin(*SLIDE_NOISE)
+    for part in SLIDE_NOISE_PARTS:
+        out = out | line.contains(part)
+    return out
+
+
+def generate(question: Column, context: Column) -> Column:
+    """The offline stand-in for a language model: the first reference, or a refusal without one."""
+    return F.when(F.size(context) > 0, F.get(context, F.lit(0))).otherwise(F.lit("参考资料中没有相关信息"))
+
+
+def pending_answer(answer: Column, found: Column) -> Column:
+    """answer, sources and pending: a refusal goes to manual handling and loses its sources."""
+    refused = refuses(answer)
+    return F.struct(
+        F.when(refused, F.lit("该问题已转交人工处理，请稍后查看回复")).otherwise(answer).alias("answer"),
+        F.when(refused, F.array().cast("array<string>")).otherwise(found).alias("sources"),
+        refused.alias("pending"),
+    )

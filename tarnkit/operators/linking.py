@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 IMAGE_BASE = 1000
@@ -16,7 +16,9 @@ def either_key(left: DataFrame, right: DataFrame, keys: tuple[str, str], on: str
     one = left.join(right, left[a] == right[on])
     two = left.join(right, (left[b] == right[on]) & ~F.coalesce(left[a] == right[on], F.lit(False)))
     pairs = one.unionByName(two)
-    alone = left.join(pairs.select(b).distinct(), b, "left_anti")
+    known = right.select(F.col(on).alias("known_")).distinct()
+    alone = left.join(known, left[a] == known["known_"], "left_anti")
+    alone = alone.join(known, alone[b] == known["known_"], "left_anti")
     return pairs.unionByName(alone, allowMissingColumns=True)
 
 
@@ -33,6 +35,12 @@ def near_images(hits: DataFrame, images: DataFrame, base: int = 0, reach: int =
     return images.join(h, "document_id").where(F.abs(F.col("chunk_index") - base - F.col("hit")) <= reach).select(images["document_id"], "chunk_index").distinct()
 
 
+def capped_images(images: DataFrame, most: int = 5) -> DataFrame:
+    """The first images of each document, most at the most, by chunk_index; the cap is the feature."""
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index"))
+    return images.withColumn("place", place).where(F.col("place") <= most)
+
+
 def frames_in_time(frames: DataFrame, hits: DataFrame, slack: float = 30.0) -> DataFrame:
     """Frames (document_id, time) within slack of a timed hit (document_id, start_time, end_time)."""
     h = hits.where("end_time > 0").select("document_id", "start_time", "end_time")

@@ -55,6 +55,26 @@ def active_bans(attempts: DataFrame, manual: DataFrame, as_of: str, streak: int
     return by_hand.unionByName(user).unionByName(day).unionByName(ip)
 
 
+def unban(attempts: DataFrame, manual: DataFrame, who: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """attempts and manual bans after lifting those of who (username or ip, the other empty).
+
+    Manual bans of either go, and a success at as_of ends the running streak."""
+    left = manual
+    for key in ("username", "ip"):
+        left = left.join(who.where(F.col(key) != "").select(key).distinct(), key, "left_anti")
+    marks = who.select("username", "ip", F.lit(1).alias("success"), F.lit(as_of).cast("timestamp").alias("created_at"))
+    return attempts.unionByName(marks), left.select(*manual.columns)
+
+
+def banned(manual: DataFrame, who: DataFrame, as_of: str) -> DataFrame:
+    """who (username, ip) with unlocks_at, the last of the bans by either that hold at as_of.
+
+    Two equi-joins take the place of the disjunction."""
+    live = manual.where(F.col("unlocks_at") > F.lit(as_of).cast("timestamp"))
+    hits = [who.join(live.where(F.col(key) != "").select(key, "unlocks_at"), key).select("username", "ip", "unlocks_at") for key in ("username", "ip")]
+    return hits[0].unionByName(hits[1]).groupBy("username", "ip").agg(F.max("unlocks_at").alias("unlocks_at"))
+
+
 def attempts_of(events: DataFrame) -> DataFrame:
     """Attempts in an event log: errors fail, sign-ups and purchases succeed."""
     kind = F.when(F.col("event_type") == "error", 0).when(F.col("event_type").isin("signup", "purchase"), 1)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnkit.functions import text as T
+
 
 def upsert(table: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:
     """Changes replace rows with their key; of several changes the last by order stays."""
@@ -51,6 +53,47 @@ def page(table: DataFrame, order: list[Column], number: int, size: int) -> DataF
     return table.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def placed(table: DataFrame, by: str, order: str, width: int = 10_000) -> DataFrame:
+    """table with place, from 1, by an integer column within each value of by, and total.
+
+    Rows are numbered within ranges of width, and ranges get the counts of those before
+    them, so that a value which holds most rows is still many tasks' work."""
+    ranged = table.withColumn("range_", F.floor(F.col(order) / width))
+    counts = ranged.groupBy(by, "range_").agg(F.count("*").alias("n_"))
+    whole = Window.partitionBy(by)
+    offsets = counts.select(by, "range_", (F.sum("n_").over(whole.orderBy("range_")) - F.col("n_")).alias("before_"), F.sum("n_").over(whole).alias("total"))
+    within = F.row_number().over(Window.partitionBy(by, "range_").orderBy(order))
+    return ranged.withColumn("within_", within).join(offsets, [by, "range_"]).withColumn("place", F.col("before_") + F.col("within_")).drop("range_", "within_", "before_")
+
+
+def store_chunks(chunks: DataFrame, path: str) -> None:
+    """Append chunks (document_id, chunk_index, owner, ...) as rows with id {document}-{index}, in folders by owner.
+
+    The append is all or nothing, and a search for an owner reads that owner's folder and the
+    public one's."""
+    key = F.concat_ws("-", "document_id", "chunk_index")
+    chunks.withColumn("id", key).withColumn("owner", F.when(F.coalesce("owner", F.lit("")) == "", "public").otherwise(F.concat(F.lit("of-"), "owner"))).write.mode("append").partitionBy("owner").parquet(path)
+
+
+def stored_chunks(spark, path: str, owner: str | None = None) -> DataFrame:
+    """Stored chunks, all or those that an owner sees."""
+    found = spark.read.parquet(path)
+    return found if owner is None else found.where(F.col("owner").isin(f"of-{owner}", "public"))
+
+
+def knowledge_chunks(entries: DataFrame, text: str, images: str) -> DataFrame:
+    """Entries by hand (document_id, title, a text and urls of images) as chunks of the library.
+
+    Text from 0 on; each image as [图片: title] from 1000 on for its text's vector and from
+    2000 on for its own; blank urls are left out and keep their number."""
+    named = entries.withColumn("name", F.concat(F.lit("知识录入: "), "title"))
+    words = named.select("document_id", "name", F.posexplode(T.chunks(F.col(text))).alias("chunk_index", "chunk_text"), F.lit("").alias("image_url"))
+    shown = named.select("document_id", "name", "title", F.posexplode(images).alias("i", "url"), F.array(F.lit(1000), F.lit(2000)).alias("bases"))
+    shown = shown.where(F.trim("url") != "").select("document_id", "name", "title", "i", "url", F.explode("bases").alias("base"))
+    pictures = shown.select("document_id", "name", (F.col("base") + F.col("i")).alias("chunk_index"), F.concat(F.lit("[图片: "), "title", F.lit("]")).alias("chunk_text"), F.trim("url").alias("image_url"))
+    return words.unionByName(pictures)
+
+
 def new_documents(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of batch (id, content_hash) whose content is new: not held by a stored document
     that didn't fail, and the first of its kind in the batch. Copies may be many, so the first

@@ -14,6 +14,7 @@ from tarnkit.operators import lockout as K
 from tarnkit.operators import tables as B
 from tarnkit.plans.registry import Registry, table
 from tarnkit.plans.text_queries import duck_chunks
+from tarnkit.sources.shared import shared_dir
 from tarnkit.streaming import state as W
 
 R = Registry()
@@ -75,7 +76,7 @@ def banned_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHUNKS = duck_chunks()
-SEGMENTS = f"segments AS (SELECT doc_id AS document_id, doc_id || '-' || chunk_index AS chunk_id, chunk_index * 10.0 AS start_time, chunk_index * 10.0 + 10 AS end_time, substring(chunk_text, 11, 40) AS content FROM ({CHUNKS}) WHERE doc_id % 7 = 0)"
+SEGMENTS = f"segments AS (SELECT doc_id AS document_id, doc_id || '-' || chunk_index AS chunk_id, chunk_index * 10.0 AS start_time, chunk_index * 10.0 + 10 AS end_time, substring(chunk_text, 11, 40) AS content FROM ({CHUNKS}))"
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +84,9 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A segment for each chunk of every seventh document."""
+    """A segment for each chunk."""
     start = F.col("chunk_index") * 10.0
-    made = _chunks(spark, sf_dir).where("document_id % 7 = 0")
+    made = _chunks(spark, sf_dir)
     key = F.concat_ws("-", "document_id", "chunk_index")
     return made.select("document_id", key.alias("chunk_id"), key.alias("id"), start.alias("start_time"), (start + 10).alias("end_time"), F.substring("chunk_text", 11, 40).alias("content"))
 
@@ -109,11 +110,11 @@ def frames_near_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.frames_in_time(c.select("document_id", (F.col("chunk_index") * 7.0).alias("time")), hits)
 
 
-@R.add(f"""WITH c AS (SELECT * FROM ({CHUNKS}) WHERE doc_id % 7 = 0), {SEGMENTS}, span AS (SELECT document_id, min(start_time) AS low, max(end_time) AS high FROM segments GROUP BY document_id)
+@R.add(f"""WITH c AS ({CHUNKS}), {SEGMENTS}, span AS (SELECT document_id, min(start_time) AS low, max(end_time) AS high FROM segments GROUP BY document_id)
   SELECT c.doc_id AS document_id, c.chunk_index, coalesce(min(start_time), any_value(low)) AS start_time, coalesce(max(end_time), any_value(high)) AS end_time
   FROM c JOIN span ON span.document_id = c.doc_id LEFT JOIN segments s ON s.document_id = c.doc_id AND contains(chunk_text, content) GROUP BY c.doc_id, c.chunk_index""")
 def chunk_time_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.chunk_times(_chunks(spark, sf_dir).where("document_id % 7 = 0"), _segments(spark, sf_dir))
+    return L.chunk_times(_chunks(spark, sf_dir), _segments(spark, sf_dir))
 
 
 # lockout
@@ -212,11 +213,13 @@ def sampled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.evenly_sampled(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id", 8)
 
 
-@R.add("SELECT lang, count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS failed, string_agg(CASE WHEN doc_id % 100 = 0 THEN CAST(doc_id AS VARCHAR) END, ',' ORDER BY doc_id) AS listed FROM documents GROUP BY lang")
+@R.add("SELECT lang, count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS failed, NULL::BIGINT AS failed_id FROM documents GROUP BY lang UNION ALL SELECT lang, NULL, NULL, doc_id FROM documents WHERE doc_id % 3 = 0")
 def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by language, and a row for each document that failed."""
     d = table(spark, sf_dir, "documents")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("doc_id") % 100 == 0, F.col("doc_id")))), lambda x: x.cast("string")), ",")
-    return d.groupBy("lang").agg(F.count("*").alias("total"), F.count_if(F.col("doc_id") % 3 == 0).alias("failed"), F.when(F.size(F.collect_list(F.when(F.col("doc_id") % 100 == 0, 1))) > 0, listed).alias("listed"))
+    totals = d.groupBy("lang").agg(F.count("*").alias("total"), F.count_if(F.col("doc_id") % 3 == 0).alias("failed"), F.lit(None).cast("long").alias("failed_id"))
+    none = F.lit(None).cast("long")
+    return totals.unionByName(d.where("doc_id % 3 = 0").select("lang", none.alias("total"), none.alias("failed"), F.col("doc_id").alias("failed_id")))
 
 
 @R.add("SELECT c_custkey, coalesce(o.n, s.n) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) o ON o_custkey = c_custkey, (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P') s")
@@ -235,18 +238,31 @@ def product_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # stream state
 
+NUMBERED = "e AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+LIMITED = f"""WITH RECURSIVE {NUMBERED}, s AS (
+  SELECT key, id, t, n, true AS allowed, [t] AS times FROM e WHERE n = 1
+  UNION ALL SELECT key, id, t, n, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END
+  FROM (SELECT e.*, list_filter(s.times, lambda x: x > e.t - 345600000000) AS live FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1))
+  SELECT key, id, t AS "at", allowed FROM s"""
+SESSIONS = f"""WITH RECURSIVE {NUMBERED}, s AS (
+  SELECT key, id, t, n, CAST(1 AS BIGINT) AS session, t AS began, t + 86400000000 AS ends FROM e WHERE n = 1
+  UNION ALL SELECT e.key, e.id, e.t, e.n, session + CASE WHEN e.t >= ends THEN 1 ELSE 0 END, CASE WHEN e.t >= ends THEN e.t ELSE began END,
+    CASE WHEN e.t >= ends THEN e.t + 86400000000 WHEN ends - e.t < 43200000000 THEN least(e.t + 86400000000, began + 604800000000) ELSE ends END
+  FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1)
+  SELECT key, id, t AS "at", session FROM s"""
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("value"))
 
 
-@R.add()
+@R.add(LIMITED)
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three requests in four days for each user."""
     return W.rate_limited(_requests(spark, sf_dir), 3, 4 * 86400)
 
 
-@R.add()
+@R.add(SESSIONS)
 def sliding_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.sessions(_requests(spark, sf_dir))
 
@@ -266,19 +282,19 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY start, event_type""")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = W.tumbling_counts(_event_stream(spark, sf_dir), "ts", "6 hours", "1 day", "event_type")
-    return W.run_available(counts, W.scratch(spark), "counts").withColumn("start", _plain("start"))
+    return W.run_available(counts, shared_dir(spark), "counts").withColumn("start", _plain("start"))
 
 
-@R.add()
+@R.add(LIMITED)
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros("ts").alias("at"))
-    return W.run_available(W.rate_limited_stream(stream, 3, 4 * 86400), W.scratch(spark), "limit")
+    return W.run_available(W.rate_limited_stream(stream, 3, 4 * 86400), shared_dir(spark), "limit")
 
 
 @R.add("SELECT DISTINCT user_id, event_type FROM events")
 def stream_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and kind; the life of a ticket spans the log."""
     stream = _event_stream(spark, sf_dir).withColumn("ticket", F.concat_ws(":", "user_id", "event_type"))
-    return W.run_available(W.once_per_ticket(stream, "ticket", "ts", "60 days").select("user_id", "event_type"), W.scratch(spark), "tickets")
+    return W.run_available(W.once_per_ticket(stream, "ticket", "ts", "60 days").select("user_id", "event_type"), shared_dir(spark), "tickets")
 
 

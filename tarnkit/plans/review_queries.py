@@ -30,21 +30,21 @@ def hits_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("document_id").agg(F.array_sort(F.collect_list(i)).alias("indices"), (F.min(i) * 10.0).alias("start_time"), (F.max(i) * 10.0 + 10).alias("end_time"))
 
 
-@R.add(f"WITH c AS ({CHUNKS}) SELECT DISTINCT c.doc_id AS document_id, d.source AS name, d.lang AS type, substring(chunk_text, 1, 100) AS snippet FROM c JOIN documents d ON d.doc_id = c.doc_id WHERE chunk_index = 0 AND c.doc_id % 3 = 0")
+@R.add(f"WITH c AS ({CHUNKS}) SELECT DISTINCT c.doc_id AS document_id, d.source AS name, d.lang AS type, substring(chunk_text, 1, 100) AS snippet FROM c JOIN documents d ON d.doc_id = c.doc_id WHERE chunk_index = 0")
 def source_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where an answer comes from: document, type and the first 100 characters of the hit."""
-    hits = _chunks(spark, sf_dir).where("chunk_index = 0 and document_id % 3 = 0")
+    hits = _chunks(spark, sf_dir).where("chunk_index = 0")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("name"), F.col("lang").alias("type"))
     return hits.join(docs, "document_id", "left").select("document_id", "name", "type", F.substring("chunk_text", 1, 100).alias("snippet")).distinct()
 
 
 @R.add(f"""WITH c AS ({CHUNKS}), {SEGMENTS}
-  SELECT 'text' AS kind, doc_id AS document_id, chunk_index AS place, chunk_text AS content FROM c WHERE doc_id % 14 = 0
-  UNION ALL SELECT 'transcript', document_id, CAST(start_time AS INTEGER), content FROM segments WHERE document_id % 14 = 0
-  UNION ALL SELECT 'image', doc_id, 1000 + chunk_index, '' FROM c WHERE doc_id % 14 = 0 AND chunk_index % 2 = 1""")
+  SELECT 'text' AS kind, doc_id AS document_id, chunk_index AS place, chunk_text AS content FROM c
+  UNION ALL SELECT 'transcript', document_id, CAST(start_time AS INTEGER), content FROM segments
+  UNION ALL SELECT 'image', doc_id, 1000 + chunk_index, '' FROM c WHERE chunk_index % 2 = 1""")
 def review_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All segments of a document for review: text, transcript and images."""
-    c, s = _chunks(spark, sf_dir).where("document_id % 14 = 0"), _segments(spark, sf_dir).where("document_id % 14 = 0")
+    c, s = _chunks(spark, sf_dir), _segments(spark, sf_dir)
     text = c.select(F.lit("text").alias("kind"), "document_id", F.col("chunk_index").alias("place"), F.col("chunk_text").alias("content"))
     spoken = s.select(F.lit("transcript").alias("kind"), "document_id", F.col("start_time").cast("int").alias("place"), "content")
     image = c.where("chunk_index % 2 = 1").select(F.lit("image").alias("kind"), "document_id", (1000 + F.col("chunk_index")).alias("place"), F.lit("").alias("content"))
@@ -107,10 +107,10 @@ def purged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-23'").select("event_id", "user_id")
 
 
-@R.add(f"WITH {SEGMENTS} SELECT s.chunk_id, s.start_time FROM segments s JOIN documents d ON d.doc_id = s.document_id WHERE d.doc_id > 500")
+@R.add(f"WITH {SEGMENTS} SELECT s.chunk_id, s.start_time FROM segments s JOIN documents d ON d.doc_id = s.document_id WHERE d.doc_id > 100")
 def segments_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of documents made after a point, for the incremental export."""
-    recent = table(spark, sf_dir, "documents").where("doc_id > 500").select(F.col("doc_id").alias("document_id"))
+    recent = table(spark, sf_dir, "documents").where("doc_id > 100").select(F.col("doc_id").alias("document_id"))
     return _segments(spark, sf_dir).join(recent, "document_id").select("chunk_id", "start_time")
 
 
@@ -139,6 +139,5 @@ def newest_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("""SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) * 100 // count(*) OVER (PARTITION BY source) AS BIGINT) AS percent FROM documents""")
 def import_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress that an import of each source reports after each document."""
-    w = Window.partitionBy("source")
-    done = F.row_number().over(w.orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.floor(done * 100 / F.count("*").over(w)).alias("percent"))
+    placed = B.placed(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id")
+    return placed.select("doc_id", "source", F.floor(F.col("place") * 100 / F.col("total")).alias("percent"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnkit.functions import checks, text as T
 from tarnkit.plans.registry import Registry, table
+from tarnkit.sources.shared import spread
 
 R = Registry()
 DUCK_WHITE = r"\t\x{0b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -53,7 +54,7 @@ def duck_keywords(x: str) -> str:
 
 @R.add(duck_chunks("source,"))
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "source", F.posexplode(T.chunks(F.col("text"))).alias("chunk_index", "chunk_text"))
 
 
@@ -65,7 +66,7 @@ def chunk_dense_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT doc_id, " + duck_clean("text") + " AS cleaned FROM documents")
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
 
 
 def duck_markdown(x: str) -> str:
@@ -84,7 +85,7 @@ def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT page_id, url, " + duck_html("html") + " AS text FROM pages")
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", T.html_to_text(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", "url", T.html_to_text(F.col("html")).alias("text"))
 
 
 @R.add("""SELECT page_id, CAST(len(list_filter(regexp_extract_all(html, '(?i)<img[^>]*\\bsrc\\s*=\\s*["'']([^"'']+)["''][^>]*>', 1), lambda s: trim(s) <> '' AND NOT starts_with(trim(s), 'data:'))) AS BIGINT) AS n_images FROM pages""")
@@ -137,14 +138,14 @@ def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("conv_id", "turn", (T.refuses(F.col("text")) | F.lower("text").contains("er the")).alias("refused"))
 
 
-@R.add("""SELECT u.conv_id, '参考资料：' || chr(10) || string_agg('[' || CAST(k AS VARCHAR) || '] ' || left(a.text, 60) || chr(10), '' ORDER BY a.turn) || chr(10) || '用户问题：' || any_value(u.text) AS prompt
+@R.add("""SELECT u.conv_id, '参考资料：' || chr(10) || string_agg('[' || CAST(k AS VARCHAR) || '] ' || a.text || chr(10), '' ORDER BY a.turn) || chr(10) || '用户问题：' || any_value(u.text) AS prompt
   FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant') a
   JOIN (SELECT conv_id, min_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id) u USING (conv_id) GROUP BY u.conv_id""")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answers of a conversation as references for its first question."""
     turns = table(spark, sf_dir, "conversations")
     first = turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
-    answers = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 60).alias("text")))), lambda x: x["text"]).alias("context"))
+    answers = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("context"))
     return first.join(answers, "conv_id").select("conv_id", T.prompt(F.col("question"), F.col("context")).alias("prompt"))
 
 
@@ -170,10 +171,9 @@ def fetchable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", checks.url_host(F.col("url")).alias("host"), checks.fetchable(F.col("url")).alias("fetchable"))
 
 
-@R.add("SELECT page_id, substring(html, 1, 5000) AS preview, length(html) > 5000 AS cut, contains(lower(substring(html, 1, 512)), '<html') OR contains(lower(substring(html, 1, 512)), '<!doctype html') AS is_html FROM pages")
+@R.add("SELECT page_id, substring(html, 1, 5000) AS preview, length(html) > 5000 AS cut, regexp_matches(lower(substring(html, 1, 512)), '<!doctype html|<html|<head|<body') AS is_html FROM pages")
 def page_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.lower(F.substring("html", 1, 512))
-    return table(spark, sf_dir, "pages").select("page_id", F.substring("html", 1, 5000).alias("preview"), (F.length("html") > 5000).alias("cut"), (head.contains("<html") | head.contains("<!doctype html")).alias("is_html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.substring("html", 1, 5000).alias("preview"), (F.length("html") > 5000).alias("cut"), checks.looks_like_html(F.col("html")).alias("is_html"))
 
 
 @R.add("SELECT p_partkey, regexp_replace(lower(p_type), '_legacy$', '') AS kind, length(p_name) >= 8 AND regexp_matches(p_name, '[A-Za-z]') AND regexp_matches(p_name, '[0-9]') AND strlen(p_name) <= 72 AS strong FROM part")

@@ -135,14 +135,3 @@ def run_available(stream: DataFrame, folder: str, name: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the session names, else a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="tarnkit-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder

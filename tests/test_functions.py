@@ -195,3 +195,39 @@ def test_embedding_service_is_called_in_batches_and_tried_again(spark, tmp_path)
 
     with pytest.raises(Exception, match="busy"):
         df.select(V.embed_with(busy, tries=2, pause=0.01)("x")).collect()
+
+
+def test_internal_addresses_are_not_fetched(spark):
+    inside = ["[::ffff:10.0.0.1]", "[ff02::1]", "[::]", "[0:0:0:0:0:0:0:1]", "[::1]:80", "[fd00::1]", "[fe80::1%25]"[:8] + "]", "[::ffff:a9fe:1]", "[::ffff:7f00:1]", "127.1.1.1", "100.64.0.1", "224.0.0.9", "0.0.0.0", "LOCALHOST:8080", "a.internal"]
+    outside = ["0.1.2.3", "[2001:db8::1]", "[::ffff:8.8.8.8]", "[::ffff:808:808]", "[ff05::1]", "8.8.8.8", "011.0.0.1", "10.0.0.256", "[fc00]", "[::1::]", "example.org"]
+    df = spark.createDataFrame([(h, f"http://{h}/x") for h in inside + outside], "host string, url string")
+    got = {r.host: r.ok for r in df.select("host", checks.fetchable(F.col("url")).alias("ok")).collect()}
+    assert got == dict.fromkeys(inside, False) | dict.fromkeys(outside, True)
+
+
+def test_addresses_resolve_like_the_library(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://h.org/a/b/c.html?x=1#f", "https://h.org", "http://h.org/", "https://h.org/a/b/"]
+    sources = ["x.png", "/x.png", "../x.png", "./y/../x.png", "?q=2", "#f", "//c.org/z.png", "https://o.org/p.png", "../../../x.png", "a/./b.png#f", ".."]
+    df = spark.createDataFrame([(b, s) for b in bases for s in sources], "base string, src string")
+    for r in df.select("base", "src", T.resolved(F.col("src"), F.col("base")).alias("got")).collect():
+        want = urljoin(r.base, r.src)
+        assert r.got.rstrip("/") == want.rstrip("/"), (r.base, r.src, r.got, want)
+    assert spark.range(1).select(T.resolved(F.lit("x.png"), F.lit(None).cast("string"))).first()[0] == "x.png"
+
+
+def test_numeric_references(spark):
+    given = {"&#65;&#x41;&#X1f600;": "AA😀", "&#0;": "&#0;", "&#xD800;|&#1114112;": "\ufffd|&#1114112;", "&#99999999999999999999;x": "&#99999999999999999999;x", "a &# b": "a &# b", "&#38;#65;": "&#65;"}
+    df = spark.createDataFrame([(k,) for k in given], "t string")
+    assert {r.t: r.d for r in df.select("t", T.decode_numeric(F.col("t")).alias("d")).collect()} == given
+
+
+def test_long_runs_of_space_are_linear(spark):
+    import time
+
+    text = "a" + "\u00a0" * 60_000 + "b" + " \n\u3000\n " + "c" + "\u2003" * 50_000
+    df = spark.createDataFrame([(text,)], "t string")
+    began = time.perf_counter()
+    assert df.select(T.clean_text(F.col("t"))).first()[0] == "a" + "\u00a0" * 60_000 + "b\n\nc"
+    assert time.perf_counter() - began < 20

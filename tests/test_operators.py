@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tarnkit.functions import text as T
 from tarnkit.operators import linking as L
 from tarnkit.operators import lockout as K
 from tarnkit.operators import search as S
@@ -35,15 +36,88 @@ def test_vector_search_edges(spark):
 
 
 def test_cascade_stops_at_the_first_level_that_answers(spark):
-    from tarnkit.functions import vectors as V
-
-    docs = spark.createDataFrame([(1, "how to reset the password"), (2, "the weather is nice today"), (3, "zzz qqq")], "doc_id long, text string")
-    chunks = S.ready_chunks(docs).withColumn("vector", V.embed("chunk_text"))
-    asked = spark.createDataFrame([(10, "how to reset the password"), (11, "the weather is nice todat"), (12, "12345")], "query_id long, question string").withColumn("vector", V.embed("question"))
-    answered = docs.where("doc_id = 1").select(F.col("doc_id").alias("document_id"))
-    got = {r.query_id: r.level for r in S.cascade(asked, chunks, answered).collect()}
-    assert got[10] == 1 and got[11] == 3 and 12 not in got
-
+    unit = lambda *at: [1.0 if k in at else 0.0 for k in range(8)]
+    library = [
+        (1, "how to reset the password", "a", unit(0)),  # answered
+        (2, "the weather is nice today", "", unit(1)),
+        (3, "the weather is nice todaj", "b", unit(2)),  # answered, of another text
+        (4, "zzz qqq", "", unit(3, 4)),
+        (5, "how to reset the password", "b", unit(7)),
+    ]
+    chunks = spark.createDataFrame([(d, 0, t, p, v) for d, t, p, v in library], "document_id long, chunk_index int, lowered string, part string, vector array<double>")
+    answered = spark.createDataFrame([(1,), (3,)], "document_id long")
+    asked = [
+        (10, "how to reset the password", "a", unit(5), None),  # 1: its own partition's hit is answered
+        (11, "the weather is nice today", "b", unit(2), None),  # 2: the lexical hit isn't answered, the vector's is
+        (12, "the weather is nice today", "b", unit(1), None),  # 3: neither is
+        (13, "12345", "b", [0.4, 0.0, 0.0, 0.5, 0.0, 0.0, 0.0, 0.0], None),  # 3: by vectors alone
+        (14, "12345", "b", [0, 0, 0, 0.55, 0, 1.0, 0, 0], None),  # 3: relaxed, below the threshold
+        (15, "12345", "b", unit(6), None),  # 4: nothing
+        (16, "how to reset the password", "a", unit(6), unit(0)),  # 3: with an image, whose vector finds the document
+        (17, "12345", "b", unit(6), [0, 0, 0, 0.3, 0, 1.0, 0, 0]),  # 3: the image's relaxed hit
+        (18, "how to reset the password", "b", unit(6), None),  # 4: the hit isn't answered, and no vector is near
+    ]
+    questions = spark.createDataFrame([(i, q, p, [float(x) for x in v], m and [float(x) for x in m]) for i, q, p, v, m in asked], "query_id long, question string, part string, vector array<double>, image array<double>")
+    got = sorted((r.query_id, r.level, r.id and r.id >> 20) for r in S.cascade(questions, chunks, answered).collect())
+    assert got == [(10, 1, 1), (11, 2, 3), (12, 3, 2), (13, 3, 4), (14, 3, 4), (15, 4, None), (16, 3, 1), (17, 3, 4), (18, 4, None)]
+
+
+@pytest.mark.parametrize("rows,cell", [(1024, 8192), (3, 4)])
+def test_searches_equal_brute_force_in_every_grid(spark, monkeypatch, rows, cell):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(S, "QUERY_ROWS", rows)
+    monkeypatch.setattr(S, "CELL_ROWS", cell)
+    monkeypatch.setattr(S, "CHUNK_ROWS", cell)
+    r = random.Random(7)
+    data = [(k, r.choice(["", "a", "b"]), [float(r.randrange(-1, 2)) for _ in range(r.choice([3, 4]))]) for k in range(60)] + [(60, "a", None), (61, None, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(data, "id long, part string, vector array<float>").repartition(3)
+    for partitioned in (False, True):
+        want = []
+        for i, p, v in data:
+            found = []
+            for j, o, w in data:
+                if v and w and len(v) == len(w) and any(v) and any(w) and i != j and (not partitioned or (p or "") == (o or "") or not p or not o):
+                    score = round(float(np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w))), 6)
+                    found += [(-score, j)] if score >= 0.2 else []
+            want += [(i, j, -s, k + 1) for k, (s, j) in enumerate(sorted(found)[:4])]
+        got = S.vector_search(df, df, 4, 0.2, partitioned, others=True).collect()
+        assert sorted(tuple(x) for x in got) == sorted(want)
+    texts = [(k, 0, "".join(r.choice(["ab", "c ", "def", "漢字", ", ", "xyz"]) for _ in range(r.randrange(0, 30)))) for k in range(50)]
+    asked = [(k, t[2][:40]) for k, t in enumerate(texts[::5])] + [(90, ""), (91, "?")]
+    chunks = spark.createDataFrame(texts, "document_id long, chunk_index int, lowered string").repartition(3)
+    questions = spark.createDataFrame(asked, "query_id long, question string")
+    pairs = chunks.crossJoin(questions).withColumn("score", F.round(T.text_score(T.keywords(F.col("question")), T.bigrams(F.lower("question")), F.col("lowered"), T.bigrams(F.col("lowered"))), 6)).where("score >= 0.3")
+    want = S.top_k(pairs, 3, ties=("document_id", "chunk_index")).select("query_id", "document_id", "chunk_index", "score", "rank")
+    assert sorted(tuple(x) for x in S.text_search(questions, chunks, 3, 0.3).collect()) == sorted(tuple(x) for x in want.collect())
+
+
+def test_either_key_keeps_rows_whose_keys_are_null_or_shared(spark):
+    left = spark.createDataFrame([("x", None, 1), ("y", "k", 2), ("z", "k", 3), (None, None, 4), ("k", "x", 5)], "a string, b string, n int")
+    right = spark.createDataFrame([("x", 10), ("y", 20)], "name string, t int")
+    got = sorted(((r.n, r.t) for r in L.either_key(left, right, ("a", "b"), "name", "t").collect()), key=str)
+    assert got == [(1, 10), (2, 20), (3, None), (4, None), (5, 10)]
+
+
+def test_places_equal_row_numbers(spark):
+    rows = [(k * 37 % 1000, "hot" if k % 3 else f"s{k % 5}") for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, source string")
+    want = {}
+    for k, s in sorted(rows):
+        want.setdefault(s, []).append(k)
+    got = {(r.id, r.source): (r.place, r.total) for r in B.placed(df, "source", "id", 50).collect()}
+    assert got == {(k, s): (i + 1, len(ks)) for s, ks in want.items() for i, k in enumerate(ks)}
+
+
+def test_unban_lifts_both_kinds(spark):
+    log = spark.createDataFrame([("u", "1.1.1.1", 0, f"2024-01-01 00:0{k}:00") for k in range(5)], "username string, ip string, success int, at string").select("username", "ip", "success", F.col("at").cast("timestamp").alias("created_at"))
+    manual = spark.createDataFrame([("u", ""), ("", "2.2.2.2"), ("v", "")], "username string, ip string").withColumn("unlocks_at", F.lit("2025-01-01").cast("timestamp"))
+    who = spark.createDataFrame([("u", ""), ("", "2.2.2.2")], "username string, ip string")
+    after, left = K.unban(log, manual, who, "2024-01-02")
+    assert K.streaks(log, "username", 1).count() == 1 and K.streaks(after, "username", 1).where("username = 'u'").count() == 0
+    assert [tuple(r)[:2] for r in left.collect()] == [("v", "")]
 
 def attempts(spark, spec):
     made = [(u, "i", s, T0 + timedelta(seconds=t)) for u, s, t in spec]

@@ -4,8 +4,10 @@ import re
 
 import pytest
 
+from tarnkit.plans import library_queries as Y
 from tarnkit.plans import operation_queries as O
 from tarnkit.plans import review_queries as V
+from tarnkit.plans import search_queries as Q
 from tarnkit.plans import text_queries as T
 
 
@@ -30,3 +32,25 @@ def test_text_work_needs_neither_python_nor_shuffle(spark, sf_dir, query):
 
 def test_nth_recent_failure_keeps_few_rows_before_the_shuffle(spark, sf_dir):
     assert "WindowGroupLimit" in plan(O.fiftieth_failure(spark, sf_dir))
+
+
+def unbroadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
+@pytest.mark.parametrize("query", [Q.vector_search_all, Q.vector_search_partition, Q.text_search_top])
+def test_searches_are_dealt_by_a_salted_grid(spark, sf_dir, query):
+    unbroadcast(spark)
+    try:
+        text = plan(query(spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(area#\d+, cell#\d+, q_cell#\d+", text) and not re.search("NestedLoop|Cartesian", text)
+
+
+def test_an_owners_search_reads_its_folders_alone(spark, sf_dir):
+    assert re.search(r"PartitionFilters: \[[^\]]*owner", plan(Y.chunks_of_owner(spark, sf_dir)))
+
+
+def test_progress_numbers_rows_within_ranges(spark, sf_dir):
+    assert "range_" in plan(V.import_progress(spark, sf_dir)) and not re.search(r"Window \[row_number\(\)[^\n]*\], \[source#\d+\],", plan(V.import_progress(spark, sf_dir)))

@@ -19,8 +19,9 @@ turns where it has more than PART_CHARS characters; the loss mask of a part list
 stretches of assistant text. read_back parses parts and undoes the escapes.
 
 Edge cases: null texts and roles are empty; an empty text is a turn with nothing in it;
-messages with one turn are ordered by msg; repeated rows are turns of their own; a
-null conv_id is one conversation; an empty table gives an empty result; further
+messages with one turn are ordered by msg, which events_of numbers by role and text;
+a null turn comes first; repeated rows are turns of their own; a null conv_id is one
+conversation; an empty table gives an empty result; further
 columns are ignored, whatever their names.
 """
 
@@ -135,8 +136,13 @@ def format_events(events: DataFrame) -> DataFrame:
     return ordered.mapInArrow(work, "conv_id long, part int, turns long, text string, mask array<struct<start int, end int>>")
 
 
-def read_back(parts: DataFrame) -> DataFrame:
-    """Parts as format_events gives them, to the digests of what they hold."""
+def read_back(parts: DataFrame, in_order: bool = False) -> DataFrame:
+    """Parts to the digests of what they hold.
+
+    in_order: parts come as format_events makes them, conversations whole and parts in
+    their order; parts that were stored in between are brought in that order first."""
+    if not in_order:
+        parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -170,13 +176,23 @@ def read_back(parts: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of a table of finished messages: each comes in deltas of DELTA_CHARS."""
+    """A log that leads to a table of finished messages, as a service would have written it.
+
+    A message begins with a draft. Its text then comes in pieces of DELTA_CHARS: the first
+    replaces the draft, as a regeneration of an answer or an edit of anything else, and the
+    others are streamed. At each conversation's turn 0 stands a message that was retracted."""
     by = "conv_id", "turn"
     numbered = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"))
     numbered = numbered.withColumn("msg", F.row_number().over(Window.partitionBy(*by).orderBy("role", "text")).cast("long"))
     pieces = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0)))
-    return numbered.select(*by, "msg", "role", F.posexplode(pieces).alias("seq", "text"), F.lit("delta").alias("op"))
+    op = F.when(F.col("seq") > 0, "delta").when(F.col("role") == "assistant", "regenerate").otherwise("edit")
+    told = numbered.select(*by, "msg", "role", F.posexplode(pieces).alias("seq", "text")).withColumn("op", op)
+    none = F.lit(None).cast("string")
+    draft = numbered.select(*by, "msg", "role", F.lit(-1).alias("seq"), F.concat(F.lit("draft: "), F.substring("text", 1, 8)).alias("text"), F.lit("delta").alias("op"))
+    first = numbered.where("turn = 0 and msg = 1").select(*by, F.lit(0).cast("long").alias("msg"), F.explode(F.array(F.struct(F.lit(0).alias("seq"), F.lit("taken back").alias("text"), F.lit("delta").alias("op")), F.struct(F.lit(1).alias("seq"), none.alias("text"), F.lit("retract").alias("op")))).alias("x"))
+    gone = first.select(*by, "msg", F.lit("user").alias("role"), "x.seq", "x.text", "x.op")
+    return told.unionByName(draft).unionByName(gone)
 
 
 def format_digest(conversations: DataFrame) -> DataFrame:
-    return read_back(format_events(events_of(conversations)))
+    return read_back(format_events(events_of(conversations)), in_order=True)

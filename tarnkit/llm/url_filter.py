@@ -109,6 +109,7 @@ class Ratio:
 
     def __init__(self, counts: DataFrame) -> None:
         self.counts = counts
+        self.held_out: float | None = None  # the mean of both classes' accuracies on the URLs held out
         self.low = np.zeros((2, 257, 256))
         pair = F.col("cell").bitwiseAND((1 << 17) - 1)
         for r in counts.groupBy(pair.alias("pair")).agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")).collect():  # at most 257 * 256 rows
@@ -204,6 +205,7 @@ def train(labelled: DataFrame) -> tuple[Ratio | None, float]:
         return model, 0.0
     cut = np.concatenate([[0], np.cumsum(rejected)])[:-1] / rejected.sum() + np.cumsum(accepted[::-1])[::-1] / accepted.sum()
     best = np.flatnonzero(cut == cut.max())
+    model.held_out = float(cut.max()) / 2
     return model, float((best[len(best) // 2] - BINS // 2) * BIN)
 
 

@@ -46,6 +46,21 @@ def test_chat_parts_hold_whole_turns(spark, monkeypatch):
     assert chat.format_digest(df).collect() == whole
 
 
+def test_stored_parts_are_read_back_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chat, "PART_CHARS", 100)
+    df = spark.createDataFrame([(c, t, "assistant" if t % 2 else "user", f"text {t}" * 5) for c in range(6) for t in range(20)], "conv_id long, turn long, role string, text string")
+    chat.format_events(chat.events_of(df)).orderBy("text").write.parquet(f"{tmp_path}/parts")
+    assert sorted(chat.read_back(spark.read.parquet(f"{tmp_path}/parts")).collect()) == sorted(chat.format_digest(df).collect())
+
+
+def test_log_holds_drafts_edits_regenerations_and_retractions(spark):
+    df = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "x" * 600)], "conv_id long, turn long, role string, text string")
+    log = chat.events_of(df)
+    assert {r.op: r["count"] for r in log.groupBy("op").count().collect()} == {"delta": 2 + 2 + 1, "edit": 1, "regenerate": 1, "retract": 1}
+    (part,) = chat.format_events(log).collect()
+    assert list(chat.parse(part.text)) == [("user", "ask"), ("assistant", "x" * 600)]
+
+
 def test_events_fold_into_final_messages(spark):
     log = [
         (1, 0, 1, 1, "delta", "user", "Hel"), (1, 0, 1, 2, "delta", None, "lo"), (1, 1, 1, 1, "delta", "assistant", "bad"), (1, 1, 1, 2, "regenerate", "assistant", "go"),
@@ -321,6 +336,27 @@ def test_pipeline_stages_equal_their_parts(spark, sf_dir):
     assert got == want and bad and len(good) > len(one)
 
 
+def test_stages_on_nulls_repeats_and_clashing_columns(spark, sf_dir):
+    import corpus_pipeline
+
+    passage = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    good = " ".join(f"word{k} then" for k in range(60))
+    rows = [(1, good, 5), (1, good, 5), (None, good + " more", 5), (2, None, None), (3, "", 0), (4, passage, 1), (None, passage, 1), (5, good + " call +49 170 5551234567 now", 9), (6, "x " * 40_000, 8)]
+    docs = spark.createDataFrame([(i, t, n, True, "k", 7) for i, t, n in rows], "doc_id long, text string, n_chars long, kept boolean, key string, n int")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        left[name] = sorted(((r.doc_id, (r.text or "")[-20:]) for r in out.collect()), key=str)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    assert [i for i, _ in left["quality rules"]] == [1, 1, 5, None]
+    assert [i for i, _ in left["near duplicates"]] == [1, 2, 3, 4, 6, None, None]
+    assert [i for i, _ in left["decontamination"]] == [1, 1, 2, 3, 5, 6, None]
+    assert any("[PHONE] now" in t for i, t in left["personal data"] if i == 5)
+    ids = corpus_pipeline.token_stage(spark, docs, sf_dir).collect()
+    assert len(ids) == len(rows) and {r.n_tokens for r in ids if r.doc_id in (2, 3)} == {0}
+
+
 def test_last_stage_decodes_its_ids(spark, sf_dir):
     import corpus_pipeline
 

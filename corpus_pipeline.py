@@ -2,7 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the result is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
-documents."""
+documents.
+
+Edge cases, in every stage: an empty table gives an empty result; further columns are kept
+by all stages but the last, whatever their names; texts are worked on whole. Null and empty
+texts have no words, so the first stage rejects them; where one reaches a later stage it
+links with nothing, isn't contaminated, has no personal data and encodes to no ids. Rows
+without a doc_id stay in the near-duplicate stage and are told apart by their text in
+decontamination. Rows that repeat a doc_id are judged row by row by the first stage, are
+one document to the second, which keeps one of them, and go together in the third."""
 
 from __future__ import annotations
 

@@ -92,9 +92,12 @@ class Texts:
         word, table = C.span_codes(self.data, start, end)
         row = np.repeat(np.arange(len(self.offsets) - 1), self.get("n_words"))
         inside = np.flatnonzero(row[2:] == row[:-2])
-        pair = C.codes(word[inside] * len(table) + word[inside + 1])
-        three = C.codes(pair * len(table) + word[inside + 2])
-        window = C.codes(three * len(self.offsets) + row[inside])
+        key, size = row[inside], len(self.offsets)
+        for k in range(3):  # exact: a key that would grow too long is numbered anew
+            if size * len(table) >= 1 << 62:
+                key, size = C.codes(key), len(key)
+            key, size = key * len(table) + word[inside + k], size * len(table)
+        window = C.codes(key)
         hit = np.zeros(len(start) + 2, bool)
         hit[inside[np.bincount(window)[window] > 1]] = True
         covered = hit[:-2].copy()

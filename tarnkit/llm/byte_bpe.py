@@ -199,14 +199,21 @@ def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
                     part, rows = body[at[a] : at[b]], at[a : b + 1] - at[a]
                     if own:
                         start = pre_tokens(part, rows, table)
-                        end = np.append(start[1:], len(part)) if len(start) else start
                     else:
                         start, end = matches(part, rows, pattern)
                     starts.append((start + at[a]).astype(np.int32))
-                    ends.append((end + at[a]).astype(np.int32))
+                    if not own:
+                        ends.append((end + at[a]).astype(np.int32))
                     tokens.append(np.diff(np.searchsorted(start, rows)))
-                place, words = C.span_codes(body, np.concatenate(starts), np.concatenate(ends))
-                starts = ends = None
+                if own:  # pre-tokens tile the block, so their starts are the offsets of a column
+                    starts.append(np.array([len(body)], np.int32))
+                    edges, starts, ends = np.concatenate(starts), None, None
+                    coded = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(body)]).dictionary_encode()
+                    place, words = coded.indices.to_numpy(), coded.dictionary
+                    edges = coded = None
+                else:
+                    place, words = C.span_codes(body, np.concatenate(starts), np.concatenate(ends))
+                    starts = ends = None
                 count = np.bincount(place, minlength=len(words))
                 order = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]  # what lies between matches has no count
                 rank = np.zeros(len(words), np.int32)

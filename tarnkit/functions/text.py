@@ -213,6 +213,17 @@ def first_json_object(text: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema)
 
 
+def intent(reply: Column, image: Column, product: Column) -> Column:
+    """Intent of a question from a model's reply: that of the JSON object inside it, which may
+    be empty. A question with an image, or to a knowledge base, isn't classified, and a reply
+    without an object that can be read counts as product, as those do."""
+    parsed = first_json_object(reply, "intent string").getField("intent")
+    body = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+    readable = F.coalesce(F.get_json_object(body, "$").isNotNull(), F.lit(False))
+    asked = F.when(readable, F.coalesce(parsed, F.lit(""))).otherwise("product")
+    return F.when(F.coalesce(image, F.lit("")).eqNullSafe("") & ~F.coalesce(product == "knowledge_base", F.lit(False)), asked).otherwise("product")
+
+
 def prompt(question: Column, context: Column) -> Column:
     """References numbered from 1, then the question."""
     lines = F.transform(context, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x, F.lit("\n")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-IMAGE_BASE = 1000
+IMAGE_BASE, FRAME_BASE = 1000, 10000  # fixed values: where chunk indices of page images and key frames begin
 
 
 def either_key(left: DataFrame, right: DataFrame, keys: tuple[str, str], on: str, right_id: str) -> DataFrame:
@@ -30,9 +30,31 @@ def with_times(hits: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def near_images(hits: DataFrame, images: DataFrame, base: int = 0, reach: int = 1) -> DataFrame:
-    """Images (document_id, chunk_index) within reach of a hit of their document, each once."""
-    h = hits.select("document_id", F.col("chunk_index").alias("hit"))
-    return images.join(h, "document_id").where(F.abs(F.col("chunk_index") - base - F.col("hit")) <= reach).select(images["document_id"], "chunk_index").distinct()
+    """Images (document_id, chunk_index) within reach of a hit of their document, each once.
+
+    Each hit names the few places around it, so that the join is on whole keys and a document
+    with many hits and images isn't paired through. base: where the images' numbers begin."""
+    places = F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda d: (F.col("chunk_index") + d + base).cast("int"))).alias("chunk_index")
+    near = hits.select("document_id", places).distinct()
+    return images.join(near, ["document_id", "chunk_index"], "left_semi").select("document_id", "chunk_index").distinct()
+
+
+def enriched(hits: DataFrame, images: DataFrame, most: int = 5) -> DataFrame:
+    """Images for the answers that have none: query_id, document_id, chunk_index, image_url, place.
+
+    hits: query_id, document_id, chunk_index, image_url; images: document_id, chunk_index,
+    image_url, at their text's place or, from IMAGE_BASE on, at their page's. An answer with
+    an image among its hits gets no more; the others get the first ones within one place of a
+    hit, most at the most, which is the feature."""
+    shown = F.coalesce("image_url", F.lit("")) != ""
+    bare = hits.groupBy("query_id").agg(F.max(shown).alias("shown")).where("not shown").select("query_id")
+    asked = hits.join(bare, "query_id", "left_semi")
+    places = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: (F.col("chunk_index") + d).cast("int"))
+    direct, paged = F.filter(places, lambda x: x < IMAGE_BASE), F.transform(F.filter(places, lambda x: (x >= 0) & (x < FRAME_BASE - IMAGE_BASE)), lambda x: x + IMAGE_BASE)
+    near = asked.select("query_id", "document_id", F.explode(F.concat(direct, paged)).alias("chunk_index")).distinct()
+    found = near.join(images.where(shown), ["document_id", "chunk_index"])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("document_id", "chunk_index"))
+    return found.withColumn("place", place).where(F.col("place") <= most).select("query_id", "document_id", "chunk_index", "image_url", "place")
 
 
 def capped_images(images: DataFrame, most: int = 5) -> DataFrame:
@@ -42,10 +64,15 @@ def capped_images(images: DataFrame, most: int = 5) -> DataFrame:
 
 
 def frames_in_time(frames: DataFrame, hits: DataFrame, slack: float = 30.0) -> DataFrame:
-    """Frames (document_id, time) within slack of a timed hit (document_id, start_time, end_time)."""
-    h = hits.where("end_time > 0").select("document_id", "start_time", "end_time")
-    inside = (frames["time"] >= h["start_time"] - slack) & (frames["time"] <= h["end_time"] + slack)
-    return frames.join(h, (frames["document_id"] == h["document_id"]) & inside, "left_semi")
+    """Frames (document_id, time) within slack of a timed hit (document_id, start_time, end_time).
+
+    Time is cut in spans of twice the slack: a hit is listed in those it reaches, a frame in
+    its own, so that only what lies close together is compared."""
+    span = lambda c: F.floor(c / (2 * max(slack, 1.0)))
+    timed = hits.where("end_time > 0").select("document_id", (F.col("start_time") - slack).alias("low"), (F.col("end_time") + slack).alias("high")).where("low <= high")
+    h = timed.distinct().withColumn("span", F.explode(F.sequence(span(F.col("low")), span(F.col("high")))))
+    f = frames.withColumn("span", span(F.col("time")))
+    return f.join(h, (f["document_id"] == h["document_id"]) & (f["span"] == h["span"]) & f["time"].between(h["low"], h["high"]), "left_semi").drop("span")
 
 
 def chunk_times(chunks: DataFrame, segments: DataFrame) -> DataFrame:

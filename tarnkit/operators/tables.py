@@ -94,6 +94,18 @@ def knowledge_chunks(entries: DataFrame, text: str, images: str) -> DataFrame:
     return words.unionByName(pictures)
 
 
+def feedback(answers: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Answers by hand (id, question, answer, images) as chunks of the library, and pending (id, status, answer) after them.
+
+    The text of question and answer from 0 on, each image from 1000 on by its number."""
+    key = F.concat(F.lit("pending-answer-"), "id").alias("document_id")
+    words = answers.select(key, F.posexplode(T.chunks(T.answer_document(F.col("question"), F.col("answer")))).alias("chunk_index", "chunk_text"), F.lit("").alias("image_url"))
+    shown = answers.select(key, T.answer_name(F.col("question")).alias("chunk_text"), F.posexplode("images").alias("i", "image_url"))
+    chunks = words.unionByName(shown.select("document_id", (F.col("i") + 1000).alias("chunk_index"), "chunk_text", "image_url"))
+    told = answers.select("id", F.lit("answered").alias("status"), "answer")
+    return chunks, pending.join(told.select("id"), "id", "left_anti").unionByName(told)
+
+
 def new_documents(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of batch (id, content_hash) whose content is new: not held by a stored document
     that didn't fail, and the first of its kind in the batch. Copies may be many, so the first

@@ -6,28 +6,34 @@ that can't be parsed has an error instead, and the others go on."""
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnkit.functions import checks, text as T
+from tarnkit.sources import pdf
 
 # XML name spaces of office files.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 DRAW = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 OFFICE = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-IMAGE = pa.struct([("name", pa.string()), ("data", pa.binary())])
+IMAGE = pa.struct([("name", pa.string()), ("data", pa.binary()), ("place", pa.int32())])
+IMAGES = "array<struct<name string, data binary, place int>>"  # place: slide or page, where there are such
+LOG_BYTES = 256 << 10
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """All files below path with a known extension, whatever its case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """All files below path with a known extension, whatever its case; no others are read."""
+    any_case = ",".join("".join(f"[{c}{c.upper()}]" for c in extension) for extension in checks.FILE_TYPES)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{any_case}}}").load(path)
     return files.withColumn("kind", checks.file_type(F.col("path"))).where("kind is not null").select("path", "kind", F.col("length").alias("size"), "content")
 
 
@@ -64,26 +70,35 @@ def xlsx(data: bytes) -> tuple[str, list]:
 
 
 def pptx(data: bytes) -> tuple[str, list]:
-    """"Slide n:" and its text for each slide, blank lines between, and the media."""
+    """"Slide n:" and its text for each slide, blank lines between, and the media of each slide.
+
+    A picture comes once, with the first slide that shows it; media that no slide shows come last."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        slides = sorted((int(m.group(1)), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide([0-9]+)\.xml", n)))
-        parts = []
+        names = set(z.namelist())
+        slides = sorted((int(m.group(1)), n) for n in names if (m := re.fullmatch(r"ppt/slides/slide([0-9]+)\.xml", n)))
+        parts, shown = [], {}
         for number, name in slides:
             root = ElementTree.fromstring(z.read(name))
             lines = ["".join(t.text or "" for t in p.iter(f"{DRAW}t")) for p in root.iter(f"{DRAW}p")]
             parts.append(f"Slide {number}:\n" + "\n".join(line for line in lines if line.strip()))
-        media = [{"name": n, "data": z.read(n)} for n in sorted(z.namelist()) if n.startswith("ppt/media/")]
+            links = f"ppt/slides/_rels/slide{number}.xml.rels"
+            for link in ElementTree.fromstring(z.read(links)) if links in names else ():
+                target = posixpath.normpath(posixpath.join("/ppt/slides", link.get("Target", ""))).lstrip("/")
+                if target in names and target.startswith("ppt/media/"):
+                    shown.setdefault(target, number)
+        rest = sorted(n for n in names if n.startswith("ppt/media/") and n not in shown)
+        media = [{"name": n, "data": z.read(n), "place": shown.get(n)} for n in [*shown, *rest]]
     return "\n\n".join(parts), media
 
 
-PARSERS = {"word": docx, "excel": xlsx, "ppt": pptx}
+PARSERS = {"word": docx, "excel": xlsx, "ppt": pptx, "pdf": pdf.parse}
 TEXTUAL = ("markdown", "html")
 
 
 def parse(files: DataFrame) -> DataFrame:
     """path, kind, text, images and error of each scanned file.
 
-    Markdown and HTML are cleaned by column expressions; office files are read by
+    Markdown and HTML are cleaned by column expressions; PDF and office files are read by
     PARSERS, to which parsers of further kinds can be added."""
     kinds = [*PARSERS]
 
@@ -96,16 +111,16 @@ def parse(files: DataFrame) -> DataFrame:
                     texts.append(text)
                     images.append(found)
                     errors.append(None)
-                except (KeyError, ValueError, AttributeError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                except (KeyError, ValueError, IndexError, AttributeError, zlib.error, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     texts.append(None)
                     images.append([])
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(images, pa.list_(IMAGE)), pa.array(errors, pa.string())], ["path", "kind", "text", "images", "error"])
 
-    schema = "path string, kind string, text string, images array<struct<name string, data binary>>, error string"
+    schema = f"path string, kind string, text string, images {IMAGES}, error string"
     binary = files.where(F.col("kind").isin(kinds)).select("path", "kind", "content").mapInArrow(work, schema)
     body = F.decode("content", "UTF-8")
-    none = F.array().cast("array<struct<name string, data binary>>")
+    none = F.array().cast(IMAGES.replace(" string", ":string").replace(" binary", ":binary").replace(" int", ":int"))
     plain = files.where(F.col("kind").isin(*TEXTUAL)).select("path", "kind", F.when(F.col("kind") == "html", T.html_to_text(body)).otherwise(T.strip_markdown(body)).alias("text"), none.alias("images"), F.lit(None).cast("string").alias("error"))
     other = files.where(~F.col("kind").isin(*kinds, *TEXTUAL)).select("path", "kind", F.lit(None).cast("string").alias("text"), none.alias("images"), F.concat(F.lit("no parser for "), F.col("kind")).alias("error"))
     done = binary.withColumn("text", T.clean_text(F.col("text"))).unionByName(plain).unionByName(other)
@@ -113,7 +128,11 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def log_tail(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
-    """The last n lines of a log that hold something, oldest first; n is at most 500."""
+    """The last n lines of a log that aren't empty, oldest first; n is at most 500.
+
+    Each task keeps its own last n, and of those left come the ones that begin within the
+    last LOG_BYTES of them; the newest always comes."""
     n = min(max(n, 1), 500)
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    return lines.orderBy(F.desc("at")).limit(n).orderBy("at").select(F.col("value").alias("line"))
+    last = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where("value != ''").orderBy(F.desc("at")).limit(n)
+    newer = F.sum(F.octet_length("value") + 1).over(Window.orderBy(F.desc("at"))) - F.octet_length("value") - 1
+    return last.withColumn("newer", newer).where(F.col("newer") < LOG_BYTES).orderBy("at").select(F.col("value").alias("line"))

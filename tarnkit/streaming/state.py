@@ -122,6 +122,32 @@ def once_per_ticket(stream: DataFrame, ticket: str, time: str, life: str = "5 mi
     return stream.withWatermark(time, life).dropDuplicatesWithinWatermark([ticket])
 
 
+def first_uses(issued: DataFrame, uses: DataFrame, life_seconds: int) -> DataFrame:
+    """uses (ticket, id, at in microseconds) with used: whether the ticket was issued (ticket, at)
+    less than life_seconds before and hadn't been used. Only the first use in time can be that
+    one, so an aggregate finds it and no ticket's uses meet in a window."""
+    timed = uses.join(issued.select("ticket", F.col("at").alias("issued")), "ticket", "left")
+    valid = (F.col("at") >= F.col("issued")) & (F.col("at") < F.col("issued") + life_seconds * SECOND)
+    timed = timed.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    first = timed.where("valid").groupBy("ticket").agg(F.min(F.struct("at", "id")).getField("id").alias("first"))
+    return timed.join(first, "ticket", "left").select("ticket", "id", "at", (F.col("valid") & F.coalesce(F.col("id") == F.col("first"), F.lit(False))).alias("used"))
+
+
+def report_progress(stream: DataFrame, by: str, totals: DataFrame, folder: str) -> DataFrame:
+    """Progress of a streamed import: what each batch adds by key goes to a sink of its own, a
+    folder named by the batch, so that a batch made again replaces its report. Gives by, done,
+    total and percent as of the last batch."""
+    path = f"{folder.rstrip('/')}/progress-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.groupBy(by).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    kind = stream.schema[by].dataType.simpleString()
+    done = stream.sparkSession.read.schema(f"{by} {kind}, n long, batch int").parquet(f"{path}/out").groupBy(by).agg(F.sum("n").alias("done"))
+    return done.join(totals, by).select(by, "done", "total", F.floor(F.col("done") * 100 / F.col("total")).alias("percent"))
+
+
 def tumbling_counts(stream: DataFrame, time: str, size: str, late: str, *by: str) -> DataFrame:
     """Counts by window and keys; a window comes out once nothing late can reach it."""
     counts = stream.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), *by).agg(F.count("*").alias("n"))

@@ -1,5 +1,6 @@
 import io
 import zipfile
+import zlib
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,7 +12,7 @@ from tarnkit.operators import lockout as K
 from tarnkit.operators import search as S
 from tarnkit.operators import tables as B
 from tarnkit.plans import operation_queries as O
-from tarnkit.sources import files
+from tarnkit.sources import files, pdf
 from tarnkit.streaming import state as W
 
 T0 = datetime(2024, 1, 1)
@@ -224,7 +225,9 @@ def test_files(spark, tmp_path):
         )
     )
     d = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
-    (tmp_path / "c.pptx").write_bytes(office({f"ppt/slides/slide{k}.xml": f"<p {d}><a:p><a:t>s{k}</a:t></a:p></p>" for k in (10, 2)}))
+    slides = {f"ppt/slides/slide{k}.xml": f"<p {d}><a:p><a:t>s{k}</a:t></a:p></p>" for k in (10, 2)}
+    links = {f"ppt/slides/_rels/slide{k}.xml.rels": "".join(["<R>", *(f'<Relationship Id="{x}" Target="../media/{x}.png"/>' for x in shown), "</R>"]) for k, shown in ((2, "b"), (10, "ba"))}
+    (tmp_path / "c.pptx").write_bytes(office({**slides, **links, **{f"ppt/media/{x}.png": x for x in "abc"}}))
     (tmp_path / "d.md").write_text("# T\n**x**")
     (tmp_path / "e.html").write_text("<p>p</p>")
     (tmp_path / "f.pdf").write_bytes(b"%PDF-")
@@ -233,9 +236,64 @@ def test_files(spark, tmp_path):
     got = {row.path.rsplit("/", 1)[1]: row for row in files.parse(files.scan(spark, str(tmp_path))).collect()}
     assert {k: v.text for k, v in got.items() if not v.error} == {"A.DOCX": "Hello\nyou", "b.xlsx": "S-1,1: name\nS-2,28: 7", "c.pptx": "Slide 2:\ns2\n\nSlide 10:\ns10", "d.md": "T\nx", "e.html": "p"}
     assert bytes(got["A.DOCX"].images[0].data) == b"png"
+    assert [(i.name[-5:], i.place) for i in got["c.pptx"].images] == [("b.png", 2), ("a.png", 10), ("c.png", None)]
     assert set(k for k, v in got.items() if v.error) == {"f.pdf", "g.docx"}
 
 
 def test_log_tail(spark, tmp_path):
     (tmp_path / "log").write_text("\n".join(f"line {i}\n" for i in range(60)))
     assert [r.line for r in files.log_tail(spark, str(tmp_path / "log"), 3).collect()] == ["line 57", "line 58", "line 59"]
+
+
+def test_log_tail_is_bounded_by_bytes(spark, tmp_path):
+    (tmp_path / "log").write_text("old\n  \n" + "x" * (files.LOG_BYTES + 1) + "\nnew\n")
+    assert [len(r.line) for r in files.log_tail(spark, str(tmp_path / "log"), 9).collect()] == [files.LOG_BYTES + 1, 3]
+
+
+def printed(*objects: bytes) -> bytes:
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, body) for k, body in objects) + b"%%EOF"
+
+
+def flate(body: bytes, more: bytes = b"") -> bytes:
+    packed = zlib.compress(body)
+    return b"<< /Filter /FlateDecode %s/Length %d >>\nstream\n%s\nendstream" % (more, len(packed), packed)
+
+
+def test_pdf_fonts_pages_and_images():
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0001> <4F60> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<0078> <00790079>] endbfrange"
+    photo = b"<< /Subtype /Image /Filter /DCTDecode /Width 60 /Height %d >>\nstream\n%s\nendstream"
+    packed = b"<< /Font << /F1 8 0 R >> /XObject << /A 10 0 R /B 11 0 R /C 12 0 R >> >>"
+    data = printed(
+        (1, b"<< /Type /Catalog /Pages 2 0 R >>"),
+        (2, b"<< /Type /Pages /Kids [5 0 R 3 0 R 2 0 R] /Resources 7 0 R >>"),
+        (3, b"<< /Type /Page /Contents 4 0 R >>"),
+        (4, flate(b"BT /F1 9 Tf <00010010> Tj [<0012> -500 <0020> 20 <0021>] TJ ET")),
+        (5, b"<< /Type /Page /Contents [6 0 R 9 0 R] >>"),
+        (6, b"<< >>\nstream\nBT (a\\(b\\)\\101) Tj 3 0 Td (c) Tj 0 -9 Td (d (e)) Tj T* (\x80)' ET\nendstream"),
+        (8, b"<< /Type /Font /ToUnicode 14 0 R >>"),
+        (9, flate(b"BT (end) Tj ET")),
+        (10, photo % (60, b"one")),
+        (11, photo % (49, b"small")),
+        (12, photo % (60, b"one")),
+        (13, flate(b"7 0 " + packed, b"/Type /ObjStm /N 1 /First 4 ")),
+        (14, flate(cmap)),
+    )
+    text, images = pdf.parse(data)
+    assert text == "a(b)Ac\nd (e)\n\u20ac\nend\n\n\u4f60ac xyy"
+    assert images == [{"name": "page 1 image 1", "data": b"one", "place": 1}]
+    for bad in (b"", b"%PDF-1.4", data + b"trailer << /Encrypt 1 0 R >>"):
+        with pytest.raises(ValueError):
+            pdf.parse(bad)
+
+
+def test_enriched_answers(spark):
+    hits = spark.createDataFrame([(1, 7, 3, ""), (1, 7, 999, None), (2, 7, 3, "/x"), (3, 8, 0, "")], "query_id int, document_id long, chunk_index int, image_url string")
+    images = spark.createDataFrame([(7, k, f"/{k}") for k in (2, 4, 1000, 1001, 1002, 1004, 1999, 10002, 11000)] + [(7, 3, ""), (8, 9, "/n")], "document_id long, chunk_index int, image_url string")
+    got = [(r.query_id, r.chunk_index, r.place) for r in L.enriched(hits, images).orderBy("query_id", "place").collect()]
+    assert got == [(1, 2, 1), (1, 4, 2), (1, 1002, 3), (1, 1004, 4), (1, 1999, 5)]
+
+
+def test_first_uses(spark):
+    issued = spark.createDataFrame([("a", 0), ("b", 5)], "ticket string, at long")
+    uses = spark.createDataFrame([("a", 1, -1), ("a", 2, 10), ("a", 3, 10), ("b", 4, 10**6 + 5), ("c", 5, 1)], "ticket string, id long, at long")
+    assert sorted((r.id, r.used) for r in W.first_uses(issued, uses, 1).collect()) == [(1, False), (2, True), (3, False), (4, False), (5, False)]

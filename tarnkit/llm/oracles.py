@@ -91,4 +91,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND word_chars <= 25 * n_words AND 2 * word_chars >= 3 * n_words AS kept FROM x
 """
 
-ORACLES = {"op2_decontaminate": OP2, "op3_chat": OP3, "op4_secrets": _op4(), "secret_ledger_runs": RUNS, "op9_near_join": OP9, "op10_quality": OP10}
+OP11 = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+df AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN df USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM df GROUP BY lang),
+t AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (coalesce(t.n, 0) + 5 * v.v) AS p
+  FROM g JOIN df USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+q AS (SELECT lang, term, 1 + (1000000000 * (sum(c.n) + 5)) // (any_value(l.n) + 5 * any_value(v)) AS q
+  FROM c JOIN (SELECT lang, sum(n) AS n FROM c GROUP BY lang) l USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x QUALIFY part = 'pair' OR rank <= 50
+"""
+
+CACHE_RUNS = """
+WITH d AS (SELECT coalesce(text, '') AS text FROM documents), b AS (SELECT text FROM d UNION ALL SELECT coalesce(text, '') FROM conversations),
+o AS (SELECT count(*) AS n, coalesce(sum(strlen(text)), 0) AS size, count(DISTINCT text) AS texts FROM d), e AS (SELECT count(*) AS n, coalesce(sum(strlen(text)), 0) AS size, count(DISTINCT text) AS texts FROM b)
+SELECT 1 AS run, n AS n_rows, CAST(size AS BIGINT) AS n_bytes, texts AS n_texts, CAST(0 AS BIGINT) AS n_stored FROM o
+UNION ALL SELECT 2, e.n, CAST(e.size AS BIGINT), e.texts, o.texts FROM e, o
+UNION ALL SELECT 3, n, CAST(size AS BIGINT), texts, 0 FROM e
+"""
+
+ORACLES = {"op2_decontaminate": OP2, "op3_chat": OP3, "op4_secrets": _op4(), "secret_ledger_runs": RUNS, "op9_near_join": OP9, "op10_quality": OP10, "op11_source_audit": OP11, "token_cache_runs": CACHE_RUNS}

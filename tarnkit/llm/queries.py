@@ -103,6 +103,47 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, in documents."""
+    from tarnkit.llm.source_audit import audit_sources
+
+    return audit_sources(read_table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """Token counts of documents, through a cache of their own."""
+    import public_tokenizers
+
+    from tarnkit.llm.token_counts import judge_length, load_tokenizer
+
+    return judge_length(read_table(spark, sf_dir, "documents"), load_tokenizer(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def token_cache_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over one cache: documents, then conversations beside them, then both with
+    another tokenizer; the texts of each, the distinct ones, and those found in the cache."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from tarnkit.llm.token_counts import CountCache, counted, load_tokenizer
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = docs.unionByName(read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text"))
+    first, other = (load_tokenizer(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    cache, out = CountCache(spark), []
+    for k, (rows, tokenizer) in enumerate(((docs, first), (both, first), (both, other))):
+        counts, n_texts, n_stored = counted(rows, tokenizer, cache)
+        out.append(counts.agg(F.lit(k + 1).alias("run"), F.count("n_tokens").alias("n_rows"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes")).withColumns({"n_texts": F.lit(n_texts).cast("long"), "n_stored": F.lit(n_stored).cast("long")}))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in documents, with repeats planted in a tenth of them."""
+    from tarnkit.llm.period_runs import plant_repeats, run_report
+
+    return run_report(plant_repeats(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
@@ -115,4 +156,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_join": op9_near_join,
     "op10_quality": op10_quality,
+    "op11_source_audit": op11_source_audit,
+    "op12_token_counts": op12_token_counts,
+    "token_cache_runs": token_cache_runs,
+    "op13_period_runs": op13_period_runs,
 }

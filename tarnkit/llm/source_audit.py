@@ -27,9 +27,11 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,18 +66,21 @@ class Stripes:
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for lang, df in self.df.items():
-            stripes: dict[bytes, list] = {term: [] for term in df}
-            for source, count in self.counts[lang].items():
-                for term, n in count.items():
-                    stripes[term].append((source, n))
-            yield stripe_batch([(lang, term.decode(), df[term], parts) for term, parts in stripes.items()])
+            counts = self.counts[lang]
+            coded = pa.array(chain.from_iterable(counts.values()), pa.binary()).dictionary_encode()
+            source = np.repeat(np.arange(len(counts)), [len(c) for c in counts.values()])
+            n = np.fromiter(chain.from_iterable(c.values() for c in counts.values()), np.int64, len(source))
+            terms = coded.dictionary
+            code = coded.indices.to_numpy()
+            turn = np.argsort(code, kind="stable")
+            yield _batch([lang] * len(terms), terms.cast(pa.string()), np.fromiter(map(df.__getitem__, terms.to_pylist()), np.int64, len(terms)), np.bincount(code, minlength=len(terms)), pa.array(list(counts), pa.string()).take(pa.array(source[turn])), n[turn])
 
 
-def stripe_batch(rows: list[tuple]) -> pa.RecordBatch:
-    parts = [p for r in rows for p in r[3]]
-    pairs = pa.StructArray.from_arrays([pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.int64())], ["source", "n"])
-    at = pa.array(np.cumsum([0, *(len(r[3]) for r in rows)]), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.ListArray.from_arrays(at, pairs)], ["lang", "term", "df", "sources"])
+def _batch(langs: list | pa.Array, terms: pa.Array, df: np.ndarray, sizes: np.ndarray, sources: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    """Stripes of which the i-th has the next sizes[i] of sources and n."""
+    pairs = pa.StructArray.from_arrays([sources, pa.array(n, pa.int64())], ["source", "n"])
+    at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), terms, pa.array(df, pa.int64()), pa.ListArray.from_arrays(at, pairs)], ["lang", "term", "df", "sources"])
 
 
 def fold(docs: DataFrame, spill: int = SPILL) -> DataFrame:
@@ -104,35 +109,51 @@ def fold(docs: DataFrame, spill: int = SPILL) -> DataFrame:
 def merged(stripes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One stripe a term, for terms in at least min_docs documents of their language, and for ''."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, df, count = None, 0, Counter()
-        done: list[tuple] = []
-
-        def close() -> None:
-            if key is not None and (df >= min_docs or not key[1]):
-                done.append((*key, df, list(count.items())))
+    def joined(table: pa.Table) -> pa.RecordBatch:
+        """The stripes of each term in one, for whole groups of sorted rows; only those that stay are put together."""
+        langs, terms = (table.column(c).combine_chunks() for c in range(2))
+        first = np.flatnonzero(np.append(True, pc.or_(pc.not_equal(langs[1:], langs[:-1]), pc.not_equal(terms[1:], terms[:-1])).to_numpy(zero_copy_only=False)))
+        df = np.add.reduceat(table.column(2).to_numpy(), first)
+        stay = (df >= min_docs) | (pc.binary_length(terms).to_numpy()[first] == 0)
+        rows = np.flatnonzero(np.repeat(stay, np.diff(np.append(first, len(terms)))))
+        lists = table.column(3).combine_chunks().take(pa.array(rows))
+        group = np.repeat(np.repeat(np.arange(stay.sum()), np.diff(np.append(first, len(terms)))[stay]), lists.value_lengths().to_numpy())
+        flat = lists.flatten()
+        names = flat.field(0).dictionary_encode()
+        width = max(1, len(names.dictionary))
+        keys, place = np.unique(group * width + names.indices.to_numpy(), return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, place, flat.field(1).to_numpy())
+        kept = pa.array(first[stay])
+        return _batch(langs.take(kept), terms.take(kept), df[stay], np.bincount(keys // width, minlength=int(stay.sum())), names.dictionary.take(pa.array(keys % width)), n)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last term may go on in the next batch; what there is of it is one stripe a batch
         for batch in batches:
-            lists = batch.column(3)
-            flat, at = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            names, amounts = flat.field(0).to_pylist(), flat.field(1).to_pylist()
-            for k, (lang, term, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                if (lang, term) != key:
-                    close()
-                    key, df, count = (lang, term), 0, Counter()
-                df += n
-                for i in range(at[k], at[k + 1]):
-                    count[names[i]] += amounts[i]
-            if done:
-                yield stripe_batch(done)
-                done = []
-        close()
-        if done:
-            yield stripe_batch(done)
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            langs, terms = table.column(0), table.column(1)
+            ends = pc.or_(pc.not_equal(langs, langs[-1]), pc.not_equal(terms, terms[-1])).to_numpy()
+            cut = int(np.flatnonzero(ends)[-1]) + 1 if ends.any() else 0
+            if cut:
+                yield joined(table.slice(0, cut))
+            held = [_one_stripe(table.slice(cut))]
+        if held:
+            yield joined(pa.Table.from_batches(held))
 
     return stripes.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(work, STRIPE)
 
 
+def _one_stripe(table: pa.Table) -> pa.RecordBatch:
+    """Rows of one term as one stripe."""
+    flat = table.column(3).combine_chunks().flatten()
+    names = flat.field(0).dictionary_encode()
+    n = np.zeros(len(names.dictionary), np.int64)
+    np.add.at(n, names.indices.to_numpy(), flat.field(1).to_numpy())
+    return _batch([table.column(0)[0].as_py()], pa.array([table.column(1)[0].as_py()], pa.string()), np.array([table.column(2).to_numpy().sum()]), np.array([len(n)]), names.dictionary, n)
+
+
 def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
     """1 + floor(10**9 * count / total) without overflow, three digits at a time."""
     rest, out = count.astype(np.int64), np.zeros(np.broadcast(count, total).shape, np.int64)

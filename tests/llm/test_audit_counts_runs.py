@@ -72,11 +72,17 @@ def test_source_audit(docs, least, block, tile):
     assert sorted((r.lang, r.source, r.part, r.item, r.value, r.rank) for r in got.collect()) == audit_model(rows(), least)
 
 
-def test_source_audit_spills_and_merges(docs, empty):
+def test_source_audit_spills_and_merges(spark, docs, empty):
     stripes = source_audit.fold(docs, spill=50)
     assert stripes.count() > source_audit.fold(docs).count()
-    one, two = (sorted((r.lang, r.term, r.df, sorted(map(tuple, r.sources))) for r in source_audit.merged(s, 2).collect()) for s in (stripes, source_audit.fold(docs)))
-    assert one == two and len(one) > 20
+    found = []
+    for s, rows_ in ((stripes, 7), (stripes, 1), (source_audit.fold(docs), 10_000)):  # a term's stripes lie in one batch, and in many
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_)
+        try:
+            found.append(sorted((r.lang, r.term, r.df, sorted(map(tuple, r.sources))) for r in source_audit.merged(s, 2).collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2] and len(found[0]) > 20
     assert source_audit.audit_sources(empty).count() == 0
 
 

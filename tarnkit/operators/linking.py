@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 IMAGE_BASE, FRAME_BASE = 1000, 10000  # fixed values: where chunk indices of page images and key frames begin
 
+CELL = 20_000
+
 
 def either_key(left: DataFrame, right: DataFrame, keys: tuple[str, str], on: str, right_id: str) -> DataFrame:
     """left joined with right where either left key equals right's, left rows without a
@@ -75,9 +79,47 @@ def frames_in_time(frames: DataFrame, hits: DataFrame, slack: float = 30.0) -> D
     return f.join(h, (f["document_id"] == h["document_id"]) & (f["span"] == h["span"]) & f["time"].between(h["low"], h["high"]), "left_semi").drop("span")
 
 
+def contents_in_chunks(chunks: DataFrame, segments: DataFrame, cell: int = CELL) -> DataFrame:
+    """document_id, chunk_index, start_time and end_time over the segments of a document that a chunk's text contains.
+
+    All contents of a document are one automaton, which passes over each chunk once, so
+    the work grows with chunks, segments and hits, not with their pairs. A document of many
+    chunks or segments is dealt in cells of about cell rows, by position and by hash; a pair of
+    cells is one group. Null texts and contents match nothing; an empty content is in
+    every text."""
+    named = segments.where("content is not null").groupBy("document_id", "content").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))
+    texts = chunks.where("chunk_text is not null").select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text")
+    sizes = texts.groupBy("document_id").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("m")).unionByName(named.groupBy("document_id").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("m")))
+    sizes = sizes.groupBy("document_id").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("n > 0 and m > 0")
+    cells = sizes.select("document_id", F.ceil(F.col("n") / cell).cast("int").alias("rows"), F.ceil(F.col("m") / cell).cast("int").alias("parts"))
+    both = lambda df, own, of, other, count: df.join(cells, "document_id").withColumn(own, F.pmod(F.xxhash64(of), F.col("rows" if own == "row" else "parts")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(count) - 1))).drop("rows", "parts")
+    left, right = both(texts, "row", "chunk_index", "part", "parts"), both(named, "part", "content", "row", "rows")
+    key = chunks.schema["document_id"].dataType.simpleString()
+
+    def work(key: tuple, theirs: pa.Table, mine: pa.Table) -> pa.Table:
+        names = {"document_id": theirs.schema.field("document_id").type, "chunk_index": pa.int64(), "start_time": pa.float64(), "end_time": pa.float64()}
+        if not theirs.num_rows or not mine.num_rows:
+            return pa.schema(list(names.items())).empty_table()
+        automaton, every = ahocorasick.Automaton(), []
+        for content, start, end in zip(*(mine.column(c).to_pylist() for c in ("content", "start_time", "end_time")), strict=True):
+            automaton.add_word(content, (start, end)) if content else every.append((start, end))
+        automaton.make_automaton()
+        found: list[tuple] = []
+        for chunk, text in zip(theirs.column("chunk_index").to_pylist(), theirs.column("chunk_text").to_pylist(), strict=True):
+            hits = [*every, *({times for _, times in automaton.iter(text)} if len(automaton) else ())]
+            starts, ends = [h[0] for h in hits if h[0] is not None], [h[1] for h in hits if h[1] is not None]
+            if hits:
+                found.append((key[0].as_py(), chunk, min(starts, default=None), max(ends, default=None)))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else ([],) * 4, names.values(), strict=True)], names=list(names))
+
+    grid = ["document_id", "row", "part"]
+    hits = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(work, f"document_id {key}, chunk_index long, start_time double, end_time double")
+    return hits.groupBy("document_id", "chunk_index").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))
+
+
 def chunk_times(chunks: DataFrame, segments: DataFrame) -> DataFrame:
     """Time range of each chunk: of the segments whose text it contains, or the full span."""
-    inside = chunks.join(segments, "document_id").where(F.col("chunk_text").contains(F.col("content")))
-    found = inside.groupBy("document_id", "chunk_index").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))
+    segments = segments.withColumns({c: F.col(c).cast("double") for c in ("start_time", "end_time")})
+    found = contents_in_chunks(chunks, segments)
     span = segments.groupBy("document_id").agg(F.min("start_time").alias("low"), F.max("end_time").alias("high"))
     return chunks.select("document_id", "chunk_index").join(found, ["document_id", "chunk_index"], "left").join(span, "document_id").select("document_id", "chunk_index", F.coalesce("start_time", "low").alias("start_time"), F.coalesce("end_time", "high").alias("end_time"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +12,10 @@ from tarnkit.operators import tables as B
 from tarnkit.plans.operation_queries import CHUNKS, _chunks, _event_stream
 from tarnkit.plans.registry import Registry, table
 from tarnkit.sources import files
+from tarnkit.sources.compound import write_xls
 from tarnkit.sources.shared import shared_dir
 from tarnkit.streaming import state as W
+from tarnkit.streaming import timed as Z
 
 R = Registry()
 
@@ -88,17 +91,33 @@ def feedback_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feedback(spark, sf_dir)[1]
 
 
-@R.add("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t, CASE WHEN event_type = 'signup' THEN event_id ELSE last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS ticket FROM events),
+TICKETS = """WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t, CASE WHEN event_type = 'signup' THEN event_id ELSE last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS ticket FROM events),
   u AS (SELECT u.ticket, u.event_id AS id, u.t AS "at", u.t < i.t + 43200000000 AS valid FROM e u JOIN e i ON i.event_id = u.ticket WHERE u.event_type = 'click')
-  SELECT ticket, id, "at", valid AND id = first_value(id) OVER (PARTITION BY ticket ORDER BY NOT valid, "at", id) AS used FROM u""")
-def tickets_used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks that try their user's newest ticket, which lives for half a day and is good for one use."""
+  SELECT ticket, id, "at", valid AND id = first_value(id) OVER (PARTITION BY ticket ORDER BY NOT valid, "at", id) AS used FROM u"""
+
+
+def _tickets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sign-ups as issued tickets, and clicks that try their user's newest one."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     e = e.withColumn("ticket", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w))
     issued = e.where("event_type = 'signup'").select(F.col("event_id").alias("ticket"), "at")
-    uses = e.where("event_type = 'click' and ticket is not null").select("ticket", F.col("event_id").alias("id"), "at")
-    return W.first_uses(issued, uses, 12 * 3600)
+    return issued, e.where("event_type = 'click' and ticket is not null").select("ticket", F.col("event_id").alias("id"), "at")
+
+
+@R.add(TICKETS)
+def tickets_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks that try their user's newest ticket, which lives for half a day and is good for one use."""
+    return W.first_uses(*_tickets(spark, sf_dir), 12 * 3600)
+
+
+@R.add(f'SELECT ticket, id, "at" FROM ({TICKETS}) WHERE used')
+def stream_redeemed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as two streams that are joined; a row a year later in each lets all open tickets end."""
+    issued, uses = _tickets(spark, sf_dir)
+    later = lambda df, *columns: df.unionByName(df.agg(F.max("at").alias("last")).select(*(F.lit(-1).cast("long").alias(c) for c in columns), (F.col("last") + 365 * 24 * W.HOUR).alias("at")).where("at is not null"))
+    streams = [W.replayed(later(df, *columns), shared_dir(spark), name) for df, name, columns in ((issued, "issued", ("ticket",)), (uses, "uses", ("ticket", "id")))]
+    return W.run_available(Z.redeemed(*streams, 12 * 3600), shared_dir(spark), "redeemed").where("ticket >= 0")
 
 
 @R.add("SELECT event_type, count(*) AS done, count(*) AS total, CAST(100 AS BIGINT) AS percent FROM events GROUP BY event_type")
@@ -128,3 +147,22 @@ def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     printed = turns.where(plain != "").select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.lit("pdf").alias("kind"), F.encode(body, "US-ASCII").alias("content"))
     read = files.parse(printed).withColumn("at", F.split("path", "/"))
     return read.select(F.get("at", F.lit(0)).cast("long").alias("conv_id"), F.get("at", F.lit(1)).cast("long").alias("turn"), "text")
+
+
+@R.add("SELECT s_nationkey AS nation, CAST(s_suppkey AS DOUBLE) AS suppkey, s_name AS name, s_acctbal AS acctbal FROM supplier")
+def xls_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers printed to one legacy workbook a nation, and read back from its cells."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name", "s_acctbal")
+
+    def book(key: tuple, rows: pa.Table) -> pa.Table:
+        lines = [[float(k), name, balance] for k, name, balance in sorted(zip(*(rows.column(c).to_pylist() for c in range(1, 4)), strict=True))]
+        return pa.table({"path": [str(key[0].as_py())], "kind": ["excel_legacy"], "content": pa.array([write_xls(f"nation{key[0].as_py()}", lines)], pa.binary())})
+
+    read = files.parse(suppliers.groupBy("s_nationkey").applyInArrow(book, "path string, kind string, content binary"))
+    cell = F.expr("regexp_extract_all(line, '^nation([0-9]+)-([0-9]+),([0-9]+): (.*)$', 0)")
+    lines = read.select(F.explode(F.split("text", "\n")).alias("line")).where(F.size(cell) == 1)
+    part = lambda k: F.regexp_extract("line", r"^nation([0-9]+)-([0-9]+),([0-9]+): (.*)$", k)
+    cells = lines.select(part(1).cast("int").alias("nation"), part(2).cast("int").alias("row"), part(3).cast("int").alias("column"), part(4).alias("value"))
+    value = lambda k: F.max(F.when(F.col("column") == k, F.col("value")))
+    found = cells.groupBy("nation", "row").agg(value(1).cast("double").alias("suppkey"), value(2).alias("name"), value(3).cast("double").alias("acctbal"))
+    return found.drop("row")

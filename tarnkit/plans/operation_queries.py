@@ -16,6 +16,7 @@ from tarnkit.plans.registry import Registry, table
 from tarnkit.plans.text_queries import duck_chunks
 from tarnkit.sources.shared import shared_dir
 from tarnkit.streaming import state as W
+from tarnkit.streaming import timed as Z
 
 R = Registry()
 AS_OF = "2024-01-20 12:00:00"
@@ -278,6 +279,23 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+@R.add(SESSIONS)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests of a stream with their sessions, which end by timers."""
+    stream = _event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros("ts").alias("at"))
+    found = W.run_available(Z.session_stream(stream, "40 days"), shared_dir(spark), "sessions")
+    return found.where(F.col("event") == Z.REQUEST).select("key", "id", "at", "session")
+
+
+@R.add(SESSIONS.rsplit("SELECT", 1)[0] + """SELECT key, session, max(ends) AS "at" FROM s GROUP BY key, session
+  QUALIFY session < max(session) OVER (PARTITION BY key) OR max(ends) <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000""")
+def stream_session_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of sessions: where a next request came after it, or the watermark, an hour behind the newest event, has passed it."""
+    stream = _event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros("ts").alias("at"))
+    found = W.run_available(Z.session_stream(stream, "1 hour"), shared_dir(spark), "sessions")
+    return found.where(F.col("event") == Z.EXPIRED).select("key", "session", "at")
+
+
 @R.add("""SELECT start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type FROM events)
   WHERE start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY start, event_type""")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

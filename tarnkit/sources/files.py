@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnkit.functions import checks, text as T
-from tarnkit.sources import pdf
+from tarnkit.sources import compound, pdf
 
 # XML name spaces of office files.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -91,7 +92,7 @@ def pptx(data: bytes) -> tuple[str, list]:
     return "\n\n".join(parts), media
 
 
-PARSERS = {"word": docx, "excel": xlsx, "ppt": pptx, "pdf": pdf.parse}
+PARSERS = {"word": docx, "excel": xlsx, "ppt": pptx, "pdf": pdf.parse, "word_legacy": compound.doc, "excel_legacy": compound.xls, "ppt_legacy": compound.ppt}
 TEXTUAL = ("markdown", "html")
 
 
@@ -111,7 +112,7 @@ def parse(files: DataFrame) -> DataFrame:
                     texts.append(text)
                     images.append(found)
                     errors.append(None)
-                except (KeyError, ValueError, IndexError, AttributeError, zlib.error, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                except (KeyError, ValueError, IndexError, AttributeError, struct.error, zlib.error, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     texts.append(None)
                     images.append([])
                     errors.append(f"{type(e).__name__}: {e}")
@@ -123,6 +124,7 @@ def parse(files: DataFrame) -> DataFrame:
     none = F.array().cast(IMAGES.replace(" string", ":string").replace(" binary", ":binary").replace(" int", ":int"))
     plain = files.where(F.col("kind").isin(*TEXTUAL)).select("path", "kind", F.when(F.col("kind") == "html", T.html_to_text(body)).otherwise(T.strip_markdown(body)).alias("text"), none.alias("images"), F.lit(None).cast("string").alias("error"))
     other = files.where(~F.col("kind").isin(*kinds, *TEXTUAL)).select("path", "kind", F.lit(None).cast("string").alias("text"), none.alias("images"), F.concat(F.lit("no parser for "), F.col("kind")).alias("error"))
+    binary = binary.withColumn("text", F.when(F.col("kind") == "word_legacy", T.drop_field_codes(F.col("text"))).otherwise(F.col("text")))
     done = binary.withColumn("text", T.clean_text(F.col("text"))).unionByName(plain).unionByName(other)
     return done.withColumn("error", F.when(F.col("error").isNull() & (F.coalesce("text", F.lit("")) == "") & (F.size("images") == 0), "empty").otherwise(F.col("error")))
 

@@ -10,6 +10,7 @@ import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
+FRAME_ROWS = 10_000
 
 
 class SlidingLog:
@@ -91,15 +93,28 @@ def failure_streaks(log: DataFrame) -> DataFrame:
     return fold_by_key(log, Streak, lambda s, _, value: s.add(value), "streak", "long")
 
 
+def in_order(frames: Iterator[pd.DataFrame], *columns: str) -> Iterator[pd.DataFrame]:
+    """A key's rows of one micro-batch by at and id, FRAME_ROWS at a time.
+
+    Of the frames that come only these whole numbers are kept, 8 bytes each; a
+    micro-batch is as large as the source's limit of files or offsets lets it be."""
+    names = ("at", "id", *columns)
+    held = [np.stack([f[c].to_numpy(np.int64) for c in names]) for f in frames]
+    rows = np.concatenate(held, axis=1)
+    held.clear()
+    order = np.lexsort((rows[1], rows[0]))
+    for a in range(0, len(order), FRAME_ROWS):
+        yield pd.DataFrame(dict(zip(names, rows[:, order[a : a + FRAME_ROWS]], strict=True)))
+
+
 def rate_limited_stream(stream: DataFrame, limit: int, window_seconds: int) -> DataFrame:
     """The limiter on a stream with columns key, id and at; its state outlives batches."""
 
     def work(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         log = SlidingLog(limit, window_seconds * SECOND, list(state.get[0]) if state.exists else None)
-        rows = pd.concat(frames).sort_values(["at", "id"])
-        rows["allowed"] = [log.allow(int(at)) for at in rows["at"]]
+        for rows in in_order(frames):
+            yield rows.assign(key=key[0], allowed=[log.allow(at) for at in rows["at"].tolist()])[["key", "id", "at", "allowed"]]
         state.update((list(log.times),))
-        yield rows[["key", "id", "at", "allowed"]]
 
     return stream.groupBy("key").applyInPandasWithState(work, "key long, id long, at long, allowed boolean", "times array<long>", "append", "NoTimeout")
 
@@ -109,10 +124,9 @@ def streak_stream(stream: DataFrame) -> DataFrame:
 
     def work(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         streak = Streak(state.get[0] if state.exists else 0)
-        rows = pd.concat(frames).sort_values(["at", "id"])
-        rows["streak"] = [streak.add(int(v)) for v in rows["value"]]
+        for rows in in_order(frames, "value"):
+            yield rows.assign(key=key[0], streak=[streak.add(v) for v in rows["value"].tolist()])[["key", "id", "at", "streak"]]
         state.update((streak.count,))
-        yield rows[["key", "id", "at", "streak"]]
 
     return stream.groupBy("key").applyInPandasWithState(work, "key long, id long, at long, streak long", "count long", "append", "NoTimeout")
 
@@ -154,6 +168,13 @@ def tumbling_counts(stream: DataFrame, time: str, size: str, late: str, *by: str
     return counts.select(F.col("w.start").alias("start"), *by, "n")
 
 
+def replayed(rows: DataFrame, folder: str, name: str) -> DataFrame:
+    """rows as a stream: written below folder, and read from there as they would arrive."""
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
+
+
 def run_available(stream: DataFrame, folder: str, name: str) -> DataFrame:
     """Run a streaming query over what is there, into Parquet below folder, and read it."""
     spark: SparkSession = stream.sparkSession

@@ -45,7 +45,7 @@ from tarnkit.llm.byte_bpe import LETTER, NUMBER, SPACE, pre_tokens
 
 KNOWN_WORDS = 1 << 19  # pre-tokens that a task remembers
 FEW_MISSES = 1 << 18  # digests that are sent along (8 MB)
-HOT_PART, HOT_ROWS = 1000, 10_000
+HOT_PART, HOT_ROWS = 1000, 1000
 CELL, RUN_WORDS = 1 << 18, 500
 
 

@@ -60,6 +60,9 @@ def test_stored_blocks_find_what_all_pairs_find(spark, table, k, least, partitio
     want = best(rows, [r for r in rows if r[0] % 20 == 0], k, least, partitioned, others)
     asked = df.where("id % 20 = 0")
     for corpus in (df, B.store_vectors(df), B.store_vectors(df, block_rows=3, pivots=16)):
+        if "body" in corpus.columns:
+            pruned = S.top_k(B.search_blocks(asked, corpus, k, least, partitioned, others, few=0), k)
+            assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in pruned.collect()) == want
         got = S.vector_search(asked, corpus, k, least, partitioned, others)
         assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in got.collect()) == want
 

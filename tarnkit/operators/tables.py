@@ -137,20 +137,52 @@ def export(tables: dict[str, DataFrame], path: str, since: str | None, append_on
     for name, table in tables.items():
         changed_since(table, since if name in append_only else None, append_only.get(name, "")).write.mode("overwrite").parquet(f"{path}/{name}")
         counts[name] = spark.read.parquet(f"{path}/{name}").count()
-    manifest = spark.createDataFrame([(json.dumps({"since": since, "mode": "full" if since is None else "incremental", "rows": counts}),)], "value string")
+    manifest = spark.createDataFrame([(json.dumps({"since": since, "mode": "full" if since is None else "incremental", "rows": counts, "partial": sorted(append_only) if since is not None else []}),)], "value string")
     manifest.coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return spark.createDataFrame(sorted(counts.items()), "table string, rows long")
 
 
+def _exported(spark, path: str) -> tuple[dict, dict[str, DataFrame]]:
+    """A manifest and its tables; an export that lacks rows of what the manifest counts is refused."""
+    manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in manifest["rows"]}
+    for name, rows in tables.items():
+        if (n := rows.count()) != manifest["rows"][name]:
+            raise ValueError(f"{path}/{name} has {n} rows; its manifest says {manifest['rows'][name]}")
+    return manifest, tables
+
+
 def restore(spark, path: str) -> dict[str, DataFrame]:
     """The tables that a manifest names."""
-    manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
-    return {name: spark.read.parquet(f"{path}/{name}") for name in manifest["rows"]}
+    return _exported(spark, path)[1]
+
+
+def restore_chain(spark, paths: list[str], keys: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The tables after a full export and its increments, in order.
+
+    A table that an increment holds whole replaces what was before. Of one that it holds
+    in part, rows add to those before and replace them by key: the last export that has a key
+    wins, by an aggregate over all exports at once. keys: of the tables that increments hold in part."""
+    exports = [_exported(spark, p) for p in paths]
+    if not exports or exports[0][0]["mode"] != "full" or any(m["mode"] == "full" for m, _ in exports[1:]):
+        raise ValueError("a chain is a full export and increments after it")
+    parts: dict[str, list[DataFrame]] = {}
+    for manifest, tables in exports:
+        for name, rows in tables.items():
+            parts[name] = [*parts.get(name, []), rows] if name in manifest.get("partial", []) else [rows]
+    return {name: found[0] if len(found) == 1 else _last_wins(found, keys[name]) for name, found in parts.items()}
+
+
+def _last_wins(parts: list[DataFrame], key: list[str]) -> DataFrame:
+    columns = parts[0].columns
+    numbered = reduce(DataFrame.unionByName, [p.select(*columns, F.lit(k).alias("turn_")) for k, p in enumerate(parts)])
+    last = numbered.groupBy(*key).agg(F.max_by(F.struct(*columns), "turn_").alias("row_"))
+    return last.select("row_.*")
 
 
 def evenly_sampled(frames: DataFrame, by: str, order: str, keep: int) -> DataFrame:
-    """At most keep rows of each group, evenly spaced: j * (total - 1) / (keep - 1); one: the middle."""
-    numbered = frames.withColumn("place_", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
+    """At most keep rows of each group, evenly spaced in an integer order: j * (total - 1) / (keep - 1); one: the middle."""
+    numbered = placed(frames, by, order).withColumn("place_", F.col("place") - 1).select(*frames.columns, "place_")
     sizes = frames.groupBy(by).agg(F.count("*").cast("int").alias("total_"))
     j = F.sequence(F.lit(0), F.lit(keep - 1))
     spots = F.when(F.col("total_") <= keep, F.sequence(F.lit(0), F.col("total_") - 1)).otherwise(

@@ -12,7 +12,7 @@ from tarnkit.operators import lockout as K
 from tarnkit.operators import search as S
 from tarnkit.operators import tables as B
 from tarnkit.plans import operation_queries as O
-from tarnkit.sources import files, pdf
+from tarnkit.sources import files, logs, pdf
 from tarnkit.streaming import state as W
 
 T0 = datetime(2024, 1, 1)
@@ -242,12 +242,35 @@ def test_files(spark, tmp_path):
 
 def test_log_tail(spark, tmp_path):
     (tmp_path / "log").write_text("\n".join(f"line {i}\n" for i in range(60)))
-    assert [r.line for r in files.log_tail(spark, str(tmp_path / "log"), 3).collect()] == ["line 57", "line 58", "line 59"]
+    assert [r.line for r in logs.log_tail(spark, str(tmp_path / "log"), 3).collect()] == ["line 57", "line 58", "line 59"]
 
 
 def test_log_tail_is_bounded_by_bytes(spark, tmp_path):
-    (tmp_path / "log").write_text("old\n  \n" + "x" * (files.LOG_BYTES + 1) + "\nnew\n")
-    assert [len(r.line) for r in files.log_tail(spark, str(tmp_path / "log"), 9).collect()] == [files.LOG_BYTES + 1, 3]
+    (tmp_path / "log").write_text("old\n  \n" + "x" * (logs.TAIL_BYTES + 1) + "\nnew\n")
+    assert [r.line for r in logs.log_tail(spark, str(tmp_path / "log"), 9).collect()] == ["new"]  # what the range starts within is left out
+    with open(tmp_path / "huge", "wb") as f:
+        f.truncate(40 << 30)
+        f.seek(0, 2)
+        f.write(b"\nlast but one\r\nlast")
+    reader = logs.TailReader(str(tmp_path / "huge"), logs.TAIL_BYTES, 1 << 16)
+    ranges = reader.partitions()
+    assert sum(r.end - r.start for r in ranges) == logs.TAIL_BYTES and len(ranges) == 4
+    assert [r.line for r in logs.log_tail(spark, f"file://{tmp_path}/huge", 2).collect()] == ["last but one", "last"]
+
+
+@pytest.mark.parametrize("split", [7, 64, 1 << 20])
+def test_log_tail_follows_rotated_files_and_any_split(tmp_path, split):
+    lines = [f"line {i} " + "é" * (i % 9) for i in range(200)]
+    for name, part in (("log.2", lines[:80]), ("log.1", lines[80:150]), ("log", lines[150:])):
+        (tmp_path / name).write_text("".join(f"{x}\n" for x in part))
+    for most in (10, 500, 1500, 10**6):
+        reader = logs.TailReader(str(tmp_path / "log"), most, split)
+        got = [line for _, line in sorted(x for p in reader.partitions() for x in reader.read(p))]
+        assert got == lines[len(lines) - len(got) :]
+        whole = sum(len(x.encode()) + 1 for x in got)
+        assert whole <= most and (len(got) == 200 or whole + len(lines[-len(got) - 1].encode()) + 1 > most if got else most == 10)
+    with pytest.raises(FileNotFoundError):
+        logs.TailReader(str(tmp_path / "none"), 10, 10).partitions()
 
 
 def printed(*objects: bytes) -> bytes:

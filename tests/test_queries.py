@@ -3,10 +3,10 @@
 import pytest
 from conftest import as_set
 
-from tarnkit.plans import answer_queries, library_queries, operation_queries, review_queries, search_queries, text_queries
+from tarnkit.plans import answer_queries, library_queries, operation_queries, review_queries, search_queries, storage_queries, text_queries
 
 QUERIES, SQL = {}, {}
-for module in (text_queries, search_queries, operation_queries, review_queries, library_queries, answer_queries):
+for module in (text_queries, search_queries, operation_queries, review_queries, library_queries, answer_queries, storage_queries):
     QUERIES |= module.R.queries
     SQL |= module.R.sql
 

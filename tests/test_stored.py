@@ -333,3 +333,89 @@ def test_tickets_are_redeemed_once(spark, tmp_path):
     streams = [W.replayed(spark.createDataFrame(rows, schema), str(tmp_path), name) for rows, schema, name in ((issued, "ticket long, at long", "issued"), (uses, "ticket long, id long, at long", "uses"))]
     got = W.run_available(Z.redeemed(*streams, 12 * 3600), str(tmp_path), "redeemed")
     assert content(got.select("ticket", "id", "at")) == [(1, 10, HOUR), (3, 31, 12 * HOUR - 1), (4, 40, 10 * HOUR)]  # 99 may still be used
+
+
+# text index
+
+
+def test_indexed_search_equals_the_scan(spark, tmp_path):
+    from tarnkit.operators import text_index as X
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdé漢字") for _ in range(r.randrange(1, 6)))
+    chunks = [(d, k, " ".join(word() for _ in range(r.randrange(0, 30))), r.choice(("", "p", "q"))) for d in range(60) for k in range(r.randrange(1, 6))] + [(99, 0, None, ""), (99, 1, "", "p")]
+    asked = [(i, " ".join(word() for _ in range(r.randrange(0, 7))), r.choice(("", "p", "q", None))) for i in range(40)] + [(100, None, ""), (101, "a", ""), (102, chunks[3][2], chunks[3][3])]
+    c, q = spark.createDataFrame(chunks, "document_id long, chunk_index int, lowered string, part string"), spark.createDataFrame(asked, "query_id long, question string, part string")
+    for block, k, least, partitioned in ((7, 3, 0.1, True), (7, 2, 0.3, False), (512, 4, 0.2, True), (1, 1, 0.05, True)):
+        index = X.index_chunks(c, f"{tmp_path}/{block}-{k}", block)
+        want = content(S.text_search(q.where("question is not null"), c.where("lowered is not null"), k, least, partitioned))
+        assert content(X.search_index(q, index, k, least, partitioned)) == want and len(want) > 20
+    assert content(X.search_index(q, X.open_index(spark, f"{tmp_path}/7-2"), 2, 0.3)) == content(S.text_search(q.where("question is not null"), c.where("lowered is not null"), 2, 0.3))
+    assert X.search_index(q.limit(0), index, 3, 0.4).count() == 0
+
+
+def test_a_search_reads_its_runs_and_no_other(spark, tmp_path, monkeypatch):
+    from tarnkit.operators import text_index as X
+
+    chunks = spark.createDataFrame([(d, 0, t) for d, t in enumerate(["some words here", "others there", "zzz yyy xxx", "nothing at all"] * 20)], "document_id long, chunk_index int, lowered string")
+    index = X.index_chunks(chunks, str(tmp_path / "i"), 5)
+    q = spark.createDataFrame([(1, "zzz")], "query_id long, question string")
+    asked = X.Asked([1], ["zzz"], [["zzz"]], None)
+    rows = X.rows_wanted(index, asked, False)
+    assert {(r.gram, r["size"]) for r in rows.collect()} == {(122 << 21 | 122, 2), (122 << 42 | 122 << 21 | 122, 3)}
+    from test_plans import plan
+
+    assert "PartitionFilters: [isnotnull(bucket" in plan(rows) or "PartitionFilters: [bucket" in plan(rows)
+    found = X.candidates(index, asked, 3, 0.4, False)
+    assert "lowered" not in plan(found) and {r.query_id for r in found.collect()} == {1}
+    assert [r.document_id for r in X.search_index(q, index, 3, 0.4).orderBy("rank").collect()] == [2, 6, 10]
+
+
+# embeddings and exports
+
+
+def test_each_text_goes_to_the_service_once(spark, tmp_path):
+    from tarnkit.functions.vectors import embed_one
+    from tarnkit.operators.embedding import embed_texts
+
+    log, broken = tmp_path / "sent", tmp_path / "broken"
+
+    def service(texts):
+        if broken.exists() and "text 7" in texts:
+            raise RuntimeError("service lost")
+        with open(log, "a") as f:
+            f.writelines(f"{t}\n" for t in texts)
+        return [embed_one(t).tolist() for t in texts]
+
+    sent = lambda: log.read_text().splitlines() if log.exists() else []
+    rows = [(k, None if k == 50 else f"text {k % 20}") for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(6)
+    broken.touch()
+    with pytest.raises(Exception, match="service lost"):
+        embed_texts(df, service, "m1", str(tmp_path / "cache"), batch=2)
+    before = sent()
+    broken.unlink()
+    found = {r.id: r.vector for r in embed_texts(df, service, "m1", str(tmp_path / "cache"), batch=2).collect()}
+    assert len(before) == len(set(before)) and all(found[k] == (None if t is None else embed_one(t).tolist()) for k, t in rows)
+    assert sorted(sent()) == sorted({t for _, t in rows if t})  # nothing that was answered before the failure is sent again
+    more = df.unionByName(spark.createDataFrame([(100, "another")], "id long, text string"))
+    assert embed_texts(more, service, "m1", str(tmp_path / "cache")).where("vector is not null").count() == 60
+    assert len(sent()) == 21
+    assert embed_texts(df.limit(0), service, "m1", str(tmp_path / "cache")).count() == 0
+    embed_texts(df, service, "m2", str(tmp_path / "cache")).count()
+    assert len(sent()) == 41  # another model has answers of its own
+
+
+def test_a_chain_that_lacks_rows_is_refused(spark, tmp_path):
+    from tarnkit.operators import tables as T
+
+    df = spark.createDataFrame([(1, "a", "2024-01-01 00:00:00"), (2, "b", "2024-02-01 00:00:00")], "id long, v string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    T.export({"t": df}, f"{tmp_path}/0", None, {"t": "created_at"})
+    T.export({"t": df.withColumn("v", F.lit("c"))}, f"{tmp_path}/1", "2024-01-15", {"t": "created_at"})
+    paths = [f"{tmp_path}/0", f"{tmp_path}/1"]
+    assert sorted((r.id, r.v) for r in T.restore_chain(spark, paths, {"t": ["id"]})["t"].collect()) == [(1, "a"), (2, "c")]
+    with pytest.raises(ValueError, match="full export"):
+        T.restore_chain(spark, paths[::-1], {"t": ["id"]})
+    df.limit(1).write.mode("append").parquet(f"{tmp_path}/1/t")
+    with pytest.raises(ValueError, match="manifest says 1"):
+        T.restore_chain(spark, paths, {"t": ["id"]})

@@ -19,7 +19,8 @@ any other pattern is cut by the regex library. Ids are bytes: unsigned 32-bit li
 
 Edge cases: null and empty texts have no ids and decode to nothing; texts are encoded
 whole; repeated rows give repeated results; an empty table gives an empty result;
-further columns are ignored, whatever their names.
+further columns are ignored, whatever their names; a doc_id that isn't an integer is
+refused with a TypeError.
 """
 
 from __future__ import annotations
@@ -307,6 +308,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, and_decode: b
     """doc_id, n_tokens and ids of each whole text; also decoded, as decode gives it, if asked.
 
     The blocks are a table in the shared folder, which the result reads when it runs."""
+    C.integer_ids(docs)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"byte_bpe_blocks_{uuid.uuid4().hex}"

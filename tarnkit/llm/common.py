@@ -8,6 +8,7 @@ about RUN_BYTES; a longer document makes a run of its own.
 from __future__ import annotations
 
 import hashlib
+import secrets
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -104,9 +105,27 @@ def gram_hash(data: np.ndarray, k: int, powers: Powers) -> np.ndarray:
     return mix((sums[k : k + n] - sums[:n]) * down[:n])
 
 
-def digest(body: bytes | memoryview) -> int:
-    """A 64-bit digest of bytes that nobody can make collide on purpose."""
-    return int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little")
+def run_key() -> bytes:
+    """A random key for the digests of one run; it is part of the plan, so tasks that are tried again use the same."""
+    return secrets.token_bytes(16)
+
+
+def digest(body: bytes | memoryview, key: bytes = b"") -> int:
+    """A 64-bit digest of bytes; with a run's key nobody can make two collide on purpose."""
+    return int.from_bytes(hashlib.blake2b(body, digest_size=8, key=key).digest(), "little")
+
+
+def integer_ids(docs: DataFrame) -> None:
+    """Refuse a doc_id that isn't a whole number: the operator names its results by it."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id must be an integer; it is {kind}")
+
+
+def in_place(docs: DataFrame, work: Callable) -> DataFrame:
+    """docs.mapInArrow(work) with the same columns, whatever their names: work counts on places, not on names."""
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return numbered.mapInArrow(work, numbered.schema).toDF(*docs.columns)
 
 
 def span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:

@@ -12,7 +12,8 @@ positions pass by chance. The windows are broadcast by Spark's own size rule.
 
 Edge cases: a null or empty text has no words and no hits; an item without words
 has no windows; repeated items or documents count for themselves, repeated item ids
-once; without benchmark rows nothing is hit; an empty documents table gives an
+once; windows of an item without an item_id hit, and the item is not listed;
+without benchmark rows nothing is hit; an empty documents table gives an
 empty result; rows without a doc_id are measured like any others; further columns are
 ignored by measure_contamination and kept by remove_contaminated, whatever their names.
 """
@@ -115,4 +116,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are told apart by their text, so copies of one go or stay together."""
     key = F.coalesce(F.concat(F.lit("id:"), docs["doc_id"].cast("string")), F.concat(F.lit("text:"), F.sha2(F.coalesce(docs["text"], F.lit("")), 256)))
     bad = measure_contamination(docs.select(key.alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("bad_key")).distinct()
-    return docs.join(bad, key == bad["bad_key"], "left_anti").select(*docs.columns)
+    return docs.join(bad, key == bad["bad_key"], "left_anti")

@@ -46,13 +46,13 @@ BLOCK_TOKENS = 4_000_000
 SMALL_GROUP = 8
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; words are hashed by a digest of theirs."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, salt: bytes = b"") -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; words are hashed by their digest with the run's key."""
     upper = (data >= 65) & (data <= 90)
     data = np.where(upper, data + 32, data).astype(np.uint8)
     start, end = C.word_spans(data, offsets)
     place, table = C.span_codes(data, start, end)
-    word = np.fromiter(map(C.digest, table.to_pylist()), np.uint64, len(table))[place]
+    word = np.fromiter((C.digest(w, salt) for w in table.to_pylist()), np.uint64, len(table))[place]
     at = np.searchsorted(start, offsets)
     n = max(0, len(word) - SHINGLE + 1)
     rolled = np.zeros(n, np.uint64)
@@ -71,7 +71,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, salt: bytes) -> DataFrame:
     """doc_id, n (set size), set_id and sketch of each document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +79,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             data, offsets = C.column_bytes(batch.column(1))
             for i, j in C.runs(offsets):
                 n, ids, sketches = [], [], []
-                for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], salt):
                     n.append(len(s))
                     ids.append(hashlib.blake2b(s, digest_size=16).digest())
                     sketches.append(s[:KEEP].view(np.int64))
@@ -191,7 +191,7 @@ def _pair(a: np.ndarray, b: np.ndarray, keep: int | None) -> bool:
     return bool(sketches_match(shared, total, keep, LEAST)) if keep else 100 * shared >= 75 * total
 
 
-def _full_sets(chosen: DataFrame) -> DataFrame:
+def _full_sets(chosen: DataFrame, salt: bytes) -> DataFrame:
     """chosen: text, id, n and further columns; text replaced by the whole set."""
     rest = [c for c in chosen.columns if c != "text"]
 
@@ -199,7 +199,7 @@ def _full_sets(chosen: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = C.column_bytes(batch.column(0))
             for i, j in C.runs(offsets):
-                sets = [s.tobytes() for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+                sets = [s.tobytes() for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], salt)]
                 yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *(batch.column(k + 1).slice(i, j - i) for k in range(len(rest)))], ["tokens", *rest])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.select(*rest).schema)
@@ -224,8 +224,10 @@ def _probes(reps: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document."""
-    sets = C.staged(_sets(docs), "sets")
+    """doc_id, n_shingles, component_id of each document; doc_id is an integer."""
+    C.integer_ids(docs)
+    salt = C.run_key()
+    sets = C.staged(_sets(docs, salt), "sets")
     reps = sets.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = C.staged(reps, "reps")
 
@@ -239,7 +241,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     size = listed.groupBy("label").agg(F.sum("n").alias("tokens"))
     sized = listed.join(size.where(F.col("tokens") > BLOCK_TOKENS), "label", "left").select("id", "label", "n", F.coalesce("tokens", F.lit(1)).alias("total"))
     chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(sized.hint("shuffle_hash"), "id")
-    full = _full_sets(chosen.select("text", "label", "id", "n", "total"))
+    full = _full_sets(chosen.select("text", "label", "id", "n", "total"), salt)
     exact = _in_blocks(full, "label", "id", F.ceil(F.col("total") / BLOCK_TOKENS)).select("label", "lo", "hi", "id", "n", "tokens").mapInArrow(_link_groups(["label", "lo", "hi"], "tokens", None), "u long, v long")
     labels = components(exact)
 

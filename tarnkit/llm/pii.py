@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnkit.llm import common as C
+
 KINDS = ("email", "ip", "card", "phone")
 BUCKETS = 64
 BINS, BIN = 320, 0.25
@@ -358,4 +360,4 @@ def redact_pii(docs: DataFrame, model: SpanClassifier | None = None) -> DataFram
             texts = pa.array([redact(v.as_py(), model) for v in batch.column(place)], batch.schema.field(place).type)
             yield batch.set_column(place, batch.schema.field(place), texts)
 
-    return docs.mapInArrow(work, docs.schema)
+    return C.in_place(docs, work)

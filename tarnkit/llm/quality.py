@@ -244,7 +244,7 @@ def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
                 verdict, _ = cascade(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
                 yield batch.slice(i, j - i).filter(pa.array(verdict == len(order)))
 
-    return docs.mapInArrow(work, docs.schema)
+    return C.in_place(docs, work)
 
 
 def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

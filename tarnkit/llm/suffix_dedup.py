@@ -42,14 +42,16 @@ from tarnkit.llm.near_join import whole_groups
 LENGTH, K = 200, 50
 WINDOW = LENGTH - K + 1
 SHARD_BYTES = 4 << 20
+PLACE_BITS = np.uint64(32)
 
 
 def sliding_argmin(values: np.ndarray) -> np.ndarray:
-    """Place of the leftmost smallest of each WINDOW consecutive values.
+    """Place of the leftmost smallest of each WINDOW consecutive values, by their upper half.
 
-    The low bits of a value give way to its place."""
+    The lower half gives way to the place, always as many bits, so that a window's
+    choice depends on nothing but the window."""
     n = len(values)
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = PLACE_BITS
     tagged = (values >> bits << bits) | np.arange(n, dtype=np.uint64)
     padded = np.full(-(-n // WINDOW) * WINDOW, np.iinfo(np.uint64).max, np.uint64)
     padded[:n] = tagged
@@ -60,7 +62,7 @@ def sliding_argmin(values: np.ndarray) -> np.ndarray:
     return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def fragments(data: np.ndarray, offsets: np.ndarray, powers: C.Powers) -> tuple[np.ndarray, ...]:
+def fragments(data: np.ndarray, offsets: np.ndarray, powers: C.Powers, salt: bytes) -> tuple[np.ndarray, ...]:
     """row, start in the text, length, fingerprint and digest of each fragment."""
     n = len(data) - K + 1
     if n < WINDOW:
@@ -77,7 +79,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, powers: C.Powers) -> tuple[
     last = np.append(first[1:], len(start)) - 1 if len(first) else first
     low, high = start[first], start[last] + LENGTH
     body = memoryview(np.ascontiguousarray(data))
-    told = np.fromiter((C.digest(body[a:b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)), np.uint64, len(low))
+    told = np.fromiter((C.digest(body[a:b], salt) for a, b in zip(low.tolist(), high.tolist(), strict=True)), np.uint64, len(low))
     digest = C.mix(told + (anchor[first] - low).astype(np.uint64))
     return row[first], low - offsets[row[first]], high - low, gram[anchor[first]], digest
 
@@ -102,6 +104,8 @@ SETTLED = 2
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
+    salt = C.run_key()
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = C.Powers()
         for batch in batches:
@@ -109,7 +113,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
             data, offsets = C.column_bytes(batch.column(1))
             parts = []
             for i, j in C.runs(offsets):
-                row, *rest = fragments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], powers)
+                row, *rest = fragments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], powers, salt)
                 parts.append((keys[i:j][row], *rest))
             if not parts:
                 continue
@@ -351,7 +355,9 @@ def _cut(texts: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept, the remaining bytes, of each document."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    salted = F.sha2(F.concat(F.lit(C.run_key().hex()), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), "text"), 256)
+    keyed = keyed.withColumn("key", F.conv(F.substring(salted, 1, 16), 16, -10).cast("long"))
     spans = repeated_stretches(keyed.select("key", "text"))
     joined = keyed.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "spans")
 

@@ -44,8 +44,8 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    made = [(i, t, "shadow", k % 3 == 0, None) for k, (i, t) in enumerate(rows())]
-    return spark.createDataFrame(made, "doc_id long, text string, key string, kept boolean, n_words long").repartition(5)
+    made = [(i, t, "shadow", k % 3 == 0, None, k) for k, (i, t) in enumerate(rows())]
+    return spark.createDataFrame(made, "doc_id long, text string, key string, kept boolean, n_words long, `a.b c` int").repartition(5)
 
 
 @pytest.fixture(scope="module")
@@ -444,3 +444,41 @@ def test_packing_round_trip():
     v = np.array([0, 191, 192, 12479, 12480, 995519, 995520, 2**31, 2**32 - 1, 5])
     assert (byte_bpe.unpack(byte_bpe.pack(v), len(v)) == v).all()
     assert len(byte_bpe.unpack(byte_bpe.pack(v[:0]), 0)) == 0
+
+
+def test_columns_of_any_name_pass_the_stages(spark, docs):
+    bench = spark.createDataFrame([(1, prose(3, 40)), (None, prose(4, 20))], "item_id long, text string")
+    kept = decontaminate.remove_contaminated(docs, bench)
+    assert kept.columns == quality.filter_quality(docs).columns == pii.redact_pii(docs).columns == near_join.keep_one(docs).columns == docs.columns
+    whole = {(r.doc_id, r["a.b c"]) for r in docs.collect()}
+    for stage in (kept, pii.redact_pii(docs), near_join.keep_one(docs)):
+        assert {(r.doc_id, r["a.b c"]) for r in stage.collect()} <= whole
+    # a window of an item without an id is hit, and the item isn't listed
+    two = spark.createDataFrame([(7, prose(4, 60))], "doc_id long, text string")
+    found = decontaminate.measure_contamination(two, bench).first()
+    assert found.n_hit == 20 and found.n_items == 0
+
+
+def test_ids_that_are_no_integers_are_refused(spark, tokenizer):
+    named = spark.createDataFrame([("x", "some text")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="integer"):
+        near_join.near_components(named)
+    with pytest.raises(TypeError, match="integer"):
+        byte_bpe.encode(named, tokenizer[0], tokenizer[1])
+
+
+def test_anchors_depend_on_their_window_alone():
+    import numpy as np
+
+    from tarnkit.llm import common as C
+
+    r = np.random.default_rng(5)
+    shared = r.integers(97, 123, 1000).astype(np.uint8)
+    found = []
+    for before, after in ((0, 0), (7, 3), (100_000, 50_000)):  # runs of different length
+        data = np.concatenate([r.integers(97, 123, before).astype(np.uint8), shared, r.integers(97, 123, after).astype(np.uint8)])
+        anchor = suffix_dedup.sliding_argmin(C.gram_hash(data, suffix_dedup.K, C.Powers()))
+        found.append(anchor[before : before + 1000 - suffix_dedup.LENGTH + 1] - before)
+    assert (found[0] == found[1]).all() and (found[0] == found[2]).all()
+    values = np.array([5 << 32 | 9, 5 << 32 | 1, 6 << 32, 7 << 32] * 100, np.uint64)  # equal upper halves: the leftmost
+    assert suffix_dedup.sliding_argmin(values)[0] == suffix_dedup.sliding_argmin(np.concatenate([values, values]))[0] == 0

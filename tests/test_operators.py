@@ -12,7 +12,7 @@ from tarnkit.operators import lockout as K
 from tarnkit.operators import search as S
 from tarnkit.operators import tables as B
 from tarnkit.plans import operation_queries as O
-from tarnkit.sources import files, logs, pdf
+from tarnkit.sources import files, logs, pdf, pdf_filters
 from tarnkit.streaming import state as W
 
 T0 = datetime(2024, 1, 1)
@@ -309,6 +309,120 @@ def test_pdf_fonts_pages_and_images():
             pdf.parse(bad)
 
 
+def lzw_written(data: bytes, early: int = 1) -> bytes:
+    """Plain LZW by a table of its own."""
+    table, bits, out, width, word = {bytes([k]): k for k in range(256)}, 0, [], 9, b""
+    codes, n = [(256, 9)], 258
+    for c in data:
+        if word + bytes([c]) in table:
+            word += bytes([c])
+            continue
+        codes.append((table[word], width))
+        table[word + bytes([c])], n = n, n + 1
+        if n + early > 1 << width and width < 12:
+            width += 1
+        word = bytes([c])
+        if n == 4095:
+            codes += [(table[word], width), (256, width)]
+            table, n, width, word = {bytes([k]): k for k in range(256)}, 258, 9, b""
+    codes += [(table[word], width)] if word else []
+    n += 1
+    codes.append((257, width + (n + early > 1 << width and width < 12)))
+    text = "".join(f"{c:0{w}b}" for c, w in codes)
+    return bytes(int(text[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(text), 8))
+
+
+def predicted(rows: list[bytes], step: int, kinds: list[int]) -> bytes:
+    out, above = b"", bytes(len(rows[0]))
+    for row, kind in zip(rows, kinds, strict=True):
+        out += bytes([kind])
+        for k, x in enumerate(row):
+            a, b, c = row[k - step] if k >= step else 0, above[k], above[k - step] if k >= step else 0
+            p = a + b - c
+            guess = (0, a, b, (a + b) // 2, a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c)[kind]
+            out += bytes([x - guess & 255])
+        above = row
+    return out
+
+
+def test_pdf_filters_undo_what_was_written():
+    import base64
+    import random
+
+    r = random.Random(7)
+    for n in (0, 1, 300, 9000):
+        data = bytes(r.choice(b"abcab\0\xff") if r.random() < 0.7 else r.randrange(256) for _ in range(n))
+        for early in (0, 1):
+            assert pdf_filters.lzw(lzw_written(data, early), early) == data
+        assert pdf_filters.ascii85(b"<~" + base64.a85encode(data) + b"~>\n") == data and pdf_filters.ascii_hex(data.hex().encode() + b" >") == data
+        assert pdf_filters.decoded(zlib.compress(base64.a85encode(data) + b"~>"), b"<< /Filter [/FlateDecode /A85] >>") == (data, False)
+    assert pdf_filters.run_length(b"\x02abc\xfeZ\x80rest") == b"abcZZZ" and pdf_filters.ascii_hex(b"41 4>") == b"A@"
+    rows = [bytes(r.randrange(256) for _ in range(12)) for _ in range(10)]
+    for step in (1, 3, 4):
+        assert pdf_filters.unpredicted(predicted(rows, step, [0, 1, 2, 3, 4] * 2), 15, step, 8, 12 // step) == b"".join(rows)
+    assert pdf_filters.unpredicted(bytes([1, 2, 3, 1, 1, 1]), 2, 3, 8, 2) == bytes([1, 2, 3, 2, 3, 4])
+    with pytest.raises(ValueError):
+        pdf_filters.lzw(b"\xff\xff\xff")
+
+
+def unpng(data: bytes) -> tuple[int, int, int, int, bytes, bytes]:
+    """Width, height, bits, kind, rows and palette of a PNG whose rows aren't predicted."""
+    import struct
+
+    at, parts = 8, {}
+    while at < len(data):
+        n, name = struct.unpack(">I4s", data[at : at + 8])
+        parts[name] = data[at + 8 : at + 8 + n]
+        assert struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0] == zlib.crc32(name + parts[name])
+        at += 12 + n
+    width, height, bits, kind = struct.unpack(">IIBB", parts[b"IHDR"][:10])
+    body = zlib.decompress(parts[b"IDAT"])
+    size = len(body) // height
+    return width, height, bits, kind, b"".join(body[k * size + 1 : (k + 1) * size] for k in range(height)), parts.get(b"PLTE", b"")
+
+
+def test_pdf_of_chained_filters_forms_and_raw_images():
+    import base64
+    import random
+
+    r = random.Random(3)
+    rgb = [bytes(r.randrange(256) for _ in range(180)) for _ in range(50)]
+    grey, indexed, cmyk = bytes(r.randrange(256) for _ in range(2500)), bytes(r.randrange(256) for _ in range(50 * 13)), bytes(r.randrange(256) for _ in range(4 * 2500))
+    image = lambda size, more, body: b"<< /Subtype /Image /Width %d /Height 50 %s /Length %d >>\nstream\n%s\nendstream" % (size, more, len(body), body)
+    text = lzw_written(b"BT /F1 9 Tf (first) Tj ET /Fm Do BT (last) Tj ET")
+    coded = base64.a85encode(text) + b"~>"
+    form = zlib.compress(b"BT /G 9 Tf <d83dde00> Tj ET /Fm Do")
+    resources = b"<< /Font << /F1 30 0 R >> /XObject << /Fm 6 0 R /I1 10 0 R /I2 11 0 R /I3 12 0 R /I4 13 0 R /I5 15 0 R /I6 16 0 R >> >>"
+    packed = b"3 0 4 50 ".ljust(20) + (b"<< /Type /Page /Contents 5 0 R /Resources 4 0 R >>").ljust(50) + resources
+    table = predicted([packed[k : k + 10].ljust(10) for k in range(0, len(packed), 10)], 1, [2] * -(-len(packed) // 10))
+    squeezed = zlib.compress(table)
+    data = printed(
+        (1, b"<< /Type /Catalog /Pages 2 0 R >>"),
+        (2, b"<< /Type /Pages /Kids [3 0 R] >>"),
+        (20, b"<< /Type /ObjStm /N 2 /First 20 /Filter [/FlateDecode] /DecodeParms [<< /Predictor 12 /Columns 10 >>] /Length %d >>\nstream\n%s\nendstream" % (len(squeezed), squeezed)),
+        (5, b"<< /Filter [/ASCII85Decode /LZWDecode] /Length %d >>\nstream\n%s\nendstream" % (len(coded), coded)),
+        (6, b"<< /Subtype /Form /Filter /FlateDecode /Resources << /Font << /G 8 0 R >> /XObject << /Fm 6 0 R >> >> /Length %d >>\nstream\n%s\nendstream" % (len(form), form)),
+        (8, b"<< /Type /Font /ToUnicode 9 0 R >>"),
+        (9, flate(b"2 beginbfchar <d83d> <D83D> <de00> <DE00> endbfchar")),
+        (10, image(60, b"/ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /FlateDecode /DecodeParms << /Predictor 15 /Colors 3 /Columns 60 >>", zlib.compress(predicted(rgb, 3, [0, 1, 2, 3, 4] * 10)))),
+        (11, image(50, b"/ColorSpace [/ICCBased 40 0 R] /BitsPerComponent 8 /Filter /LZWDecode", lzw_written(grey))),
+        (12, image(50, b"/ColorSpace [/Indexed /DeviceRGB 3 <000000ff000000ff000000ff>] /BitsPerComponent 2 /Filter /Fl", zlib.compress(indexed))),
+        (13, image(50, b"/ColorSpace /DeviceCMYK /BitsPerComponent 8 /Filter /FlateDecode", zlib.compress(cmyk))),
+        (15, image(50, b"/ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /JPXDecode", b"wavelets")),
+        (16, image(50, b"/ColorSpace /DeviceRGB /BitsPerComponent 8", b"too short")),
+        (40, b"<< /N 1 /Length 4 >>\nstream\nicc.\nendstream"),
+    )
+    text, images = pdf.parse(data)
+    assert text == "first\n\U0001f600\nlast"
+    got = [unpng(i["data"]) for i in images]
+    assert got[0] == (60, 50, 8, 2, b"".join(rgb), b"") and got[1] == (50, 50, 8, 0, grey, b"")
+    assert got[2] == (50, 50, 2, 3, indexed, bytes.fromhex("000000ff000000ff000000ff"))
+    c, m, _, k = cmyk[:4]
+    assert got[3][:4] == (50, 50, 8, 2) and tuple(got[3][4][:2]) == ((255 - c) * (255 - k) // 255, (255 - m) * (255 - k) // 255) and len(got) == 4
+    with pytest.raises(ValueError, match="encrypted"):
+        pdf.parse(data + printed((90, b"<< /Type /XRef /Encrypt 91 0 R >>\nstream\n\nendstream")))
+
+
 def test_enriched_answers(spark):
     hits = spark.createDataFrame([(1, 7, 3, ""), (1, 7, 999, None), (2, 7, 3, "/x"), (3, 8, 0, "")], "query_id int, document_id long, chunk_index int, image_url string")
     images = spark.createDataFrame([(7, k, f"/{k}") for k in (2, 4, 1000, 1001, 1002, 1004, 1999, 10002, 11000)] + [(7, 3, ""), (8, 9, "/n")], "document_id long, chunk_index int, image_url string")

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as trimming sees it, keyword separators, markup and entity tables.
-WHITE = r"\t\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = "\t\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SEPARATORS = r"[ \t\n,.?!。，？！、：；“”（）()\[\]{}]+"
 BLOCK_TAGS = ("div", "p", "br", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "blockquote", "pre", "section", "article", "header", "footer", "nav", "main")
 ENTITIES = {
@@ -46,9 +46,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def trim_space(c: Column) -> Column:
-    # a run of space is tried from its first character only, so long runs cost no more than their length
-    return F.regexp_replace(c, f"^[{WHITE}\n]++|(?<![{WHITE}\n])[{WHITE}\n]++$", "")
+def trim_space(c: Column, spaces: str = SPACES + "\n") -> Column:
+    return F.btrim(c, F.lit(spaces))
 
 
 def chunk_count(n: Column, size: int, overlap: int) -> Column:
@@ -70,9 +69,9 @@ def chunks(text: Column, size: int = 512, overlap: int = 128) -> Column:
 def clean_text(text: Column) -> Column:
     """Control characters out, spaces collapsed, lines trimmed, blank lines limited to one."""
     out = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    out = F.regexp_replace(out, f"\n[{WHITE}]*+|(?<![{WHITE}])[{WHITE}]++\n[{WHITE}]*+", "\n")
-    return trim_space(F.regexp_replace(out, "\n{3,}", "\n\n"))
+    out = F.regexp_replace(out, r"\t[ \t]*+| [ \t]++", " ")  # single spaces stay unmatched
+    lines = F.transform(F.split(out, "\n", -1), lambda line: trim_space(line, SPACES))
+    return trim_space(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 
 def strip_markdown(text: Column) -> Column:
@@ -89,9 +88,10 @@ def markdown_images(text: Column) -> Column:
 
 def decode_named(text: Column) -> Column:
     """Named entities; the ampersand comes last, so nothing is decoded twice."""
+    out = text
     for entity, to in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(to))
-    return text
+        out = F.replace(out, F.lit(entity), F.lit(to))
+    return F.when(text.contains("&"), out).otherwise(text)
 
 
 def code_point(base: int, digits: Column) -> Column:
@@ -128,7 +128,7 @@ def strip_html(html: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    return clean_text(decode_named(decode_numeric(strip_html(html))))
+    return let(strip_html(html), lambda text: let(decode_numeric(text), lambda out: clean_text(decode_named(out))))
 
 
 def html_images(html: Column) -> Column:

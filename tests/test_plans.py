@@ -38,11 +38,18 @@ def unbroadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
 
 
-@pytest.mark.parametrize("query", [Q.vector_search_all, Q.vector_search_partition, Q.text_search_top])
-def test_searches_are_dealt_by_a_salted_grid(spark, sf_dir, query):
+@pytest.mark.parametrize("query", [Q.vector_search_all, Q.vector_search_partition, Q.vector_search_stored])
+def test_vectors_stay_where_they_lie(spark, sf_dir, query):
+    text = plan(query(spark, sf_dir))
+    below = text[text.index("MapInArrow") :]  # what searches reads the scan itself, and only each task's best rows are shuffled
+    assert "Exchange" in text and "Scan parquet" in below and not re.search("NestedLoop|Cartesian", text)
+    assert "Exchange" not in below.replace("BroadcastExchange", "")
+
+
+def test_text_search_is_dealt_by_a_salted_grid(spark, sf_dir):
     unbroadcast(spark)
     try:
-        text = plan(query(spark, sf_dir))
+        text = plan(Q.text_search_top(spark, sf_dir))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert re.search(r"hashpartitioning\(area#\d+, cell#\d+, q_cell#\d+", text) and not re.search("NestedLoop|Cartesian", text)

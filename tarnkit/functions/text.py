@@ -238,6 +238,13 @@ def answer_name(question: Column) -> Column:
     return F.concat(F.lit("管理员回答: "), truncate(question, 50))
 
 
+def preview(text: Column, most: int = 5000) -> Column:
+    """The first bytes of a long text and a note of its size; a character that is cut comes as U+FFFD."""
+    size = F.octet_length(text)
+    head = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))
+    return F.when(size > most, F.concat(head, F.lit("\n...(内容已截断，共 "), size.cast("string"), F.lit(" 字符)"))).otherwise(text)
+
+
 def mask_secret(secret: Column) -> Column:
     return F.when(F.length(secret) <= 4, "***").otherwise(F.concat(F.lit("***"), F.right(secret, F.lit(4))))
 

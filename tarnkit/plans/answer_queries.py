@@ -127,24 +127,28 @@ def streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.report_progress(_event_stream(spark, sf_dir), "event_type", totals, shared_dir(spark))
 
 
-PLAIN = r"trim(regexp_replace(regexp_replace(text, '[^\x20-\x7E]+', ' ', 'g'), ' +', ' ', 'g'))"
+PLAIN = r"trim(regexp_replace(text, '[\x00-\x20]+', ' ', 'g'))"
 
 
-@R.add(f"SELECT conv_id, turn, role || chr(10) || t || chr(10) || chr(10) || 'page ' || turn AS text FROM (SELECT conv_id, turn, role, {PLAIN} AS t FROM conversations) WHERE t <> ''")
+@R.add(f"SELECT conv_id, turn, role || CASE WHEN t <> '' THEN chr(10) || t ELSE '' END || chr(10) || chr(10) || 'page ' || turn AS text FROM (SELECT conv_id, turn, role, {PLAIN} AS t FROM conversations)")
 def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns printed to PDF files of two pages, and read back; only printable ASCII is printed."""
+    """Turns printed to PDF files of two pages, and read back; the text is in codes of a font with a ToUnicode table."""
     turns = table(spark, sf_dir, "conversations")
-    plain = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^\x20-\x7E]+", " "), " +", " "))
-    escaped = F.regexp_replace(plain, r"([\\()])", r"\\$1")
+    plain = F.trim(F.regexp_replace("text", r"[\x00-\x20]+", " "))
+    code = F.hex(F.encode(plain, "UTF-16BE"))
+    used = F.array_distinct(F.regexp_extract_all(code, F.lit("[0-9A-F]{4}"), F.lit(0)))
+    named = F.array_join(F.transform(used, lambda c: F.concat(F.lit("<"), c, F.lit("> <"), c, F.lit(">"))), "\n")
     stream = lambda number, *body: (F.lit(f"{number} 0 obj\n<< /Length 0 >>\nstream\n"), *body, F.lit("\nendstream\nendobj\n"))
     body = F.concat(
         F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R 5 0 R] /Count 2 >>\nendobj\n"),
-        F.lit("3 0 obj\n<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>\nendobj\n5 0 obj\n<< /Type /Page /Parent 2 0 R /Contents [6 0 R] >>\nendobj\n"),
-        *stream(4, F.lit("BT /F1 12 Tf 72 720 Td ("), F.col("role"), F.lit(") Tj 0 -14 Td ["), F.lit("("), escaped, F.lit(")] TJ ET")),
+        F.lit("3 0 obj\n<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F2 7 0 R >> >> >>\nendobj\n5 0 obj\n<< /Type /Page /Parent 2 0 R /Contents [6 0 R] >>\nendobj\n"),
+        *stream(4, F.lit("BT /F1 12 Tf 72 720 Td ("), F.col("role"), F.lit(") Tj 0 -14 Td /F2 12 Tf [<"), code, F.lit(">] TJ ET")),
         *stream(6, F.lit("BT (page) Tj [-300("), F.col("turn").cast("string"), F.lit(")] TJ ET")),
+        F.lit("7 0 obj\n<< /Type /Font /ToUnicode 8 0 R >>\nendobj\n"),
+        *stream(8, F.lit("1 beginbfchar\n"), named, F.lit("\nendbfchar")),
         F.lit("%%EOF\n"),
     )
-    printed = turns.where(plain != "").select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.lit("pdf").alias("kind"), F.encode(body, "US-ASCII").alias("content"))
+    printed = turns.select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.lit("pdf").alias("kind"), F.encode(body, "US-ASCII").alias("content"))
     read = files.parse(printed).withColumn("at", F.split("path", "/"))
     return read.select(F.get("at", F.lit(0)).cast("long").alias("conv_id"), F.get("at", F.lit(1)).cast("long").alias("turn"), "text")
 

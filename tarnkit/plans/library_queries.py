@@ -45,13 +45,13 @@ def knowledge_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.knowledge_chunks(made, "text", "images")
 
 
-@R.add("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS site, regexp_extract(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '^(.*/)', 1) AS dir, regexp_extract(url, '^([^:]+):', 1) AS scheme FROM pages WHERE url IS NOT NULL AND contains(url, '://'))
-  SELECT page_id, 'a' AS alt, site || '/i/' || page_id || '.png' AS image FROM p UNION ALL SELECT page_id, '', scheme || '://cdn.example.org/x.png?v=1' FROM p UNION ALL SELECT page_id, 'b', 'https://other.example.org/y.png' FROM p
-  UNION ALL SELECT page_id, 'c', site || CASE WHEN dir = '' THEN '/' ELSE dir END || 'z.png#f' FROM p""")
+@R.add("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS site, regexp_extract(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '^(.*/)', 1) AS dir, regexp_extract(url, '^([^:]+):', 1) AS scheme, coalesce(url, '') <> '' AS based FROM pages)
+  SELECT page_id, 'a' AS alt, CASE WHEN based THEN site ELSE '' END || '/i/' || page_id || '.png' AS image FROM p UNION ALL SELECT page_id, '', CASE WHEN based THEN scheme || ':' ELSE '' END || '//cdn.example.org/x.png?v=1' FROM p UNION ALL SELECT page_id, 'b', 'https://other.example.org/y.png' FROM p
+  UNION ALL SELECT page_id, 'c', CASE WHEN NOT based THEN '' WHEN dir = '' THEN site || '/' ELSE site || dir END || 'z.png#f' FROM p""")
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of pages with alt texts and whole addresses; the tags are added, as the pages hold none."""
+    """Images of pages with alt texts and whole addresses, as they stand where a page has no url; the tags are added, as the pages hold none."""
     tags = F.concat(F.lit('<img src="/i/'), F.col("page_id").cast("string"), F.lit('.png" alt="a"><img alt=\'\' src=\' //cdn.example.org/x.png?v=1 \'><IMG ALT="b" SRC="https://other.example.org/y.png"><img src="z.png#f" alt="c"><img src="data:image/png;base64,AA">'))
-    pages = table(spark, sf_dir, "pages").where("url is not null and contains(url, '://')")
+    pages = table(spark, sf_dir, "pages")
     found = pages.select("page_id", T.base_of(F.col("html"), F.col("url")).alias("base"), F.explode(T.html_images(F.concat("html", tags))).alias("x"))
     return found.select("page_id", F.col("x.alt").alias("alt"), T.resolved(F.col("x.src"), F.col("base")).alias("image"))
 
@@ -102,13 +102,15 @@ def legacy_slide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where(~T.slide_noise(F.col("line"))).groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
 
 
-@R.add(r"""SELECT conv_id, turn, trim(replace(text, chr(10), ' ')) AS spoken FROM conversations WHERE NOT regexp_matches(lower(text), 'thread|cmvn|rtf|gpu|cpu|gguf|ggml|fallback|finished|loaded |\[info|\[warn') AND trim(replace(text, chr(10), ' ')) <> ''""")
+MARKED = " OR ".join(f"contains(lower(said), '{mark}')" for mark in transcripts.LOG_MARKS)
+
+
+@R.add(f"SELECT conv_id, turn, CASE WHEN {MARKED} THEN '' ELSE said END AS spoken FROM (SELECT conv_id, turn, trim(replace(text, chr(10), ' ')) AS said FROM conversations)")
 def spoken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recogniser output with log lines around each turn's text; what was said comes out."""
+    """Recogniser output with log lines around each turn's text; what was said comes out, unless it reads like a log line itself."""
     said = F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))
     raw = F.concat(F.lit("[INFO] model loaded\n[0.00-9.00] x\n<|en|><|EMO|>"), said, F.lit("\nRTF: 0.1 on CPU\n"))
-    turns = table(spark, sf_dir, "conversations").where(~F.lower("text").rlike(r"thread|cmvn|rtf|gpu|cpu|gguf|ggml|fallback|finished|loaded |\[info|\[warn")).where(said != "")
-    return turns.select("conv_id", "turn", transcripts.transcript(raw).alias("spoken"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", transcripts.transcript(raw).alias("spoken"))
 
 
 @R.add("""SELECT event_id, CAST(event_id % 100 * 3600 + event_id % 60 * 60 + user_id % 60 + 0.25 AS DOUBLE) AS seconds FROM events""")

@@ -171,9 +171,11 @@ def fetchable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", checks.url_host(F.col("url")).alias("host"), checks.fetchable(F.col("url")).alias("fetchable"))
 
 
-@R.add("SELECT page_id, substring(html, 1, 5000) AS preview, length(html) > 5000 AS cut, regexp_matches(lower(substring(html, 1, 512)), '<!doctype html|<html|<head|<body') AS is_html FROM pages")
+@R.add("""WITH n AS (SELECT page_id, html, strlen(html) AS size, CASE WHEN strlen(left(html, 5000)) <= 5000 THEN least(5000, length(html)) ELSE list_max(list_filter(range(1250, 5001), lambda k: strlen(left(html, k)) <= 5000)) END AS n FROM pages)
+  SELECT page_id, CASE WHEN size > 5000 THEN left(html, n) || CASE WHEN strlen(left(html, n)) < 5000 THEN chr(65533) ELSE '' END || chr(10) || '...(内容已截断，共 ' || size || ' 字符)' ELSE html END AS preview,
+    size > 5000 AS cut, regexp_matches(lower(substring(html, 1, 512)), '<!doctype html|<html|<head|<body') AS is_html FROM n""")
 def page_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.substring("html", 1, 5000).alias("preview"), (F.length("html") > 5000).alias("cut"), checks.looks_like_html(F.col("html")).alias("is_html"))
+    return table(spark, sf_dir, "pages").select("page_id", T.preview(F.col("html")).alias("preview"), (F.octet_length("html") > 5000).alias("cut"), checks.looks_like_html(F.col("html")).alias("is_html"))
 
 
 @R.add("SELECT p_partkey, regexp_replace(lower(p_type), '_legacy$', '') AS kind, length(p_name) >= 8 AND regexp_matches(p_name, '[A-Za-z]') AND regexp_matches(p_name, '[0-9]') AND strlen(p_name) <= 72 AS strong FROM part")

@@ -231,3 +231,11 @@ def test_long_runs_of_space_are_linear(spark):
     began = time.perf_counter()
     assert df.select(T.clean_text(F.col("t"))).first()[0] == "a" + "\u00a0" * 60_000 + "b\n\nc"
     assert time.perf_counter() - began < 20
+
+
+def test_previews_are_cut_by_bytes(spark):
+    note = lambda n: f"\n...(内容已截断，共 {n} 字符)"
+    texts = ["", "short", "é" * 5, "é" * 6, "ab漢字cd", "aaaaaaaaa漢", "aaaaaaaaaa", "aaaaaaaaaab"]
+    want = ["", "short", "é" * 5, "é" * 5 + note(12), "ab漢字cd", "aaaaaaaaa\ufffd" + note(12), "aaaaaaaaaa", "aaaaaaaaaa" + note(11)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").orderBy("i")
+    assert [r.p for r in df.select(T.preview(F.col("x"), 10).alias("p")).collect()] == want

@@ -238,6 +238,14 @@ def answer_name(question: Column) -> Column:
     return F.concat(F.lit("管理员回答: "), truncate(question, 50))
 
 
+SUMMARISE = "请根据管理员提供的回答内容，生成一个简洁、清晰的总结性回答。"  # fixed value: what a model is asked with an answer by hand
+
+
+def image_answer(question: Column) -> Column:
+    """The text by which an answer's image is found."""
+    return F.concat(F.lit("[图片回答: "), truncate(question, 50), F.lit("]"))
+
+
 def preview(text: Column, most: int = 5000) -> Column:
     """The first bytes of a long text and a note of its size; a character that is cut comes as U+FFFD."""
     size = F.octet_length(text)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tarnkit.functions import text as T
 
+ANSWER_BYTES, ANSWER_IMAGES = 100_000, 50  # fixed values: of an answer by hand
+
 
 def upsert(table: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:
     """Changes replace rows with their key; of several changes the last by order stays."""
@@ -94,16 +96,35 @@ def knowledge_chunks(entries: DataFrame, text: str, images: str) -> DataFrame:
     return words.unionByName(pictures)
 
 
+def judged_answers(answers: DataFrame, pending: DataFrame) -> DataFrame:
+    """answers by hand (id, answer, images, edit) with reason: why one is refused, null where it isn't.
+
+    pending: id and status. An answered question takes an answer only as an edit."""
+    known = answers.join(pending.select("id", "status"), "id", "left")
+    reason = F.when(F.octet_length("answer") > ANSWER_BYTES, "answer too long").when(F.size("images") > ANSWER_IMAGES, "too many images").when(F.col("status").isNull(), "not found")
+    return known.withColumn("reason", reason.when((F.col("status") == "answered") & ~F.coalesce("edit", F.lit(False)), "already answered")).drop("status")
+
+
 def feedback(answers: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Answers by hand (id, question, answer, images) as chunks of the library, and pending (id, status, answer) after them.
+    """Answers by hand (id, question, answer, images) as chunks of the library, and pending (id, status, answer)
+    after them, with llm_answer, the model's summary.
 
-    The text of question and answer from 0 on, each image from 1000 on by its number."""
+    The text of question and answer from 0 on, each image from 1000 on by its number; blank
+    urls are left out and keep their number. An edit replaces the chunks of its document."""
     key = F.concat(F.lit("pending-answer-"), "id").alias("document_id")
-    words = answers.select(key, F.posexplode(T.chunks(T.answer_document(F.col("question"), F.col("answer")))).alias("chunk_index", "chunk_text"), F.lit("").alias("image_url"))
-    shown = answers.select(key, T.answer_name(F.col("question")).alias("chunk_text"), F.posexplode("images").alias("i", "image_url"))
+    words = answers.where("answer <> ''").select(key, F.posexplode(T.chunks(T.answer_document(F.col("question"), F.col("answer")))).alias("chunk_index", "chunk_text"), F.lit("").alias("image_url"))
+    shown = answers.select(key, T.image_answer(F.col("question")).alias("chunk_text"), F.posexplode("images").alias("i", "image_url")).where("image_url <> ''")
     chunks = words.unionByName(shown.select("document_id", (F.col("i") + 1000).alias("chunk_index"), "chunk_text", "image_url"))
-    told = answers.select("id", F.lit("answered").alias("status"), "answer")
-    return chunks, pending.join(told.select("id"), "id", "left_anti").unionByName(told)
+    summary = T.generate(F.concat(F.lit(T.SUMMARISE), F.lit("\n"), F.col("question")), F.filter(F.array("answer"), lambda x: x.isNotNull() & (x != "")))
+    told = answers.select("id", F.lit("answered").alias("status"), "answer", summary.alias("llm_answer"))
+    return chunks, pending.join(told.select("id"), "id", "left_anti").withColumn("llm_answer", F.lit(None).cast("string")).unionByName(told)
+
+
+def free_values(wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """wanted (id, value) with free: whether no row of table (id, value) but its own holds the value."""
+    held = table.groupBy("value").agg(F.min("id").alias("low_"), F.max("id").alias("high_"))
+    own = (F.col("low_") == F.col("id")) & (F.col("high_") == F.col("id"))
+    return wanted.join(held, "value", "left").select("id", "value", (F.col("low_").isNull() | F.coalesce(own, F.lit(False))).alias("free"))
 
 
 def new_documents(batch: DataFrame, stored: DataFrame) -> DataFrame:

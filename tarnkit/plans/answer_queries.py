@@ -79,18 +79,36 @@ def _feedback(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @R.add(f"""WITH {TOLD} SELECT 'pending-answer-' || id AS document_id, CAST(i AS INTEGER) AS chunk_index, substring(text, CAST(i * 384 + 1 AS BIGINT), 512) AS chunk_text, '' AS image_url
   FROM (SELECT *, unnest(range(CASE WHEN length(text) <= 512 THEN 1 ELSE CAST(ceil((length(text) - 512) / 384.0) AS BIGINT) + 1 END)) AS i FROM (SELECT id, '问题：' || question || chr(10) || '回答：' || answer AS text FROM a))
-  UNION ALL SELECT 'pending-answer-' || id, CAST(1000 + i AS INTEGER), '管理员回答: ' || CASE WHEN length(question) > 50 THEN substring(question, 1, 50) || '...' ELSE question END, '/a/' || id || '-' || (i + 1) FROM a, range(2) r(i) WHERE i < n""")
+  UNION ALL SELECT 'pending-answer-' || id, CAST(1000 + i AS INTEGER), '[图片回答: ' || CASE WHEN length(question) > 50 THEN substring(question, 1, 50) || '...' ELSE question END || ']', '/a/' || id || '-' || (i + 1) FROM a, range(2) r(i) WHERE i < n""")
 def feedback_with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of answers by hand: text from 0, images from 1000."""
     return _feedback(spark, sf_dir)[0]
 
 
-@R.add(f"WITH {TOLD} SELECT conv_id || '-' || turn AS id, CASE WHEN answer IS NULL THEN 'pending' ELSE 'answered' END AS status, answer FROM conversations c LEFT JOIN a ON a.id = conv_id || '-' || turn WHERE role = 'user'")
+@R.add(f"WITH {TOLD} SELECT conv_id || '-' || turn AS id, CASE WHEN answer IS NULL THEN 'pending' ELSE 'answered' END AS status, answer, answer AS llm_answer FROM conversations c LEFT JOIN a ON a.id = conv_id || '-' || turn WHERE role = 'user'")
 def feedback_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All questions, of which those with an answer by hand are no longer pending."""
     return _feedback(spark, sf_dir)[1]
 
 
+@R.add("""SELECT conv_id || '-' || turn AS id, CASE WHEN 2000 * strlen(text) > 100000 AND turn % 5 = 0 THEN 'answer too long' WHEN conv_id % 10 = 9 THEN 'too many images' WHEN conv_id % 7 = 0 THEN 'not found' WHEN conv_id % 4 = 0 AND turn % 3 <> 0 THEN 'already answered' END AS reason FROM conversations""")
+def answers_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why answers by hand are refused: very long ones, many images, unknown questions, and answered ones that aren't edited."""
+    turns, key = table(spark, sf_dir, "conversations"), F.concat_ws("-", "conv_id", "turn").alias("id")
+    images = F.array_repeat(F.lit("/x"), F.when(F.col("conv_id") % 10 == 9, 51).otherwise(50))
+    answers = turns.select(key, F.repeat("text", F.when(F.col("turn") % 5 == 0, 2000).otherwise(1)).alias("answer"), images.alias("images"), (F.col("turn") % 3 == 0).alias("edit"))
+    pending = turns.where("conv_id % 7 <> 0").select(key, F.when(F.col("conv_id") % 4 == 0, "answered").otherwise("pending").alias("status"))
+    return B.judged_answers(answers, pending).select("id", "reason")
+
+
+@R.add("SELECT p_partkey AS id, p_name AS value, p_name NOT IN (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1) AS free FROM part UNION ALL SELECT -s_suppkey, s_name, s_name NOT IN (SELECT p_name FROM part) FROM supplier")
+def names_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a part may keep its name, and a supplier's name could be a new part's."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("value"))
+    new = table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("id"), F.col("s_name").alias("value"))
+    return B.free_values(parts.unionByName(new), parts)
+
+
 TICKETS = """WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t, CASE WHEN event_type = 'signup' THEN event_id ELSE last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS ticket FROM events),
   u AS (SELECT u.ticket, u.event_id AS id, u.t AS "at", u.t < i.t + 43200000000 AS valid FROM e u JOIN e i ON i.event_id = u.ticket WHERE u.event_type = 'click')
   SELECT ticket, id, "at", valid AND id = first_value(id) OVER (PARTITION BY ticket ORDER BY NOT valid, "at", id) AS used FROM u"""

@@ -121,14 +121,14 @@ def stamp_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("""SELECT p_partkey, CASE WHEN length(p_name) <= 4 THEN '***' ELSE '***' || right(p_name, 4) END AS masked, regexp_replace(p_type || '/' || p_name || '?.txt', '[/\\:*?"<>|]', '_', 'g') AS file,
-  CASE p_size % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' END AS image, CASE p_size % 4 WHEN 2 THEN 'mp4' WHEN 3 THEN 'avi' END AS video, p_partkey % 2 = 0 AS own_id FROM part""")
+  CASE p_size % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' END AS image, CASE p_size % 4 WHEN 2 THEN 'mp4' WHEN 3 THEN 'avi' END AS video, p_partkey % 2 = 0 AS own_id, regexp_full_match(CASE WHEN p_size % 3 = 0 THEN p_type ELSE upper(md5(CAST(p_partkey AS VARCHAR))) END, '[0-9a-fA-F]{0,64}') AS any_id FROM part""")
 def stored_file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked secrets, safe names, kinds by first bytes and ids of 32 hexadecimal digits."""
     heads = F.array(*(F.lit(bytes.fromhex(x)) for x in ("ffd8ffe000", "89504e470d0a1a0a00", "000000186674797069736f6d", "52494646aaaaaaaa41564920")))
     head = F.get(heads, (F.col("p_size") % 4).cast("int"))
     key = F.when(F.col("p_partkey") % 2 == 0, F.md5(F.col("p_partkey").cast("string"))).otherwise(F.col("p_partkey").cast("string"))
     name = F.concat("p_type", F.lit("/"), "p_name", F.lit("?.txt"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.mask_secret(F.col("p_name")).alias("masked"), T.safe_filename(name).alias("file"), checks.image_magic(head).alias("image"), checks.video_magic(head).alias("video"), checks.hex_id(key).alias("own_id"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.mask_secret(F.col("p_name")).alias("masked"), T.safe_filename(name).alias("file"), checks.image_magic(head).alias("image"), checks.video_magic(head).alias("video"), checks.hex_id(key).alias("own_id"), checks.optional_hex_id(F.when(F.col("p_size") % 3 == 0, F.col("p_type")).otherwise(F.upper(F.md5(F.col("p_partkey").cast("string"))))).alias("any_id"))
 
 
 A, B_, C_, D_ = "(event_id * 7 + user_id) % 256", "(event_id * 31) % 256", "event_id % 3", "event_id % 5"

@@ -70,7 +70,8 @@ def test_searches_equal_brute_force_in_every_grid(spark, monkeypatch, rows, cell
     import numpy as np
 
     monkeypatch.setattr(S, "QUERY_ROWS", rows)
-    monkeypatch.setattr(S, "CELL_ROWS", cell)
+    monkeypatch.setattr(S.B, "PASS_ROWS", rows)
+    monkeypatch.setattr(S.B, "BLOCK_BYTES", cell * 16)
     monkeypatch.setattr(S, "CHUNK_ROWS", cell)
     r = random.Random(7)
     data = [(k, r.choice(["", "a", "b"]), [float(r.randrange(-1, 2)) for _ in range(r.choice([3, 4]))]) for k in range(60)] + [(60, "a", None), (61, None, [1.0, 0.0, 0.0])]

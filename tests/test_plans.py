@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from tarnkit.plans import answer_queries as A
 from tarnkit.plans import library_queries as Y
 from tarnkit.plans import operation_queries as O
 from tarnkit.plans import review_queries as V
@@ -61,3 +62,12 @@ def test_an_owners_search_reads_its_folders_alone(spark, sf_dir):
 
 def test_progress_numbers_rows_within_ranges(spark, sf_dir):
     assert "range_" in plan(V.import_progress(spark, sf_dir)) and not re.search(r"Window \[row_number\(\)[^\n]*\], \[source#\d+\],", plan(V.import_progress(spark, sf_dir)))
+
+
+def test_refused_answers_are_judged_before_the_join(spark, sf_dir):
+    unbroadcast(spark)
+    try:
+        text = plan(A.answers_refused(spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in text and "repeat(" not in text[: text.index("Exchange")] and not re.search(r"answer#\d+", text)

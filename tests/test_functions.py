@@ -239,3 +239,15 @@ def test_previews_are_cut_by_bytes(spark):
     want = ["", "short", "é" * 5, "é" * 5 + note(12), "ab漢字cd", "aaaaaaaaa\ufffd" + note(12), "aaaaaaaaaa", "aaaaaaaaaa" + note(11)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").orderBy("i")
     assert [r.p for r in df.select(T.preview(F.col("x"), 10).alias("p")).collect()] == want
+
+
+def test_many_texts_embed_as_each_alone(monkeypatch):
+    from tarnkit.functions import vectors
+
+    texts = ["", "a", "Ab aB", "漢字漢字 é\U0001f600x", "the that then " * 40, "İx"]
+    seen = []
+    monkeypatch.setattr(vectors, "_bucket", lambda pair, f=vectors._bucket: (seen.append(pair), f(pair))[1])
+    many = vectors.embed_many(texts)
+    assert len(seen) == len(set(seen))  # text by text each occurrence was looked up
+    assert many.tolist() == [vectors.embed_one(t).tolist() for t in texts]
+    assert vectors.embed_many(["", "a"]).tolist() == [[0.0] * 64] * 2 and vectors.embed_many([]).shape == (0, 64)

@@ -14,7 +14,7 @@ from tarnkit.operators import lockout as K
 from tarnkit.operators import tables as B
 from tarnkit.plans.registry import Registry, table
 from tarnkit.plans.text_queries import duck_chunks
-from tarnkit.sources.shared import shared_dir
+from tarnkit.sources.shared import shared_dir, written
 from tarnkit.streaming import state as W
 from tarnkit.streaming import timed as Z
 
@@ -84,10 +84,10 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(T.chunks(F.col("text"))).alias("chunk_index", "chunk_text"))
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _segments(spark: SparkSession, sf_dir: str, chunks: DataFrame | None = None) -> DataFrame:
     """A segment for each chunk."""
     start = F.col("chunk_index") * 10.0
-    made = _chunks(spark, sf_dir)
+    made = _chunks(spark, sf_dir) if chunks is None else chunks
     key = F.concat_ws("-", "document_id", "chunk_index")
     return made.select("document_id", key.alias("chunk_id"), key.alias("id"), start.alias("start_time"), (start + 10).alias("end_time"), F.substring("chunk_text", 11, 40).alias("content"))
 
@@ -115,7 +115,8 @@ def frames_near_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT c.doc_id AS document_id, c.chunk_index, coalesce(min(start_time), any_value(low)) AS start_time, coalesce(max(end_time), any_value(high)) AS end_time
   FROM c JOIN span ON span.document_id = c.doc_id LEFT JOIN segments s ON s.document_id = c.doc_id AND contains(chunk_text, content) GROUP BY c.doc_id, c.chunk_index""")
 def chunk_time_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.chunk_times(_chunks(spark, sf_dir), _segments(spark, sf_dir))
+    chunks = written(_chunks(spark, sf_dir), "chunks")  # read by each side of each join
+    return L.chunk_times(chunks, _segments(spark, sf_dir, chunks.toDF(*chunks.columns)))
 
 
 # lockout

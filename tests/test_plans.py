@@ -71,3 +71,8 @@ def test_refused_answers_are_judged_before_the_join(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in text and "repeat(" not in text[: text.index("Exchange")] and not re.search(r"answer#\d+", text)
+
+
+def test_time_ranges_cut_each_text_once(spark, sf_dir):
+    text = plan(O.chunk_time_ranges(spark, sf_dir))
+    assert "regexp_extract_all" not in text and "documents.parquet" not in text

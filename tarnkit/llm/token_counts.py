@@ -16,9 +16,11 @@ What a run appends appears when it is complete; a run that fails leaves the cach
 was. Two runs at once may append the same content; its counts are equal and one is read.
 
 Byte-level BPE without a normaliser encodes pre-tokens apart from each other. There a task
-asks the library for each distinct pre-token and adds up; pre-tokens are cut by the
-character classes that the library itself tells. Texts that hold an added token's string, and all
-texts of other tokenizers, go to the library whole.
+asks the library for each distinct pre-token of some megabytes and adds up. Those that begin with
+their only space are asked for end to end, those without white space line by line: the tokens that
+begin with the space, or are the line feed, tell them apart. Pre-tokens are cut by the character
+classes that the library itself tells. Texts that hold an added token's string, and all texts of other
+tokenizers, go to the library whole.
 
 Edge cases: null is the empty text, which has no tokens; texts are counted whole; repeated rows
 give repeated results; rows without a doc_id are counted like others; an empty table gives
@@ -31,22 +33,24 @@ import hashlib
 import json
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnkit.llm import common as C
-from tarnkit.llm.byte_bpe import LETTER, NUMBER, SPACE, pre_tokens
+from tarnkit.llm.byte_bpe import LETTER, NUMBER, SPACE, code_points, pre_tokens
 
-KNOWN_WORDS = 1 << 19  # pre-tokens that a task remembers
 FEW_MISSES = 1 << 18  # digests that are sent along (8 MB)
 HOT_PART, HOT_ROWS = 1000, 1000
-CELL, RUN_WORDS = 1 << 18, 500
+KNOWN_WORDS = 1 << 20  # that a process remembers
+CELL, GROUP, ASKED = 1 << 18, 8 << 20, 1 << 13  # bytes whose words are told apart at once, are encoded once, are asked for as one text
 
 
 @dataclass(frozen=True)
@@ -58,6 +62,8 @@ class TokenizerFile:
     version: str
     classes: bytes | None = None  # classes of characters, compressed, where pre-tokens can be encoded apart
     added: tuple[bytes, ...] = ()
+    spaced: bytes | None = None  # by id, whether a token begins with a space, where words can be encoded apart
+    line: int = -1  # the id of the line feed
 
 
 def load_tokenizer(path: str) -> TokenizerFile:
@@ -69,12 +75,21 @@ def load_tokenizer(path: str) -> TokenizerFile:
     if library == "sentencepiece":
         return TokenizerFile(library, body, version)
     spec = json.loads(body)
-    cut = spec.get("pre_tokenizer") or {}
-    apart = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and spec["model"].get("type") == "BPE"
+    cut, vocab = spec.get("pre_tokenizer") or {}, spec["model"].get("vocab", {})
+    apart = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and spec["model"].get("type") == "BPE" and "Ġ" in vocab and "Ċ" in vocab
     plain = not any(spec.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")) and all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens", []))
     added = tuple(t["content"].encode() for t in spec.get("added_tokens", []))
-    classes = pa.compress(character_classes().tobytes(), codec="zstd", asbytes=True) if apart and plain else None
-    return TokenizerFile(library, body, version, classes, added)
+    if not (apart and plain) or any(white in token for token in added for white in (b" ", b"\n")):
+        return TokenizerFile(library, body, version, added=added)
+    classes = pa.compress(character_classes().tobytes(), codec="zstd", asbytes=True)
+    ids = [*vocab.values(), *(t["id"] for t in spec.get("added_tokens", []))]
+    return TokenizerFile(library, body, version, classes, added, _flags((i for t, i in vocab.items() if t[:1] == "Ġ"), max(ids) + 1), vocab["Ċ"])
+
+
+def _flags(ids: Iterable[int], n: int) -> bytes:
+    out = np.zeros(n, bool)
+    out[list(ids)] = True
+    return out.tobytes()
 
 
 def character_classes() -> np.ndarray:
@@ -82,102 +97,160 @@ def character_classes() -> np.ndarray:
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    def runs(pattern: str, text: str) -> list[tuple[str, tuple[int, int]]]:
+        return Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text)
+
+    kinds = ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s"))
+    found = runs("|".join(f"{p}+" for _, p in kinds), "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
+    firsts = "".join(piece[0] for piece, _ in found)  # a run has one class
+    of = {c: value for value, p in kinds for piece, _ in runs(p, firsts) for c in piece}
     table = np.zeros(0x110000, np.uint8)
-    for value, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
-        found = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)
-        table[[ord(c) for piece, _ in found for c in piece]] = value
+    for piece, _ in found:
+        table[[ord(c) for c in piece]] = of[piece[0]]
     return table
 
 
-def _whole_counts(tokenizer: TokenizerFile) -> Callable[[list[str]], list[int]]:
-    """A function that counts whole texts by the library."""
+def _encoder(tokenizer: TokenizerFile) -> Callable[[list[str]], list[list[int]]]:
+    """A function that asks the library for the ids of whole texts."""
     if tokenizer.library == "sentencepiece":
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_proto=tokenizer.body)
-        return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
+        return lambda texts: model.encode(texts, num_threads=1)
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it has
     made = Tokenizer.from_buffer(tokenizer.body)
     made.no_truncation()
     made.no_padding()
-    return lambda texts: [len(e) for e in made.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def _word_counts(tokenizer: TokenizerFile) -> Callable[[list[bytes]], list[int]]:
-    """A function that counts pre-tokens by the library: those of a space and ASCII letters, which
-    stay pre-tokens end to end, many at a time, since a text costs more than a word."""
-    from tokenizers import Tokenizer
-
-    whole, made = _whole_counts(tokenizer), Tokenizer.from_buffer(tokenizer.body)
-
-    def count(words: list[bytes]) -> list[int]:
-        plain = [w[:1] == b" " and w[1:].isalpha() for w in words]
-        some = [w for w, p in zip(words, plain, strict=True) if p]
-        runs = [some[k : k + RUN_WORDS] for k in range(0, len(some), RUN_WORDS)]
-        told = made.encode_batch([b"".join(r).decode() for r in runs], add_special_tokens=False)
-        of_plain = iter([n for r, e in zip(runs, told, strict=True) for n in np.bincount(e.word_ids, minlength=len(r)).tolist()])
-        of_other = iter(whole([w.decode() for w, p in zip(words, plain, strict=True) if not p]))
-        return [next(of_plain if p else of_other) for p in plain]
-
-    return count
+    return lambda texts: [e.ids for e in made.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class TokenCounter:
-    """Token counts of texts, in the task that made it."""
+    """Token counts of texts, in the process that made it."""
 
     def __init__(self, tokenizer: TokenizerFile) -> None:
-        self.whole, self.added = _whole_counts(tokenizer), tokenizer.added
+        self.encode, self.added, self.line = _encoder(tokenizer), tokenizer.added, tokenizer.line
         self.classes = np.frombuffer(pa.decompress(tokenizer.classes, decompressed_size=0x110000, codec="zstd", asbytes=True), np.uint8) if tokenizer.classes else None
-        self.each = _word_counts(tokenizer) if tokenizer.classes else None
-        self.known: dict[bytes, int] = {}
+        self.spaced = np.frombuffer(tokenizer.spaced, bool) if tokenizer.spaced else None
+        self.leads = tokenizer.library == "sentencepiece"  # it puts a space before every text
+        self.known, self.known_counts = pa.array([], pa.binary()), np.empty(0, np.int64)
+
+    def _ids(self, texts: Iterable[str]) -> np.ndarray:
+        """The ids of texts in one array; few at a time, as what the library returns is many times larger."""
+        some = [np.array(ids, np.int32) for few in batched(texts, 8) for ids in self.encode(list(few))]
+        return np.concatenate([np.empty(0, np.int32), *some])
+
+    def whole(self, texts: Iterable[str]) -> list[int]:
+        return [len(ids) for few in batched(texts, 8) for ids in self.encode(list(few))]
+
+    def _joined(self, words: pa.Array) -> np.ndarray:
+        """Ids of words end to end, asked for as texts of whole words."""
+        data, at = C.column_bytes(words)
+        return self._ids(data[at[i] + self.leads : at[j]].tobytes().decode() for i, j in C.runs(at, ASKED))
+
+    def _alone(self, word: bytes) -> int:
+        """One word by itself, or the difference that it makes behind another."""
+        if not self.leads:
+            return self.whole([word.decode()])[0]
+        more, less = self.whole(["a" + word.decode(), "a"])
+        return more - less
+
+    def _each(self, words: pa.Array) -> np.ndarray:
+        """Tokens of each distinct word."""
+        data, at = C.column_bytes(words)
+        first, longer = data[at[:-1]], np.diff(at) > 1
+        if self.classes is None:
+            white, second = first == 32, data[np.minimum(at[:-1] + 1, len(data) - 1)] == 32
+        else:
+            place, point = code_points(data)
+            space = self.classes[point] == SPACE
+            k = np.searchsorted(place, at[:-1])
+            white, second = space[k], space[np.minimum(k + 1, len(space) - 1)]
+        usual = np.ones(len(words), bool)
+        for token in self.added:
+            usual &= ~pc.match_substring(words, token).to_numpy(zero_copy_only=False)
+        begins, solid = usual & (first == 32) & longer & ~second, usual & ~white & (self.line >= 0)
+        out = np.zeros(len(words), np.int64)
+        ids = self._joined(words.filter(pa.array(begins)))
+        out[begins] = np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
+        ids = self._joined(pc.binary_join_element_wise(words.filter(pa.array(solid)), b"", b"\n"))
+        out[solid] = np.diff(np.flatnonzero(ids == self.line), prepend=-1) - 1
+        for k in np.flatnonzero(~(begins | solid)):
+            out[k] = self._alone(words[k].as_py())
+        return out
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """Tokens of each distinct word; words that were asked for before aren't again."""
+        at = pc.index_in(words, value_set=self.known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        out = np.empty(len(words), np.int64)
+        out[~new] = self.known_counts[at.drop_null().to_numpy()]
+        asked = words.filter(pa.array(new))
+        out[new] = self._each(asked)
+        if len(self.known) + len(asked) <= KNOWN_WORDS:
+            self.known, self.known_counts = pa.concat_arrays([self.known, asked]), np.append(self.known_counts, out[new])
+        else:
+            self.known, self.known_counts = words[:KNOWN_WORDS], out[:KNOWN_WORDS]
+        return out
 
-    def _words(self, words: list[bytes]) -> np.ndarray:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known, new = {}, words
-        self.known.update(zip(new, self.each(new), strict=True))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+    def _cut(self, data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The words of texts, and how many lie before each text's end."""
+        if self.classes is not None:
+            start = pre_tokens(data, at, self.classes)
+        else:
+            data, at = np.insert(data, at[:-1], 32), at + np.arange(len(at))
+            new = data == 32
+            new[1:] &= data[:-1] != 32
+            new[at[:-1]] = True
+            start = np.flatnonzero(new)
+        edges = np.append(start, len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+        return words.dictionary_encode(), np.searchsorted(start, at)
 
     def _by_words(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Sums over pre-tokens; pieces of whole texts keep the arrays in cache."""
-        out = np.zeros(len(at) - 1, np.int64)
-        for i, j in C.runs(at, CELL):
-            part, rows = data[at[i] : at[j]], at[i : j + 1] - at[i]
-            start = pre_tokens(part, rows, self.classes)
-            edges = np.append(start, len(part)).astype(np.int32)
-            coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(part))]).dictionary_encode()
-            sums = np.concatenate([[0], np.cumsum(self._words(coded.dictionary.to_pylist())[coded.indices.to_numpy()])]) if len(start) else np.zeros(1, np.int64)
-            place = np.searchsorted(start, rows)
-            out[i:j] = sums[place[1:]] - sums[place[:-1]]
-        return out
+        """Sums over words, which are told apart in pieces of whole texts, as these keep the arrays in cache."""
+        cells = [self._cut(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in C.runs(at, CELL)]
+        words = pa.chunked_array([w for w, _ in cells]).unify_dictionaries()
+        each, out = self._known(words.chunk(0).dictionary), []
+        for chunk, (_, place) in zip(words.chunks, cells, strict=True):
+            sums = np.concatenate([[0], np.cumsum(each[chunk.indices.to_numpy()])])
+            out.append(np.diff(sums[place]))
+        return np.concatenate(out)
 
     def counts(self, column: pa.Array) -> np.ndarray:
+        column = column.fill_null("")
+        if self.spaced is None:
+            return np.array(self.whole(x.as_py() for x in column), np.int64)
         data, at = C.column_bytes(column)
-        if self.classes is None:
-            return np.array(self.whole([bytes(data[a:b]).decode() for a, b in zip(at[:-1], at[1:], strict=True)]), np.int64)
-        out = self._by_words(data, at)
-        body = data.tobytes()
-        odd = np.unique([np.searchsorted(at, k, "right") - 1 for token in self.added for k in places_of(body, token)]).astype(np.int64)
-        if len(odd):
-            out[odd] = self.whole([body[at[k] : at[k + 1]].decode() for k in odd])
+        out = np.zeros(len(column), np.int64)
+        for i, j in C.runs(at, GROUP):
+            out[i:j] = self._by_words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        out[np.diff(at) == 0] = 0
+        odd = np.zeros(len(column), bool)
+        for token in self.added:
+            odd |= pc.match_substring(column, token.decode()).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(odd):
+            out[k] = self.whole([column[k].as_py()])[0]
         return out
 
 
-def places_of(body: bytes, token: bytes) -> Iterator[int]:
-    k = body.find(token)
-    while k >= 0:
-        yield k
-        k = body.find(token, k + 1)
+_MADE: dict[str, TokenCounter] = {}
+
+
+def counter_of(tokenizer: TokenizerFile) -> TokenCounter:
+    """The counter of this process, which serves its later tasks too."""
+    if tokenizer.version not in _MADE:
+        _MADE.clear()
+        _MADE[tokenizer.version] = TokenCounter(tokenizer)
+    return _MADE[tokenizer.version]
 
 
 def encode_misses(distinct: DataFrame, tokenizer: TokenizerFile) -> DataFrame:
     """(content, text) to (content, n_tokens)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(tokenizer)
+        counter = counter_of(tokenizer)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.counts(batch.column(1)), pa.int64())], ["content", "n_tokens"])
 

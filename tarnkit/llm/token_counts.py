@@ -15,11 +15,13 @@ broadcast, the others by a shuffle.
 What a run appends appears when it is complete; a run that fails leaves the cache as it
 was. Two runs at once may append the same content; its counts are equal and one is read.
 
-Byte-level BPE without a normaliser encodes pre-tokens apart from each other. There a task
-asks the library for each distinct pre-token of some megabytes and adds up. Those that begin with
-their only space are asked for end to end, those without white space line by line: the tokens that
-begin with the space, or are the line feed, tell them apart. Pre-tokens are cut by the character
-classes that the library itself tells. Texts that hold an added token's string, and all texts of other
+Byte-level BPE without a normaliser encodes pre-tokens apart from each other, and so does a
+sentencepiece BPE without one for spaces and what follows up to the next space, if no piece has a
+space behind another character. There a task asks the library for each distinct such word of
+some megabytes and adds up. Words that begin with their only space are asked for end to end, those
+without white space line by line: the tokens that begin with the space, or are the line feed, tell
+them apart. Pre-tokens are cut by the character classes that the library itself tells. Texts that hold
+an added token's string (sentencepiece: the mark that stands for a space), and all texts of other
 tokenizers, go to the library whole.
 
 Edge cases: null is the empty text, which has no tokens; texts are counted whole; repeated rows
@@ -51,6 +53,7 @@ FEW_MISSES = 1 << 18  # digests that are sent along (8 MB)
 HOT_PART, HOT_ROWS = 1000, 1000
 KNOWN_WORDS = 1 << 20  # that a process remembers
 CELL, GROUP, ASKED = 1 << 18, 8 << 20, 1 << 13  # bytes whose words are told apart at once, are encoded once, are asked for as one text
+MARK = "▁".encode()  # what sentencepiece has for a space
 
 
 @dataclass(frozen=True)
@@ -73,7 +76,7 @@ def load_tokenizer(path: str) -> TokenizerFile:
     module = __import__(library)
     version = hashlib.sha256(b"\0".join([library.encode(), module.__version__.encode(), body])).hexdigest()
     if library == "sentencepiece":
-        return TokenizerFile(library, body, version)
+        return TokenizerFile(library, body, version, added=(MARK,), spaced=_spaced_pieces(body))
     spec = json.loads(body)
     cut, vocab = spec.get("pre_tokenizer") or {}, spec["model"].get("vocab", {})
     apart = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and spec["model"].get("type") == "BPE" and "Ġ" in vocab and "Ċ" in vocab
@@ -92,6 +95,24 @@ def _flags(ids: Iterable[int], n: int) -> bytes:
     return out.tobytes()
 
 
+def _spaced_pieces(body: bytes) -> bytes | None:
+    """The pieces that begin with a space, if words that begin with spaces are encoded apart."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:  # it needs a library that sentencepiece itself does without
+        return None
+    model = sentencepiece_model_pb2.ModelProto.FromString(body)
+    train, norm, kinds = model.trainer_spec, model.normalizer_spec, model.SentencePiece
+    plain = not norm.precompiled_charsmap and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces
+    apart = train.model_type == train.BPE and train.byte_fallback and not train.treat_whitespace_as_suffix
+    mark = MARK.decode()
+    usual = [p.piece if p.type == kinds.NORMAL else "" for p in model.pieces]
+    others = all(p.type in (kinds.NORMAL, kinds.UNKNOWN, kinds.CONTROL, kinds.BYTE) for p in model.pieces)
+    if not (plain and apart and others and mark in usual) or any(mark in p.lstrip(mark) for p in usual):
+        return None
+    return _flags((i for i, p in enumerate(usual) if p.startswith(mark)), len(usual))
+
+
 def character_classes() -> np.ndarray:
     """The class of each code point by the library's own pattern engine."""
     from tokenizers import Regex

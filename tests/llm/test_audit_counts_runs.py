@@ -156,7 +156,7 @@ def test_a_process_keeps_one_counter_and_asks_for_little_at_once(monkeypatch):
     assert max(asked) <= 8 * token_counts.ASKED < sum(map(len, texts)) // 4
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_counts_by_words_are_the_librarys(name, monkeypatch):
     import random
 
